@@ -103,13 +103,13 @@ KINDS = ("assign", "access", "hex", "literal")
 _SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def secret_spans(docs: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """All columns of ``docs`` and ``secrets``: the spans found in the whole text, by start, then kind as in KINDS.
+def secret_spans(docs: DataFrame, threshold: float = 0.35, into: str = "secrets") -> DataFrame:
+    """All columns of ``docs`` and ``into``: the spans found in the whole text, by start, then kind as in KINDS.
 
     Offsets are code points, ends exclusive; base kinds score 1. Null or empty text: an empty array. A column of docs
-    that is named ``secrets`` is replaced. Null ids and repeated rows are kept.
+    that has that name is replaced. Null ids and repeated rows are kept.
     """
-    docs = docs.drop("secrets")
+    docs = docs.drop(into)
     names = docs.columns
     at = names.index("text")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -121,10 +121,10 @@ def secret_spans(docs: DataFrame, threshold: float = 0.35) -> DataFrame:
                 base, more = scan(text.as_py() or "", threshold)
                 rows = [(a, k, b, 1.0) for a, k, b in base] + [(a, 3, b, s) for a, b, s, _ in more]
                 found.append([{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(rows)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, "secrets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, into])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(find, f"{schema}, secrets {_SPANS}")
+    return docs.mapInArrow(find, f"{schema}, `{into}` {_SPANS}")
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.35) -> DataFrame:
@@ -132,18 +132,18 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.35) -
 
     Documents without secrets, and null texts, are unchanged; no row is dropped.
     """
-    found = secret_spans(docs, threshold)
+    found = secret_spans(docs, threshold, "__secrets")
     # Spans in order of start: keep the text between the furthest end so far and the next start.
     fold = F.aggregate(
-        "secrets",
+        "__secrets",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("end")),
         lambda acc, s: F.struct(
             F.when(s["start"] >= acc["end"], F.concat(acc["out"], F.substring(F.col("text"), acc["end"] + 1, s["start"] - acc["end"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["end"], s["end"]).alias("end"),
         ),
     )
-    text = F.when(F.size("secrets") > 0, F.concat(fold["out"], F.substring(F.col("text"), fold["end"] + 1, F.char_length("text")))).otherwise(F.col("text"))
-    out = found.withColumn("text", text).drop("secrets")
+    text = F.when(F.size("__secrets") > 0, F.concat(fold["out"], F.substring(F.col("text"), fold["end"] + 1, F.char_length("text")))).otherwise(F.col("text"))
+    out = found.withColumn("text", text).drop("__secrets")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
