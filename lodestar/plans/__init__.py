@@ -1,0 +1 @@
+"""Queries: each module registers its own when imported."""

@@ -23,3 +23,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return keep
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from . import series_queries  # noqa: F401
