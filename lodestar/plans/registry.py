@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import series_queries  # noqa: F401
+    from . import match_queries, series_queries  # noqa: F401
