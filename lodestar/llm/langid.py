@@ -117,6 +117,7 @@ class Model(NamedTuple):
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: summed log probabilities by language, scored characters, letters."""
         c, at = codes(texts)
+        c = np.append(c, np.uint16(PAD))  # so that an empty last text has a window too
         p = self.log_probs(grams(c))
         target = c[ORDER - 1 :]
         p[target == PAD] = 0

@@ -346,6 +346,7 @@ def test_language_id(spark, no_docs):
     odd = {r.doc_id: r for r in got}
     assert [odd[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and not odd[1003].lang_accepted
     assert all(r.lang_accepted for r in got if r.doc_id is not None and r.doc_id < 600)
+    assert [p[0] for p in model.predict(["the ing", ""])] == ["en", "und"] and [p[0] for p in model.predict([""])] == ["und"]
     assert langid.identified(no_docs, langid.train(no_docs)).collect() == []
     assert {r.lang_pred for r in langid.identified(df, langid.train(no_docs)).collect()} == {"und"}
 
