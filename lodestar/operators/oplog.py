@@ -10,7 +10,7 @@ RECORD = "v string, ts string, project string, loop_id string, event string, dat
 
 def read_jsonl(spark, path: str) -> DataFrame:
     """file, line (from 1), record (null where the line is no JSON): lines keep their number within the file."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.posexplode(F.split(F.decode("content", F.lit("utf-8")), "\n")).alias("i", "text"))
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("i", "text"))
     parsed = raw.filter(F.trim("text") != "").select("file", (F.col("i") + 1).cast("long").alias("line"), F.from_json("text", RECORD).alias("record"), F.try_parse_json("text").isNotNull().alias("ok"))
     return parsed.withColumn("record", F.when(F.col("ok"), F.col("record"))).drop("ok")
 
