@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import geo_queries, match_queries, publish_queries, series_queries, vector_queries  # noqa: F401
+    from . import detail_queries, geo_queries, match_queries, publish_queries, series_queries, vector_queries  # noqa: F401

@@ -1,0 +1 @@
+"""Sources that Spark has no reader for."""

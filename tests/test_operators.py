@@ -297,3 +297,16 @@ def test_shapefiles(spark, tmp_path):
     got = shapes.read_archives(spark, str(tmp_path / "*.zip")).orderBy("record").collect()
     assert [(r.attributes["PREF"], r.attributes["LABEL"], r.x0, r.y0, r.x1, r.y1) for r in got] == [("青森県", "0.3m未満", 0.0, 0.0, 1.0, 2.0), ("青森県", "5m以上", 5.0, 5.0, 6.0, 6.0)]
     assert got[0].rings == [[[0.0, 0.0], [0.0, 2.0], [1.0, 2.0], [0.0, 0.0]]]
+
+
+def test_polygon_strips_and_precedence(spark):
+    a, b = np.array([[0, 0], [4, 0], [4, 2], [0, 2.0]]), np.array([[1, -1], [2, -1], [2, 3], [1, 3.0]])
+    size = lambda q: sum(abs(spatial.area(x)) for x in q)
+    assert size(spatial.strips([a], [b], "difference")) == pytest.approx(6)
+    assert size(spatial.strips([a], [b], "intersection")) == pytest.approx(2)
+    assert size(spatial.strips([a, a], [], "difference")) == pytest.approx(8)
+    tri = np.array([[0, 0], [4, 0], [2, 4.0]])
+    assert size(spatial.strips([tri], [b], "intersection")) + size(spatial.strips([tri], [b], "difference")) == pytest.approx(8)
+    rows = [(1, 1, 2020, "x", a.tolist()), (1, 2, 2023, "y", b.tolist()), (1, 3, 2023, "y", a.tolist()), (1, 4, 2023, "z", b.tolist()), (2, 5, 2020, "x", a.tolist())]
+    got = {r.object_id: round(r.area, 6) for r in spatial.newer_first(spark.createDataFrame(rows, "id int, object_id long, version int, file string, ring array<array<double>>"), "id").collect()}
+    assert got == {2: 4.0, 3: 8.0, 5: 8.0}
