@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import search_form
 
+from .numbering import numbered
+
 # The status vocabulary.
 STATUSES = ("observed", "estimated", "suppressed", "not_available", "not_applicable", "missing_source")
 
@@ -42,7 +44,7 @@ def features(df: DataFrame, order: str, x: str, y: str) -> DataFrame:
     """Rows with both coordinates and dense numbers from 0 in input order, with ``geometry`` as JSON."""
     there = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     geometry = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates")))
-    return there.withColumn("feature", F.row_number().over(Window.orderBy(order)).cast("long") - 1).withColumn("geometry", geometry)
+    return numbered(there, order, column="feature", start=0).withColumn("geometry", geometry)
 
 
 def minimal(df: DataFrame, names: dict[str, str], empty: tuple[str, ...] = ()) -> DataFrame:

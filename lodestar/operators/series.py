@@ -11,6 +11,8 @@ from pyspark.sql.types import DoubleType
 
 from lodestar.functions.columns import day_of_cycle
 
+from .numbering import numbered
+
 
 def daily(df: DataFrame, key: Column, at: Column, value: Column, how=F.avg, provisional: Column | None = None) -> DataFrame:
     """One row per key and day: key, d, value, provisional."""
@@ -151,9 +153,7 @@ def yearly_share(days: DataFrame, found: DataFrame) -> DataFrame:
 
 def quartile_medians(df: DataFrame, by: str, value: str) -> DataFrame:
     """Medians of the first and the last floor(n / 4) rows in order of ``by``: one row."""
-    w = Window.orderBy(by)
-    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = df.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(everything))
+    ranked = numbered(df, by).crossJoin(F.broadcast(df.agg(F.count("*").alias("n"))))
     q = F.floor(F.col("n") / 4)
     return ranked.agg(F.median(F.when(F.col("i") <= q, F.col(value))).alias("low"), F.median(F.when(F.col("i") > F.col("n") - q, F.col(value))).alias("high"))
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns less their mean over their population deviation; a constant column raises."""
@@ -131,9 +133,9 @@ def k_means(points: DataFrame, dims: list[str], k: int, seeds: list[int]) -> tup
 
 def permuted(df: DataFrame, key: str, columns: list[str], seed: int) -> DataFrame:
     """Each column in an order of its own: the null model of a clustering."""
-    numbered = lambda c, salt: df.select(F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(salt)), key)).alias("__i"), c)
-    parts = [numbered(F.col(c), seed * 1000 + j) for j, c in enumerate(columns)]
-    return reduce(lambda a, b: a.join(b, "__i"), [numbered(F.col(key), seed * 1000 - 1), *parts]).drop("__i")
+    order = lambda c, name, salt: numbered(df.select(F.xxhash64(key, F.lit(salt)).alias("__h"), F.col(key).alias("__k"), c.alias("__c")), "__h", "__k", column="__i").select("__i", F.col("__c").alias(name))
+    parts = [order(F.col(c), c, seed * 1000 + j) for j, c in enumerate(columns)]
+    return reduce(lambda a, b: a.join(b, "__i"), [order(F.col(key), key, seed * 1000 - 1), *parts]).drop("__i")
 
 
 def best_flag_pair(df: DataFrame, cluster: str, flags: list[str]) -> DataFrame:

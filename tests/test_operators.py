@@ -310,3 +310,10 @@ def test_polygon_strips_and_precedence(spark):
     rows = [(1, 1, 2020, "x", a.tolist()), (1, 2, 2023, "y", b.tolist()), (1, 3, 2023, "y", a.tolist()), (1, 4, 2023, "z", b.tolist()), (2, 5, 2020, "x", a.tolist())]
     got = {r.object_id: round(r.area, 6) for r in spatial.newer_first(spark.createDataFrame(rows, "id int, object_id long, version int, file string, ring array<array<double>>"), "id").collect()}
     assert got == {2: 4.0, 3: 8.0, 5: 8.0}
+
+
+def test_numbered(spark):
+    from lodestar.operators.numbering import numbered
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k")).repartition(7)
+    assert [(r.k, r.i) for r in numbered(df, "k", start=0).orderBy("k").collect()] == [(i, i) for i in range(1000)]
