@@ -158,12 +158,12 @@ class OpenBins:
         return b
 
 
-def pack_best_fit(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024, packers: int = 1, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack_best_fit(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024, packers: int = 1, order: tuple[str, ...] = ("doc_id", "piece"), lookahead: int = 1000) -> DataFrame:
     """Adds sequence_id and offset: each piece's sequence of at most ``capacity`` ids and its place there.
 
     Pieces are dealt by a hash of ``order`` to ``packers`` independent packers, each of which streams its pieces, in
-    the order of another hash, through a bounded set of ``open_bins`` open bins (see OpenBins). Memory is bounded by the
-    open bins. A packer leaves at most ``open_bins`` sequences partly filled at its end, so use as few packers as
+    the order of another hash, through a bounded set of ``open_bins`` open bins (see OpenBins), ``lookahead`` pieces at a time
+    from the longest to the shortest. Memory is bounded by the open bins and what is looked ahead. A packer leaves at most ``open_bins`` sequences partly filled at its end, so use as few packers as
     time allows. Lengths must be from 1 to ``capacity``. Reruns agree. An empty table gives an empty table.
     """
     names = pieces.columns
@@ -173,7 +173,11 @@ def pack_best_fit(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 36
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(names.index("length")).to_pylist()]
+            lengths = batch.column(names.index("length")).to_pylist()
+            placed: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+            for a in range(0, len(lengths), lookahead):
+                for i in sorted(range(a, min(a + lookahead, len(lengths))), key=lambda i: (-lengths[i], i)):
+                    placed[i] = bins.place(lengths[i])
             more = [pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "sequence_id", "offset"])
 
