@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_by_key, written
 
 #: A word, for sizes: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,7 +74,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_cop
     sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = written(sized.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
     counts = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
-    sums = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("n_docs"))
+    sums = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("n_docs"), F.sum("n").alias("n_rows"))
     targets = written(source_targets(sums, weights, max_copies), "mix-targets")
     z = F.col("size") * F.col("n_docs") / F.col("source_size")
     hist = written(counts.filter("size > 0").join(targets, counts["source"].eqNullSafe(targets["source"])).select("rank", "size", "n", z.alias("z")), "mix-hist")
@@ -82,7 +82,9 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_cop
     plan = targets.join(lam, "rank", "left")
 
     rate = F.when((F.col("size") == 0) | (F.col("target") <= 0), 0.0).when(F.col("lam").isNull(), float(max_copies)).otherwise(F.least(F.lit(float(max_copies)), F.exp(F.least(F.col("lam") * z, F.lit(700.0)))))
-    rated = sized.join(plan.select(F.col("source").alias("s"), "rank", "source_size", "n_docs", "target", "lam"), sized["source"].eqNullSafe(F.col("s"))).drop("s")
+    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    n = sized.count()
+    rated = join_by_key(sized.withColumn("s", named), plan.select(named.alias("s"), "n_rows", "rank", "source_size", "n_docs", "target", "lam"), "s", "n_rows", F.col("rid"), n).drop("s")
     cell = F.pmod(F.xxhash64("doc_id", F.lit("cell")), F.ceil(F.coalesce("n_docs", F.lit(1)) / rows_per_cell).cast("long"))
     rated = rated.withColumn("rate", rate).withColumn("cell", cell)
     in_cell = Window.partitionBy("rank", "cell").orderBy("size", F.xxhash64("doc_id"), "rid").rowsBetween(Window.unboundedPreceding, 0)
@@ -92,8 +94,8 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_cop
     rounded = written(rounded, "mix-copies")
 
     for _ in range(repairs):
-        off = rounded.groupBy("rank").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("off"))
-        can = rounded.join(off, "rank").filter((F.col("size") > 0) & F.when(F.col("off") > 0, F.col("copies") < max_copies).otherwise(F.col("copies") > 0))
+        off = rounded.groupBy("rank").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("off"), F.count("*").alias("n"))
+        can = join_by_key(rounded, off, "rank", "n", F.col("rid"), n).filter((F.col("size") > 0) & F.when(F.col("off") > 0, F.col("copies") < max_copies).otherwise(F.col("copies") > 0))
         left = F.abs(F.col("size") - F.abs("off"))
         best = can.filter(left < F.abs("off")).groupBy("rank").agg(F.min(F.struct(left.alias("left"), F.xxhash64("doc_id").alias("h"), "rid", F.signum("off").cast("long").alias("change"))).alias("b"))
         best = written(best.select(F.col("b.rid").alias("rid"), F.col("b.change").alias("change")), "mix-repair")
