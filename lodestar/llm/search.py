@@ -235,13 +235,44 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, ids: np.ndarray, q_ids: np.ndarr
         yield i, kept, dist
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, probes: int = 24, rows_per_list: int = 400, max_lists: int = 4096, sample_rows: int = 40_000, piece: int = 8192, columns: int = 16, epsilon: float = 2.1) -> DataFrame:
+def _probes(rows: DataFrame, model: tuple, sizes: dict[int, int], k: int, recall: float, tuning_queries: int) -> int:
+    """How many of its nearest lists a query must scan so that they hold the share ``recall`` of the true ``k`` nearest rows."""
+    turn, centroids, scale = model
+    few = rows.filter("asks").orderBy(F.xxhash64("vec_id"), "vec_id").limit(tuning_queries).select("vec_id", "vec").toArrow()
+    if not len(few):
+        return 1
+    q_ids = few["vec_id"].to_numpy()
+    q = few["vec"].combine_chunks().flatten().to_numpy().reshape(len(few), -1) / scale
+
+    def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            x = batch.column(1).flatten().to_numpy().reshape(len(ids), -1) / scale
+            d = (q * q).sum(axis=1)[:, None] - 2 * q @ x.T + (x * x).sum(axis=1)
+            d[q_ids[:, None] == ids[None, :]] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            who = np.repeat(np.arange(len(q)), near.shape[1])
+            cols = [q_ids[who], ids[near.ravel()], lists[near.ravel()], d[who, near.ravel()]]
+            ok = np.isfinite(cols[3])
+            yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in cols], ["query_id", "vec_id", "list", "d"])
+
+    found = rows.select("vec_id", "vec", "list").mapInArrow(brute, "query_id long, vec_id long, list int, d double")
+    true = merged_top(found, k, [F.asc("d"), F.asc("vec_id")]).select("query_id", "list").collect()
+    full = np.array([c for c in range(len(centroids)) if sizes.get(c)])
+    ranked = full[nearest_lists(q @ turn, centroids[full], len(full))]
+    at = {int(i): {int(c): r for r, c in enumerate(row)} for i, row in zip(q_ids, ranked, strict=True)}
+    places = sorted(at[r["query_id"]][r["list"]] for r in true)
+    return places[math.ceil(recall * len(places)) - 1] + 1 if places else 1
+
+
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.97, rows_per_list: int = 800, max_lists: int = 4096, sample_rows: int = 40_000, tuning_queries: int = 128, piece: int = 8192, columns: int = 16, epsilon: float = 2.1) -> DataFrame:
     """Approximate nearest neighbours by Euclidean distance: query_id, rank, vec_id, score (exact, in double precision).
 
     An inverted file: centroids come from a sample of at most about ``sample_rows`` rows, one for each ``rows_per_list`` rows and at most
     ``max_lists``, so the model that is broadcast is bounded; every row is indexed in the list of its nearest centroid. Vectors are
-    rotated at random, so that partial distances tell of whole ones, and a query scans its ``probes`` nearest lists (more, until these
-    hold over ``k`` rows) with adaptive_scan. Lists are cut into pieces of about ``piece`` rows, so a hot list is many tasks.
+    rotated at random, so that partial distances tell of whole ones, and a query scans its nearest lists with adaptive_scan. How
+    many is measured: ``tuning_queries`` of the queries are compared with all rows (one pass, in blocks), and as many lists are probed as hold
+    the share ``recall`` of their true neighbours; a query's probes go on until they hold over ``k`` rows. Lists are cut into pieces of about ``piece`` rows, so a hot list is many tasks.
     What survives is ranked by the exact distance between the original vectors, ties to smaller vec_ids.
 
     Queries are the rows where ``is_query``; candidates are all other rows (rows with the query's vec_id are its own). Null or zero vectors
@@ -274,6 +305,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, probes
     # At most max_lists rows.
     sizes = {r[0]: r[1] for r in rows.groupBy("list").count().collect()}
     held = spark.sparkContext.broadcast(sizes)
+    probes = _probes(rows, model.value, sizes, k, recall, tuning_queries)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, centroids, scale = model.value
