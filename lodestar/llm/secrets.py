@@ -28,12 +28,9 @@ SENSITIVE = (
 #: Values that stand for a secret but aren't one.
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "****", "none", "null", "true", "false", "<", "${", "{{")
 
-#: name, how it is bound, then a quoted or bare value, a name, or a sum of those. One pass; no nested repeats.
-_PAIR = re.compile(
-    r"""(?<![\w.$-])(["']?)([A-Za-z_$][\w.$-]{0,63})\1[ \t]{0,8}(?::=|=>|=(?![=~])|:(?![:/]))[ \t]{0,8}
-    ((?:(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;(){}\[\]+#]+)[ \t]{0,8}(?:\+[ \t]{0,8})?){1,8})""",
-    re.X,
-)
+_VALUE = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;(){}\[\]+#]+)"""
+#: name, how it is bound, then a quoted or bare value, a name, or a sum of up to eight of those; nothing follows that could fail.
+_PAIR = re.compile(rf"""(?<![\w.$-])(["']?)([A-Za-z_$][\w.$-]{{0,63}})\1[ \t]{{0,8}}(?::=|=>|=(?![=~])|:(?![:/]))[ \t]{{0,8}}({_VALUE}(?:[ \t]{{0,8}}\+[ \t]{{0,8}}{_VALUE}){{0,7}})""")
 _PART = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]+#]+)""")
 _NAME = re.compile(r"[A-Za-z_$][\w.$-]*$")
 _ESCAPE = re.compile(r"\\(.)")
@@ -70,8 +67,6 @@ def literals(text: str) -> Iterator[tuple[str, str, int, int]]:
                 parts += known[p[4]]
             else:
                 parts.append((_ESCAPE.sub(r"\1", p[k]), p.start(k), p.end(k)))
-            if not text[p.end() : m.end(3)].lstrip(" \t").startswith("+"):
-                break
         known[name] = parts
         value = "".join(p[0] for p in parts)
         for _, a, b in parts:
