@@ -100,3 +100,19 @@ def geojson_features(spark: SparkSession, sf: str) -> DataFrame:
 
     p = points(spark, sf).select("id", F.when(F.col("id") % 5 != 0, F.round("lat", 6)).alias("y"), F.when(F.col("id") % 7 != 0, F.round("lon", 6)).alias("x"))
     return features(p, "id", "x", "y").select("feature", "id", "x", "y")
+
+
+@query("simplification_steps")
+def simplification_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """What coarser outlines save and cost: vertices, bytes, change of area by tolerance."""
+    s = G.simplification_steps(G.clipped(pairs(spark, sf, 500.0), 500.0), (0.0, 1.0, 3.0, 10.0))
+    return s.withColumn("most_change", F.round("most_change", 6))
+
+
+@query("polygon_size_gate")
+def polygon_size_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """No outline's area may change by over 1 % at the finest step that is published."""
+    from lodestar.operators.checks import Check, report
+
+    s = G.simplification_steps(G.clipped(pairs(spark, sf, 500.0), 500.0), (1.0,))
+    return report([Check("area changes by 1 % at most", s.filter("most_change > 0.01")), Check("control: 10 m is too coarse", G.simplification_steps(G.clipped(pairs(spark, sf, 500.0), 500.0), (10.0,)).filter("most_change > 0.01"))])

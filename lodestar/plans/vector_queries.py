@@ -176,3 +176,15 @@ def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Mean macro-F1 and its error by model, over repeated stratified folds; own numbers, as folds depend on the seed."""
     p = _dims(spark, sf).withColumn("label", (F.col("label") % 5).cast("int"))
     return X.cross_validated(p, "id", "label", _DIMS, [0, 1, 2, 3, 4], folds=3, repeats=2)
+
+
+@query("model_gate")
+def model_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the best model beats the constant one by the margin agreed on beforehand."""
+    return X.gate_margin(cross_validation(spark, sf), "majority", 0.2)
+
+
+@query("seed_robustness")
+def seed_robustness(spark: SparkSession, sf: str) -> DataFrame:
+    p = _dims(spark, sf).withColumn("label", (F.col("label") % 5).cast("int"))
+    return X.seed_spread(p, "id", "label", _DIMS, [0, 1, 2, 3, 4], [1, 2])
