@@ -189,14 +189,17 @@ def train(docs: DataFrame, docs_per_lang: int = 800, max_langs: int = 200, max_g
     ``max_grams`` counted grams (the most frequent) are used; the model is a few MB. No labelled rows: no languages.
     """
     labelled = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = labelled.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= docs_per_lang)
-    langs = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    langs.sort()
+    # At most max_langs rows. Rows whose hash is far beyond what the sample takes of their language go before they are ranked.
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    langs = sorted(counts)
     if not langs:
         return Model([], [], [], np.zeros(0), np.zeros(0), np.zeros(0), 0.0, 1.0)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    bound = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, 4 * docs_per_lang / counts[lang]) * (1 << 30)))])
+    near = labelled.select("doc_id", "lang").filter(F.coalesce(place < F.try_element_at(bound, F.col("lang")), F.lit(False)))
+    ids = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))).filter(F.col("rank") <= docs_per_lang)
     # At most docs_per_lang * max_langs rows of two numbers and a language: bounded, so broadcast.
-    sample = labelled.join(F.broadcast(ids.filter(F.col("lang").isin(langs))), ["doc_id", "lang"])
+    sample = labelled.join(F.broadcast(ids), ["doc_id", "lang"])
     test = F.col("rank") % 5 == 0
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
