@@ -30,19 +30,19 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_copies: int
     return out.withColumn("target", F.least("cap", F.col("weight") * F.col("level"))).drop("level")
 
 
-def solve_dual(hist: DataFrame, targets: DataFrame, max_copies: int, rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
+def solve_dual(hist: DataFrame, targets: DataFrame, max_copies: int, rounds: int = 20, steps: int = 3, tolerance: float = 1e-10) -> DataFrame:
     """Each source's multiplier (rank, lam) with sum(n * size * min(max_copies, exp(lam * z))) = target, z = size / mean size.
 
     Newton's method on the logarithm of the token constraint, which is the gradient of the convex dual, kept inside a
-    bracket (else the step halves the bracket, or doubles while it is open). Each iteration is one aggregation over the
-    distinct (source, size) counts; the multipliers are a small table, written each time. Sources that are empty,
+    bracket (else the step halves the bracket, or doubles while it is open), from the logarithm of target over size. Each step is one
+    aggregation over the distinct (source, size) counts; the multipliers are a small table, written after ``steps`` of them. Sources that are empty,
     or whose target is their cap, need no multiplier and get null.
     """
-    state = targets.filter((F.col("target") > 0) & (F.col("target") < F.col("cap") * (1 - 1e-12))).select("rank", "target", F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("err"))
+    state = targets.filter((F.col("target") > 0) & (F.col("target") < F.col("cap") * (1 - 1e-12))).select("rank", "target", F.log(F.col("target") * max_copies / F.col("cap")).alias("lam"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("err"))
     state = written(state, "mix-dual")
     e = F.exp(F.least(F.col("lam") * F.col("z"), F.lit(700.0)))
     tokens = F.col("n") * F.col("size")
-    for _ in range(rounds):
+    def stepped(state: DataFrame) -> DataFrame:
         sums = hist.join(state.select("rank", "lam"), "rank").groupBy("rank").agg(F.sum(tokens * F.least(e, F.lit(float(max_copies)))).alias("f"), F.sum(F.when(e < max_copies, tokens * F.col("z") * e).otherwise(0.0)).alias("df"))
         gap = F.log(F.col("f")) - F.log(F.col("target"))
         step = F.col("lam") - gap * F.col("f") / F.col("df")
@@ -51,7 +51,12 @@ def solve_dual(hist: DataFrame, targets: DataFrame, max_copies: int, rounds: int
         half = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).when(F.col("lo").isNotNull(), F.greatest(F.col("lo") * 2, F.lit(1.0))).otherwise(F.least(F.col("hi") * 2, F.lit(-1.0)))
         inside = (F.col("newton") > F.coalesce("lo", F.col("newton") - 1)) & (F.col("newton") < F.coalesce("hi", F.col("newton") + 1)) & (F.abs(F.col("newton") - F.col("lam")) < 16 * (1 + F.abs("lam")))
         done = F.col("err") < tolerance
-        state = written(near.select("rank", "target", F.when(done, F.col("lam")).when(inside, F.col("newton")).otherwise(half).alias("lam"), "lo", "hi", "err"), "mix-dual")
+        return near.select("rank", "target", F.when(done, F.col("lam")).when(inside, F.col("newton")).otherwise(half).alias("lam"), "lo", "hi", "err")
+
+    for _ in range(rounds):
+        for _ in range(steps):
+            state = stepped(state)
+        state = written(state, "mix-dual")
         worst = state.agg(F.max("err")).first()
         if not worst or worst[0] is None or worst[0] < tolerance:
             break
