@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_text, jaccard, langid, licenses, mixing, packing, search, secrets, warc
-from .common import table
+from .common import spread_table, table
 
 
 def tokenizer_path() -> str:
@@ -18,7 +18,7 @@ def tokenizer_path() -> str:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_join(spread_table(spark, sf_dir, "documents"))
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +34,12 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+    packed = packing.packed_documents(spread_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.main_text(table(spark, sf_dir, "pages"))
+    return html_text.main_text(spread_table(spark, sf_dir, "pages"))
 
 
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,16 +48,16 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.report(licenses.license_scan(table(spark, sf_dir, "documents")))
+    return licenses.report(licenses.license_scan(spread_table(spark, sf_dir, "documents")))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return secrets.digest(secrets.secret_spans(spread_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = langid.identified(docs.select("doc_id", "text"), langid.train(docs))
+    model = langid.train(table(spark, sf_dir, "documents"))
+    found = langid.identified(spread_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 
