@@ -241,6 +241,8 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 36, depth: int = 4, rate: f
     """Second-order gradient boosting of the logistic loss over binned features."""
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) if len(np.unique(c)) > 2 else np.array([c.min()]) for c in x.T]
     xb = np.stack([np.searchsorted(c, col, side="left") for c, col in zip(cuts, x.T, strict=True)], axis=1)
+    two = np.array([j for j, c in enumerate(cuts) if len(c) == 1], dtype=np.int64)
+    upper = (xb[:, two] > 0).astype(np.float64)  # features with one cut: their sums are one matrix product
     base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     margin = np.full(len(y), base)
     fs, ts, vs = [], [], []
@@ -254,7 +256,19 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 36, depth: int = 4, rate: f
             best = np.full(m, 1e-6)
             split = np.full(m, bins)
             which = np.zeros(m, np.int64)
+            node_of = np.zeros((len(y), m))
+            node_of[np.arange(len(y)), at] = 1
+            gt, ht = node_of.T @ g, node_of.T @ h
+            gl, hl = (t_[:, None] - (node_of * q[:, None]).T @ upper for t_, q in ((gt, g), (ht, h)))
+            gain = gl**2 / (hl + ridge) + (gt[:, None] - gl) ** 2 / (ht[:, None] - hl + ridge) - (gt**2 / (ht + ridge))[:, None]
+            if len(two):
+                i = gain.argmax(axis=1)
+                top = gain[np.arange(m), i]
+                better = top > best
+                best, split, which = np.where(better, top, best), np.where(better, 0, split), np.where(better, two[i], which)
             for j, c in enumerate(cuts):
+                if len(c) == 1:
+                    continue
                 k = at * (bins + 1) + xb[:, j]
                 gs = np.bincount(k, g, m * (bins + 1)).reshape(m, -1).cumsum(axis=1)
                 hs = np.bincount(k, h, m * (bins + 1)).reshape(m, -1).cumsum(axis=1)
