@@ -1,4 +1,4 @@
-"""License scan: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment."""
+"""License scan: ordered signature rules behind a prefilter that is derived from them, overlaps resolved by priority and containment."""
 
 from __future__ import annotations
 
@@ -11,10 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words are the runs of these in the lower-cased text (A-Z only): digits, a-z and everything beyond ASCII.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_CLASS = bytes(119 if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90 else 32 for b in range(256))
+#: Words are the runs of these bytes in the lower-cased text (A-Z only): digits, a-z and everything beyond ASCII; others are blanks.
+_CLASS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 # The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -49,7 +47,7 @@ PASSAGES = (
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "permission", 1.0),
     ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose", "permission", 1.0),
     ("bsd", r"redistribution and use in source and binary forms", "redistribution", 1.0),
-    ("bsd-3-clause", r"neither the name of .{1,80}? may be used to endorse or promote", "endorse", 1.0),
+    ("bsd-3-clause", r"neither the name of (?:(?!neither the name of ).)+? may be used to endorse or promote", "endorse", 1.0),
     ("zlib", r"altered source versions must be plainly marked as such", "altered", 1.0),
     ("unlicense", r"free and unencumbered software released into the public domain", "unencumbered", 1.0),
     ("public-domain", r"(?:released (?:in)?to|in|dedicated to) the public domain", "domain", 0.8),
@@ -62,26 +60,70 @@ PASSAGES = (
 class Rule(NamedTuple):
     label: str
     form: str
-    keyword: re.Pattern[str]
+    needs: tuple[tuple[str, ...], ...]
     pattern: re.Pattern[str]
     priority: int
     sure: float
 
 
+def expansions(pattern: str) -> list[str]:
+    """All strings that a pattern of literals, [...], (?:...|...) and ? matches."""
+
+    def alternatives(i: int) -> tuple[list[str], int]:
+        out, seq = [], [""]
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                out, seq, i = out + seq, [""], i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                item, i = alternatives(i + 3)
+                i += 1
+            elif pattern[i] == "[":
+                item, i = list(pattern[i + 1 : pattern.index("]", i)]), pattern.index("]", i) + 1
+            else:
+                item, i = [pattern[i]], i + 1
+            if pattern[i : i + 1] == "?":
+                item, i = [*item, ""], i + 1
+            seq = [x + y for x in seq for y in item]
+        return out + seq, i
+
+    return alternatives(0)[0]
+
+
+def hints(strings: Iterable[str]) -> tuple[str, ...]:
+    """The least strings such that each given one holds one of them."""
+    kept: list[str] = []
+    for x in sorted(set(strings), key=lambda x: (len(x), x)):
+        if not any(k in x for k in kept):
+            kept.append(x)
+    return tuple(kept)
+
+
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
-    """All rules in order of priority: passages, then for each form the families with a version before those without."""
-    out = [Rule(label, "passage", re.compile(keyword), re.compile(rf"(?<![^ ]){p}(?![^ ])"), 100, sure) for label, p, keyword, sure in PASSAGES]
+    """All rules in order of priority: passages, then for each form the families with a version before those without.
+
+    A rule's needs follow from its pattern: of each of them, every match in " " + words holds at least one string.
+    """
+    out = [Rule(label, "passage", ((keyword,),), re.compile(rf"(?<![^ ]){p}(?![^ ])"), 100, sure) for label, p, keyword, sure in PASSAGES]
     for f, (form, around, sure) in enumerate(FORMS):
+        before, after = around.replace("VERSION", "NAME").split("NAME")[:2]
+        stated = hints(f" {x}" for x in expansions(before)) if before else hints(expansions(after))
         for label, name, version in FAMILIES:
             v = rf"(?: (?:v|version|ver) ?| ?){version}" if version else r"(?: (?:v|version)? ?\d(?: \d)?)?" if label.startswith("cc") else ""
             p = around.replace("NAME", f"(?:{name})").replace("VERSION", v)
-            out.append(Rule(label, form, re.compile(name), re.compile(rf"(?<![^ ]){p}(?![^ ])"), 90 - 10 * f + 5 * bool(version), sure))
+            needs = (hints(f" {x}" for x in expansions(name)), stated)
+            out.append(Rule(label, form, needs, re.compile(rf"(?<![^ ]){p}(?![^ ])"), 90 - 10 * f + 5 * bool(version), sure))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
-#: Every rule's match, and every base place, holds one of these; other texts need no rules.
-_HINTS = ("licens", "licenc", "spdx", "copyright", "permission", "redistribut", "unencumbered", "altered", "public", "proprietary", "reserved", "endorse", "gpl", "cc by", "cc0")
+@lru_cache(1)
+def by_need() -> tuple[tuple[tuple[str, ...], tuple[Rule, ...]], ...]:
+    """The rules by the first of their needs, so that most are ruled out together."""
+    out: dict[tuple[str, ...], list[Rule]] = {}
+    for r in rules():
+        out.setdefault(r.needs[0], []).append(r)
+    return tuple((need, tuple(rs)) for need, rs in out.items())
 
 
 class Detection(NamedTuple):
@@ -98,14 +140,18 @@ def detect(words: str) -> list[Detection]:
 
     Detections are taken by priority, then length, then place, then label; one that lies within a kept one goes.
     """
-    found, named = [], {}
-    for r in rules():
-        if r.keyword not in named:
-            named[r.keyword] = r.keyword.search(words) is not None
-        if named[r.keyword]:
-            for m in r.pattern.finditer(words):
-                first = words.count(" ", 0, m.start())
-                found.append(Detection(r.label, r.form, first, first + m[0].count(" "), r.priority, r.sure))
+    found, spaced, held = [], f" {words}", {}
+    for need, some in by_need():
+        if not any(h in spaced for h in need):
+            continue
+        for r in some:
+            for n in r.needs[1:]:
+                if n not in held:
+                    held[n] = any(h in spaced for h in n)
+            if all(held[n] for n in r.needs[1:]):
+                for m in r.pattern.finditer(words):
+                    first = words.count(" ", 0, m.start())
+                    found.append(Detection(r.label, r.form, first, first + m[0].count(" "), r.priority, r.sure))
     found.sort(key=lambda d: (-d.priority, d.first - d.last, d.first, d.label))
     kept: list[Detection] = []
     for d in found:
@@ -116,15 +162,13 @@ def detect(words: str) -> list[Detection]:
 
 def scan(text: str) -> tuple[int, list[tuple[int, str]], list[Detection]]:
     """Number of words, base places (first word, label) and the rules' detections."""
-    n = len(text.encode("utf-8", "surrogatepass").translate(_CLASS).split())
-    low = text.lower()
-    if not any(h in low for h in _HINTS):
-        return n, [], []
-    words = " ".join(WORD.findall(text.translate(_LOWER)))
+    parts = text.encode("utf-8", "surrogatepass").translate(_CLASS).split()
+    words = b" ".join(parts).decode("utf-8", "surrogatepass")
     base = []
     for phrase, label in BASE:
-        base += [(words.count(" ", 0, m.start()), label) for m in re.finditer(rf"(?<![^ ])(?={phrase}(?![^ ]))", words)]
-    return n, sorted(base), detect(words)
+        if phrase in words:
+            base += [(words.count(" ", 0, m.start()), label) for m in re.finditer(rf"(?<![^ ])(?={phrase}(?![^ ]))", words)]
+    return len(parts), sorted(base), detect(words)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

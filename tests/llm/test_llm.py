@@ -219,6 +219,32 @@ def test_license_base_equals_brute_force(spark, docs):
     assert licenses.license_scan(docs).count() == docs.count()
 
 
+def test_each_license_rule_finds_its_own_example():
+    """Written as it stands and with punctuation; no other word of the text may be needed."""
+    for form, around, _ in licenses.FORMS:
+        for label, name, version in licenses.FAMILIES:
+            for stated in licenses.expansions(name):
+                v = {"": "", "1 1": " 1.1", "1(?: 0)?": " v1.0", "2(?: 0)?": " version 2.0", "2 1": " 2.1", "3(?: 0)?": "3"}[version]
+                said = max(licenses.expansions(around.replace("NAME", "@").replace("VERSION", "#")), key=lambda x: (-len(x), x))
+                text = said.replace("@", stated.replace(" ", "-").title()).replace("#", v)
+                n, _, found = licenses.scan(f"({text})")
+                assert any(d.first == 0 and d.last == n - 1 for d in found), (label, text)
+    for text, label in (("Released under MIT.", "mit"), ("available under Apache 2.0", "apache-2.0"), ("distributed under the BSD", "bsd"), ("see the ISC", "isc"), ("available under CC-BY-SA 4.0", "cc-by-sa"), ("under GPL2", "gpl-2.0"), ("neither the name of " + "the holder " * 30 + "may be used to endorse or promote", "bsd-3-clause")):
+        assert label in {d.label for d in licenses.scan(text)[2]}, text
+    assert licenses.scan("Nothing is stated here.") == (4, [], [])
+
+
+def test_license_needs_follow_from_the_rules():
+    """Every rule without its needs finds the same in random sentences of the rules' own words."""
+    rng = random.Random(4)
+    parts = [x for _, name, _ in licenses.FAMILIES for x in licenses.expansions(name)] + [x for _, p, _ in licenses.FORMS for x in licenses.expansions(p.replace("NAME", " ").replace("VERSION", " "))] + ["2", "v3", "version 2 0", "4 0", "the", "und"]
+    for _ in range(300):
+        words = " ".join(" ".join(rng.choice(parts) for _ in range(6)).split())
+        free = {(r.label, r.form) for r in licenses.rules() if r.pattern.search(words)}
+        gated = {(r.label, r.form) for r in licenses.rules() if all(any(h in f" {words}" for h in n) for n in r.needs) and r.pattern.search(words)}
+        assert free == gated
+
+
 # op9
 
 
