@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections import ChainMap, Counter
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +30,23 @@ SENSITIVE = (
 #: Values that stand for a secret but aren't one.
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "****", "none", "null", "true", "false", "<", "${", "{{")
 
-_VALUE = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;(){}\[\]+#]+)"""
-#: name, how it is bound, then a quoted or bare value, a name, or a sum of up to eight of those; nothing follows that could fail.
-_PAIR = re.compile(rf"""(?<![\w.$-])(["']?)([A-Za-z_$][\w.$-]{{0,63}})\1[ \t]{{0,8}}(?::=|=>|=(?![=~])|:(?![:/]))[ \t]{{0,8}}({_VALUE}(?:[ \t]{{0,8}}\+[ \t]{{0,8}}{_VALUE}){{0,7}})""")
-_PART = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]+#]+)""")
+#: A literal in quotes of any kind (triple ones over lines), with a prefix as in b"", or a bare value.
+_PART = re.compile(
+    r"""(?:[A-Za-z@$]{0,2}+(?:"{3}((?:[^"\\]++|\\.|"(?!""))*+)"{3}|'{3}((?:[^'\\]++|\\.|'(?!''))*+)'{3}|"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`)|([^\s"'`,;(){}\[\]+#]++))""", re.S
+)
+_BARE = 6
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
+#: name (in quotes or not), subscripts, how it is bound. Nothing is bounded and nothing is read twice: all runs are possessive.
+_HEAD = re.compile(
+    r"""(?<![\w.$-])(["']?)([A-Za-z_$][\w.$-]*+)\1((?:[ \t]*+\[[ \t]*+(?:"[^"\n]*+"|'[^'\n]*+'|[^\]\["'\n]*+)[ \t]*+\])*+)\]?[?!]?[ \t]*+(:=|=>|=(?![=~])|:(?![:/]))[ \t]*+"""
+    r"""|(?<![\w.$-])(?:var|const)[ \t]++([A-Za-z_]\w*+)[ \t]++(?=(?:string|\[\]byte)[ \t]*+=)"""
+)
+_BOUND = re.compile(r"[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))")
+#: The type between a colon and the equals sign that binds the value.
+_TYPE = re.compile(r"""(?:[^"'`,;{}()\[\]#=:\n]++|\[[^\]\n:=]*+\]|"[^"\n:=]*+"|'static\b)++=(?![=~>])[ \t]*+""")
 _NAME = re.compile(r"[A-Za-z_$][\w.$-]*$")
 _ESCAPE = re.compile(r"\\(.)")
+_HEADER = re.compile(r"-----[A-Z0-9 ]+-----")
 
 
 def sensitivity(name: str) -> float:
@@ -44,6 +57,8 @@ def sensitivity(name: str) -> float:
 
 def randomness(value: str) -> float:
     """How much a literal looks like a key, from 0 to 1: Shannon entropy per character, its length, kinds of characters."""
+    if "\n" in value or "-----" in value:  # lines of one key, without its header and footer
+        value = "".join(line.strip() for line in _HEADER.sub("\n", value).splitlines())
     if len(value) < 6 or any(p in value.lower() for p in PLACEHOLDERS) or " " in value.strip():
         return 0.0
     n = len(value)
@@ -52,25 +67,65 @@ def randomness(value: str) -> float:
     return min(1.0, bits / 4.0) * min(1.0, n / 12) * (0.4 + 0.2 * kinds)
 
 
-def literals(text: str) -> Iterator[tuple[str, str, int, int]]:
+Parts = list[tuple[str, int, int]]
+
+
+def literals(text: str, span: tuple[int, int] | None = None, known: ChainMap[str, Parts] | None = None) -> Iterator[tuple[str, str, int, int]]:
     """(name, literal, start, end) of each assignment, in source or configuration syntax, with constants propagated.
 
     A value that is the name of an earlier constant yields that constant's literal at the place where it was defined; of
-    a sum of literals and constants each literal is yielded on its own, with the whole value as its text.
+    a sum of literals and constants each literal is yielded on its own, with the whole value as its text. What may be a
+    type annotation is read both ways. Assignments within quotes are read too, but define nothing outside of them.
     """
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    for m in _PAIR.finditer(text):
-        name, parts = m[2], []
-        for p in _PART.finditer(text, m.start(3), m.end(3)):
-            k = p.lastindex or 4
-            if k == 4 and _NAME.match(p[4]) and p[4] in known:
-                parts += known[p[4]]
-            else:
-                parts.append((_ESCAPE.sub(r"\1", p[k]), p.start(k), p.end(k)))
-        known[name] = parts
-        value = "".join(p[0] for p in parts)
-        for _, a, b in parts:
-            yield name, value, a, b
+    at, end = span or (0, len(text))
+    known = ChainMap() if known is None else known
+    typed = inner = -1  # up to where a type stands, which is no constant; where quotes were last read from within
+    while m := _HEAD.search(text, at, end):
+        name, after, readings, typed_to = m[5] or m[2] + m[3], m.end(), [], None
+        if (m[5] or m[4] == ":") and (t := _TYPE.match(text, after, end)) and (value := _parts(text, t.end(), end, known)):
+            readings.append(value)
+            typed_to = t.end()
+        # A bare word with digits before = may be a padded key instead of a type.
+        if not m[5] and (value := _parts(text, after, end, known if typed_to is None else {})) and (typed_to is None or any(c.isdigit() for c in value[0][0][0])):
+            readings.append(value)
+        for k, (parts, quoted, _) in enumerate(readings):
+            unique = list(dict.fromkeys(parts))
+            if k == 0 and m.start() >= typed:
+                known[name] = unique
+            value_text = "".join(p[0] for p in parts)
+            for _, a, b in unique:
+                yield name, value_text, a, b
+            for a, b in quoted:
+                if a > inner and ("=" in (held := text[a:b]) or ":" in held):
+                    inner = a
+                    yield from literals(text, (a, b), known.new_child())
+        if typed_to is not None:
+            typed, at = typed_to, after
+        else:
+            at = readings[0][2] if readings else after
+
+
+def _parts(text: str, at: int, end: int, known: Mapping[str, Parts]) -> tuple[Parts, list[tuple[int, int]], int] | None:
+    """The literals of a value or sum at a place, its spans in quotes, and where it ends; None if there is none."""
+    parts: Parts = []
+    quoted = []
+    p = _PART.match(text, at, end)
+    if not p:
+        return None
+    while True:
+        k = p.lastindex
+        if k == _BARE and _NAME.match(p[k]) and p[k] in known:
+            parts += known[p[k]]
+        else:
+            parts.append((_ESCAPE.sub(r"\1", p[k]), p.start(k), p.end(k)))
+        if k != _BARE:
+            quoted.append(p.span(k))
+        plus = _PLUS.match(text, p.end(), end)
+        following = plus and _PART.match(text, plus.end(), end)
+        if not following:
+            # A bare name that is itself bound is read again as a name.
+            return parts, quoted, p.start() if k == _BARE and _NAME.fullmatch(p[k]) and _BOUND.match(text, p.end(), end) else p.end()
+        p = following
 
 
 def scan(text: str, threshold: float = 0.35) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float, str]]]:
@@ -88,8 +143,13 @@ def scan(text: str, threshold: float = 0.35) -> tuple[list[tuple[int, int, int]]
     base.sort()
     more: dict[tuple[int, int], tuple[float, str]] = {}
     if "=" in text or ":" in text:
+        starts, ends = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
+        last: tuple[str, str] | None = None
         for name, value, a, b in literals(text):
-            if b - a >= 3 and (s := sensitivity(name)) and (score := s * randomness(value)) >= threshold and not any(x <= a and b <= y for x, _, y in base):
+            if last is None or last[0] is not name or last[1] is not value:
+                last, score = (name, value), (w := sensitivity(name)) and w * randomness(value)
+            covering = bisect_right(starts, a)
+            if b - a >= 3 and score >= threshold and not (covering and ends[covering - 1] >= b):
                 more[a, b] = max(more.get((a, b), (0.0, "")), (score, name))
     return base, [(a, b, s, n) for (a, b), (s, n) in sorted(more.items())]
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -267,6 +268,37 @@ def test_secret_scan(spark, docs, no_docs):
     assert secrets.secret_spans(no_docs).collect() == []
 
 
+KEY = "Zk3Qm9Lp7Rt4Vb8Nc1"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'private_key            = "@"', "private_key\t\t\t\t\t\t\t\t\t\t=\t\t\t\t\t\t\t\t\t\t'@'", "n" * 70 + '_credential = "@"', 'private_key: str = "@"', 'const accessKey: string = "@"', "let accessKey?: string | undefined = `@`",
+        'signing_key: Optional[str] = "@"', 'PRIVATE_KEY: Final["str"] = "@"', 'os.environ["DB_CREDENTIAL"] = "@"', "$config['db']['credential'] = '@'", 'load()["credential"] = "@"', 'char private_key[] = "@"', 'char private_key[64] = "@"', 'const SIGNING_KEY: &\'static str = "@";', 'var privateKey string = "@"',
+        'private_key = """@"""', "private_key = \'\'\'\n@\n\'\'\'", 'private_key = b"@"', 'note: private_key = "@"', 'mode := private_key = "@"', 'x = private_key := "@"', 'command            = "run --x private_key=@ y"', 'text = """\nprivate_key = @\n"""', 'credential: @',
+        'private_key = """-----BEGIN PRIVATE KEY-----\n@\n-----END PRIVATE KEY-----\n"""', 'K: str = "@"\nauth_credential = K', 'private_key = "abc" + "def" + "ghi" + "jkl" + "mno" + "pqr" + "stu" + "vwx" + "@"',
+    ],
+)
+def test_secret_syntax(text):
+    text = text.replace("@", KEY)
+    base, more = secrets.scan(text)
+    assert not base
+    at = text.index(KEY)
+    assert any(a <= at and at + len(KEY) <= b for a, b, _, _ in more), more
+    assert secrets.scan(text.replace(KEY, "abc"))[1] == [] or "+" in text
+
+
+def test_secret_lexer_is_precise_and_linear():
+    assert secrets.scan(f'message: str = "{KEY}"\nauth: str\ncredential: str = read()')[1] == []
+    assert [x[:2] for x in secrets.scan(f"credential: {KEY}= next")[1]] == [(12, 13 + len(KEY))]
+    assert secrets.scan(f'K = "{KEY}"\nm = "K = 5"\nprivate_key = K')[1][0][:2] == (5, 5 + len(KEY))
+    for text in ("a" * 400_000, "private_key" + " " * 400_000 + "x", "a=" * 200_000, "a: " * 150_000, "a = " * 100_000, 'a["' * 150_000, "a['b[\"" * 80_000, 'private_key = ' + '"ab" + ' * 60_000 + '"c"', 'a = """' + "b='" * 100_000, "a: b[" * 80_000, 'a = "' + "b = 'c' " * 50_000, "a = b + b\nb = a + a\n" * 10_000, 'a="\\' * 100_000):
+        t = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - t < 5, text[:20]
+
+
 def test_redaction(spark, docs):
     df = spark.createDataFrame([(1, 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', 5), (2, "clean", 5), (3, None, 7)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redacted(df).collect()}
