@@ -161,7 +161,17 @@ def label_order(spark: SparkSession, sf: str) -> DataFrame:
 @query("nested_labels", f"WITH {RAW}, {PARSED}, u AS (SELECT DISTINCT canonical, low, high FROM named WHERE id < 200) SELECT o.canonical AS outer_label, i.canonical AS inner_label FROM u o JOIN u i ON o.low < i.low AND i.high < o.high")
 def nested_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Strictly nested pairs of the label vocabulary of some parts: a small self-join over distinct labels."""
-    u = parsed_labels(spark, sf).filter("id < 200").select("canonical", "low", "high").distinct()
+    return nested_pairs(parsed_labels(spark, sf).filter("id < 200"))
+
+
+@query("all_nested_labels", f"WITH {RAW}, {PARSED}, u AS (SELECT DISTINCT canonical, low, high FROM named) SELECT o.canonical AS outer_label, i.canonical AS inner_label FROM u o JOIN u i ON o.low < i.low AND i.high < o.high")
+def all_nested_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the vocabulary of all parts; sizes bound the number of distinct labels at every scale."""
+    return nested_pairs(parsed_labels(spark, sf))
+
+
+def nested_pairs(labels: DataFrame) -> DataFrame:
+    u = labels.select("canonical", "low", "high").distinct()
     o, i = u.select(F.col("canonical").alias("outer_label"), F.col("low").alias("ol"), F.col("high").alias("oh")), u.select(F.col("canonical").alias("inner_label"), "low", "high")
     return o.join(i, (F.col("ol") < F.col("low")) & (F.col("high") < F.col("oh"))).select("outer_label", "inner_label")
 

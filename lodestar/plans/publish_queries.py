@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import columns as C
@@ -185,37 +185,89 @@ GLYPHS = "glyphs AS (SELECT CAST(l_orderkey % 40 AS BIGINT) AS page, l_extendedp
 LINES = "g AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y) > 3 OR lag(y) OVER (PARTITION BY page ORDER BY y) IS NULL THEN 1 ELSE 0 END AS s FROM glyphs), lines AS (SELECT *, CAST(sum(s) OVER (PARTITION BY page ORDER BY y) AS BIGINT) AS line FROM g)"
 
 
+def placed(lineitem: DataFrame, page: Column) -> DataFrame:
+    return lineitem.select(page.alias("page"), (F.col("l_extendedprice") / 100).alias("y"), (F.col("l_quantity") * 10).alias("x"), F.col("l_returnflag").alias("t"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+
+
 def glyphs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").filter("l_orderkey < 2000").select((F.col("l_orderkey") % 40).alias("page"), (F.col("l_extendedprice") / 100).alias("y"), (F.col("l_quantity") * 10).alias("x"), F.col("l_returnflag").alias("t"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return placed(table(spark, sf, "lineitem").filter("l_orderkey < 2000"), F.col("l_orderkey") % 40)
+
+
+TEXT_LINES = f"WITH {{}}, {LINES} SELECT page, line, round(avg(y) + 1e-6, 4) AS y, count(*) AS n FROM lines GROUP BY 1, 2"
 
 
-@query("text_lines", f"WITH {GLYPHS}, {LINES} SELECT page, line, round(avg(y) + 1e-6, 4) AS y, count(*) AS n FROM lines GROUP BY 1, 2")
+@query("text_lines", TEXT_LINES.format(GLYPHS))
 def text_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return L.line_means(glyphs(spark, sf), ["page"], "y", 3.0).select("page", "line", F.round(F.col("y") + 1e-6, 4).alias("y"), "n")
+    return shown_lines(glyphs(spark, sf))
+
+
+def shown_lines(glyphs: DataFrame) -> DataFrame:
+    return L.line_means(glyphs, ["page"], "y", 3.0).select("page", "line", F.round(F.col("y") + 1e-6, 4).alias("y"), "n")
+
 
+ROW_BANDS = f"WITH {{}}, {LINES}, a AS (SELECT page, line, avg(y) AS y FROM lines GROUP BY 1, 2) SELECT page, line, round((y + lag(y) OVER w) / 2 + 1e-6, 4) AS lo, round((y + lead(y) OVER w) / 2 + 1e-6, 4) AS hi FROM a WINDOW w AS (PARTITION BY page ORDER BY y)"
 
-@query("row_bands", f"WITH {GLYPHS}, {LINES}, a AS (SELECT page, line, avg(y) AS y FROM lines GROUP BY 1, 2) SELECT page, line, round((y + lag(y) OVER w) / 2 + 1e-6, 4) AS lo, round((y + lead(y) OVER w) / 2 + 1e-6, 4) AS hi FROM a WINDOW w AS (PARTITION BY page ORDER BY y)")
+
+@query("row_bands", ROW_BANDS.format(GLYPHS))
 def row_bands(spark: SparkSession, sf: str) -> DataFrame:
-    b = L.row_bands(L.line_means(glyphs(spark, sf), ["page"], "y", 3.0), ["page"], "y")
+    return shown_bands(glyphs(spark, sf))
+
+
+def shown_bands(glyphs: DataFrame) -> DataFrame:
+    b = L.row_bands(L.line_means(glyphs, ["page"], "y", 3.0), ["page"], "y")
     shown = lambda c: F.when(F.abs(c) == C.INF, F.lit(None).cast("double")).otherwise(F.round(F.col(c) + 1e-6, 4)).alias(c)
     return b.select("page", "line", shown("lo"), shown("hi"))
 
 
-@query("cell_texts", f"WITH {GLYPHS}, c AS (SELECT page, CAST(floor(x / 100) AS INTEGER) AS col, round(y) AS ry, x, t FROM glyphs) SELECT page, col, string_agg(t, '' ORDER BY ry, x, t) AS cell FROM c GROUP BY 1, 2")
+CELL_TEXTS = f"WITH {{}}, c AS (SELECT page, CAST(floor(x / 100) AS INTEGER) AS col, round(y) AS ry, x, t FROM glyphs) SELECT page, col, string_agg(t, '' ORDER BY ry, x, t) AS cell FROM c GROUP BY 1, 2"
+
+
+@query("cell_texts", CELL_TEXTS.format(GLYPHS))
 def cell_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return shown_cells(glyphs(spark, sf))
+
+
+def shown_cells(glyphs: DataFrame) -> DataFrame:
     edges = F.array(*[F.lit(100.0 * i) for i in range(7)])
-    g = glyphs(spark, sf).withColumn("col", L.column_of(F.col("x"), edges))
+    g = glyphs.withColumn("col", L.column_of(F.col("x"), edges))
     return L.cell_texts(g, ["page", "col"], "y", "x", "t")
 
 
 @query("kept_edges")
 def kept_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """A fold over sorted edges, each compared with the last one kept; tested against a loop."""
-    g = glyphs(spark, sf).groupBy("page").agg(F.collect_set("y").alias("ys"))
+    """A fold over sorted edges, each compared with the last one kept; tested against a loop. All orders, pages of bounded size."""
+    return shown_edges(all_glyphs(spark, sf))
+
+
+def shown_edges(glyphs: DataFrame) -> DataFrame:
+    g = glyphs.groupBy("page").agg(F.collect_set("y").alias("ys"))
     e = L.kept_edges(F.col("ys"), 20.0)
     return g.select("page", F.size("ys").cast("long").alias("n"), F.size(e).cast("long").alias("kept"), F.round(F.array_max(e), 4).alias("last"))
 
 
+# The queries above read the first orders, as their SQL says; these read all of them, on pages of 50 orders at every scale.
+ALL_GLYPHS = "glyphs AS (SELECT CAST(l_orderkey // 50 AS BIGINT) AS page, l_extendedprice / 100 AS y, l_quantity * 10 AS x, l_returnflag AS t, l_orderkey * 10 + l_linenumber AS id FROM lineitem)"
+
+
+def all_glyphs(spark: SparkSession, sf: str) -> DataFrame:
+    return placed(table(spark, sf, "lineitem"), F.floor(F.col("l_orderkey") / 50))
+
+
+@query("all_text_lines", TEXT_LINES.format(ALL_GLYPHS))
+def all_text_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return shown_lines(all_glyphs(spark, sf))
+
+
+@query("all_row_bands", ROW_BANDS.format(ALL_GLYPHS))
+def all_row_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return shown_bands(all_glyphs(spark, sf))
+
+
+@query("all_cell_texts", CELL_TEXTS.format(ALL_GLYPHS))
+def all_cell_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return shown_cells(all_glyphs(spark, sf))
+
+
 @query("latest_observation", "SELECT event_type, CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS latest FROM events GROUP BY 1")
 def latest_observation(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.max(F.col("ts").cast("date")).cast("string").alias("latest"))
