@@ -175,7 +175,9 @@ def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
 def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Mean macro-F1 and its error by model, over repeated stratified folds; own numbers, as folds depend on the seed."""
     p = _dims(spark, sf).withColumn("label", (F.col("label") % 5).cast("int"))
-    return X.cross_validated(p, "id", "label", _DIMS, [0, 1, 2, 3, 4], folds=3, repeats=2)
+    p = p.withColumn("sign", (F.col("d2") > 0).cast("double"))
+    models = ("majority", "logistic:scale", "logistic:full", "logistic:sign", "boosted", "perceptron")
+    return X.cross_validated(p, "id", "label", _DIMS, [0, 1, 2, 3, 4], models=models, columns={"logistic:scale": _DIMS[:2], "logistic:sign": ["sign"]}, controls=("majority", "logistic:sign"))
 
 
 @query("model_gate")
@@ -187,4 +189,4 @@ def model_gate(spark: SparkSession, sf: str) -> DataFrame:
 @query("seed_robustness")
 def seed_robustness(spark: SparkSession, sf: str) -> DataFrame:
     p = _dims(spark, sf).withColumn("label", (F.col("label") % 5).cast("int"))
-    return X.seed_spread(p, "id", "label", _DIMS, [0, 1, 2, 3, 4], [1, 2])
+    return X.seed_spread(p, "id", "label", _DIMS, [0, 1, 2, 3, 4], [1, 2, 3, 4, 20260914])

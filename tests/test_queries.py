@@ -47,3 +47,15 @@ def test_all_orders_and_labels_are_read(spark):
     u = {(r.canonical, r.low, float("inf") if r.high < 0 else r.high) for r in QUERIES["parsed_labels"](spark, SF).collect()}
     nested = sorted((a, b) for a, x, y in u for b, v, w in u if x < v and w < y)
     assert sorted(map(tuple, QUERIES["all_nested_labels"](spark, SF).select("outer_label", "inner_label").collect())) == nested
+
+
+def test_protocols_are_whole(spark):
+    """5 x 5 folds, logistic regression on three sets of columns, five starts of the perceptron."""
+    from inspect import signature
+
+    from lodestar.operators import metrics
+
+    assert {r.seed for r in QUERIES["seed_robustness"](spark, SF).select("seed").collect()} == {1, 2, 3, 4, 20260914}
+    assert [signature(f).parameters[a].default for f in (metrics.cross_validated, metrics.seed_spread) for a in ("folds", "repeats")] == [5, 5, 5, 5]
+    assert [signature(metrics.boosted).parameters[a].default for a in ("rounds", "rate")] == [300, 0.05]
+    assert sum(r.model.startswith("logistic") for r in QUERIES["cross_validation"](spark, SF).select("model").collect()) == 3
