@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_chars, text_udf
+
 # Parsing --------------------------------------------------------------------------------------------------------------
 
 # Tag classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg noembed xmp math select".split())
+#: What stands in these is never shown as text of the page, or is a form's control.
+RAW = frozenset("script style noscript template textarea title iframe noembed select".split())
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul label legend option caption".split()
 )
@@ -26,7 +29,11 @@ CLOSES_P = BLOCK - {"button", "label", "legend", "option", "td", "th", "tr", "tb
 #: An open element of the first kind ends at the start of one of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "tr": {"tr", "tbody"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'){0,4000}+)>""", re.S)
+#: Where markup begins; then a tag whose quoted values (after =) may hold >, and one that ends at the next >.
+_START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[A-Za-z])")
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_PLAIN = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in RAW}
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # Groups of attribute tokens that tell what a part of a page is for.
@@ -52,10 +59,11 @@ TEXT, OTHER, N_CLASSES = 11, 12, 13
 
 
 class Page(NamedTuple):
-    """Nodes in document order: element or text ("" as tag), parent (-1 for the root), own token bits, text, block number."""
+    """Nodes in document order: element or text ("" as tag), parent (-1 for the root), depth, own token bits, text, block number."""
 
     tags: list[str]
     parents: list[int]
+    depths: list[int]
     bits: list[int]
     texts: list[str]
     blocks: list[int]
@@ -75,20 +83,55 @@ def _bits(tag: str, attrs: str) -> tuple[int, bool]:
     return bits, marked
 
 
+_LISTED = frozenset(t for ends in ENDS.values() for t in ends)
+_SCOPES = ("ul", "ol", "dl", "table", "div", "section", "article", "nav", "body")
+
+
+class _Open:
+    """The stack of open elements, with the places of each tag in it, so that the nearest one is found without a walk."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["html"]
+        self.at: dict[str, list[int]] = {"html": [0]}
+        self.blocks: list[int] = []
+
+    def push(self, node: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.nodes))
+        if tag in BLOCK and tag != "p":
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def nearest(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags; 0, the root, if there is none."""
+        return max((p[-1] for t in tags if (p := self.at.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        """Ends the element at a place and all within."""
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            self.at[self.tags.pop()].pop()
+            if self.blocks and self.blocks[-1] == len(self.nodes):
+                self.blocks.pop()
+
+
 def parse(source: str) -> Page:
     """A tolerant parse: elements that HTML closes by itself are closed, stray end tags go, open ones end with the page.
 
-    What is in scripts, styles and other raw elements, comments and white space alone are no nodes.
+    What is in scripts, styles and other raw elements, comments and white space alone are no nodes. Nothing is bounded, and time is
+    linear in the page: only once can a tag's quotes lead to the page's end in vain; from there on quotes aren't looked at.
     """
-    tags, parents, bits, texts, blocks, marked = ["html"], [-1], [0], [""], [0], [False]
-    stack = [0]
-    block = at = 0
-    low: str | None = None
+    tags, parents, depths, bits, texts, blocks, marked = ["html"], [-1], [0], [0], [""], [0], [False]
+    opened = _Open()
+    block = at = pos = 0
+    quotes = True
+    size = len(source)
 
     def add_text(t: str) -> None:
         if not t.isspace():
             tags.append("")
-            parents.append(stack[-1])
+            parents.append(opened.nodes[-1])
+            depths.append(len(opened.nodes))
             bits.append(0)
             texts.append(html.unescape(t) if "&" in t else t)
             blocks.append(block)
@@ -96,74 +139,80 @@ def parse(source: str) -> Page:
         elif tags[-1] == "" and blocks[-1] == block:
             texts[-1] += " "
 
-    pos = 0
-    while True:
-        m = _TOKEN.search(source, pos)
+    while start := _START.search(source, pos):
+        here, kind, m = start.start(), start[0], None
+        if kind == "<!--":
+            end = source.find("-->", here + 2)
+            end = size if end < 0 else end + 3
+        elif kind == "<![CDATA[":
+            end = source.find("]]>", here)
+            end = size if end < 0 else end + 3
+        elif kind in ("<!", "<?"):
+            end = source.find(">", here) + 1 or size
+        else:
+            m = _TAG.match(source, here) if quotes else None
+            if m is None:
+                quotes = False
+                m = _PLAIN.match(source, here)
+                if m is None:  # no > is left: the rest is no markup
+                    break
+            end = m.end()
+        if here > at:
+            add_text(source[at:here])
+        at = pos = end
         if m is None:
-            break
-        if m.start() > at:
-            add_text(source[at : m.start()])
-        at = pos = m.end()
-        if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    del stack[k:]
-                    break
+            if place := opened.nearest((tag,)):
+                opened.close(place)
             block += tag in BLOCK
         elif tag in RAW:
             if not m[3].endswith("/"):
-                low = source.lower() if low is None else low
-                end = low.find(f"</{tag}", at) if len(low) == len(source) else source.find(f"</{tag}", at)
-                end = len(source) if end < 0 else source.find(">", end) + 1 or len(source)
-                at = pos = end
+                stop = _END[tag].search(source, at)
+                at = pos = stop.end() if stop else size
         elif tag in VOID:
             if tag == "hr":
                 block += 1
             elif tag == "br" and tags[-1] == "" and blocks[-1] == block:
                 texts[-1] += " "
-        elif tag in ("html", "body", "head") and len(stack) > 3:
+        elif tag in ("html", "body", "head") and len(opened.nodes) > 3:
             continue
         else:
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = tags[stack[k]]
-                    if t == "p":
-                        del stack[k:]
-                        break
-                    if t in BLOCK:
-                        break
-            for k in range(len(stack) - 1, 0, -1):
-                t = tags[stack[k]]
-                if tag in ENDS.get(t, ()):
-                    del stack[k:]
-                    break
-                if t in ("ul", "ol", "dl", "table", "div", "section", "article", "nav", "body"):
-                    break
+            if tag in CLOSES_P and (place := opened.nearest(("p",))) and place > (opened.blocks[-1] if opened.blocks else 0):
+                opened.close(place)
+            if tag in _LISTED:
+                place = opened.nearest(t for t, ends in ENDS.items() if tag in ends)
+                if place and place > opened.nearest(_SCOPES):
+                    opened.close(place)
             block += tag in BLOCK
             b, is_main = _bits(tag, m[3])
             tags.append(tag)
-            parents.append(stack[-1])
+            parents.append(opened.nodes[-1])
+            depths.append(len(opened.nodes))
             bits.append(b)
             texts.append("")
             blocks.append(block)
             marked.append(is_main)
             if not m[3].endswith("/"):
-                stack.append(len(tags) - 1)
-    if at < len(source):
+                opened.push(len(tags) - 1, tag)
+    if at < size:
         add_text(source[at:])
-    return Page(tags, parents, bits, texts, blocks, marked)
+    return Page(tags, parents, depths, bits, texts, blocks, marked)
 
 
 # Features -------------------------------------------------------------------------------------------------------------
 
 
-def _children_sum(parents: np.ndarray, depth: np.ndarray, *values: np.ndarray) -> None:
+def _levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, from the roots down; every node is in one of them."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
+def _children_sum(parents: np.ndarray, levels: list[np.ndarray], *values: np.ndarray) -> None:
     """Adds every node's values to its ancestors', in place, a level at a time."""
-    for level in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == level)
+    for at in reversed(levels[1:]):
         for v in values:
             np.add.at(v, parents[at], v[at])
 
@@ -179,24 +228,16 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     texts = [t for p in pages for t in p.texts]
     chars = np.array([len(t) for t in texts], np.float64)
     stops = np.array([t.count(".") + t.count(",") if t else 0 for t in texts], np.float64)
-    depth, above = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    depth, above = np.array([d for p in pages for d in p.depths], np.int64), np.zeros(n, np.int64)
     link = np.array([t == "a" for t in tags])
-    todo = np.arange(n)[parents >= 0]
-    level = np.flatnonzero(parents < 0)
-    known = np.zeros(n, bool)
-    known[level] = True
-    while len(todo):
-        ready = known[parents[todo]]
-        now = todo[ready]
-        depth[now] = depth[parents[now]] + 1
+    levels = _levels(depth)
+    for now in levels[1:]:
         above[now] = above[parents[now]] | own[parents[now]]
         link[now] |= link[parents[now]]
-        known[now] = True
-        todo = todo[~ready]
     in_link = np.where(link, chars, 0.0)
     n_tags, n_p = (kind != TEXT).astype(np.float64), (kind == 4).astype(np.float64)
     sub_chars, sub_link, sub_tags, sub_p, sub_stops = chars.copy(), in_link, n_tags.copy(), n_p, stops
-    _children_sum(parents, depth, sub_chars, sub_link, sub_tags, sub_p, sub_stops)
+    _children_sum(parents, levels, sub_chars, sub_link, sub_tags, sub_p, sub_stops)
     up = np.maximum(parents, 0)
     # Brothers and sisters: how many, which place, how many paragraphs among them.
     n_sib = np.bincount(up, minlength=n).astype(np.float64)
@@ -412,13 +453,12 @@ def decide(margin: np.ndarray, parents: np.ndarray, depth: np.ndarray) -> np.nda
     its own and, for each child, the better of both; from the root down the better choices are then taken.
     """
     yes, no = -np.logaddexp(0, -margin), -np.logaddexp(0, margin)
-    for level in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == level)
+    levels = _levels(depth)
+    for at in reversed(levels[1:]):
         np.add.at(yes, parents[at], np.maximum(yes[at], no[at]))
         np.add.at(no, parents[at], no[at])
     keep = yes > no
-    for level in range(1, int(depth.max(initial=0)) + 1):
-        at = np.flatnonzero(depth == level)
+    for at in levels[1:]:
         keep[at] &= keep[parents[at]]
     return keep
 
@@ -447,7 +487,7 @@ def extract(sources: list[str], trees: Trees) -> list[str]:
     return [block_text(p, keep[a:b]) for p, a, b in zip(pages, starts[:-1], starts[1:], strict=True)]
 
 
-def main_text(pages: DataFrame, chars_at_once: int = 1_000_000) -> DataFrame:
+def main_text(pages: DataFrame, chars_at_once: int = 500_000) -> DataFrame:
     """page_id, url, text, n_chars (code points) of each page's main text, from the whole html.
 
     Null or empty html, and pages without main text: an empty text, 0. Null ids and repeated rows are kept; other
@@ -455,18 +495,12 @@ def main_text(pages: DataFrame, chars_at_once: int = 1_000_000) -> DataFrame:
     """
     trees = pages.sparkSession.sparkContext.broadcast(trained())
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out: list[str] = []
-            part: list[str] = []
-            size = 0
-            for s in batch.column(2):
-                part.append(s.as_py() or "")
-                size += len(part[-1])
-                if size > chars_at_once:
-                    out += extract(part, trees.value)
-                    part, size = [], 0
-            out += extract(part, trees.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            for part in by_chars(batch, chars_at_once):
+                out += extract(part, trees.value)
+            yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["text", "n_chars"])
+
+    found = text_udf(run, "text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), found(F.col("html").cast("string")).alias("__main")).select("page_id", "url", "__main.*")

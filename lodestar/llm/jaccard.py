@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, join_by_key, written
+from .common import ROW, grouped, inner_by_key, join_by_key, row_ids, text_udf, tidied, written
 
 HASHES = 64
 _MIX = np.random.default_rng(20240229).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,7 +31,7 @@ def shingles(text: str, n: int = 5) -> np.ndarray:
     try:
         ids = [_WORDS[w] for w in words]
     except KeyError:
-        if len(_WORDS) > 500_000:
+        if len(_WORDS) > 100_000:
             _WORDS.clear()
         for w in words:
             if w not in _WORDS:
@@ -55,23 +55,29 @@ def min_hashes(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, key (MD5 of the text; null without words), sketch (HASHES 32-bit min-hashes) and short (their low bytes)."""
+    """``docs`` without text and with key (MD5 of the text), sketch (HASHES 32-bit min-hashes), short (their low bytes) and weight.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Null without words. weight is 1 for texts of up to 4096 shingles and grows with them, so that blocks of texts are bounded in bytes.
+    """
+    names, kinds = ["key", "sketch", "short", "weight"], (pa.binary(), pa.binary(), pa.binary(), pa.int64())
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for t in batch:
                 text = t.as_py() or ""
                 s = shingles(text, n)
                 if len(s):
                     m = min_hashes(s)
-                    rows.append((doc_id, hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest(), m.tobytes(), m.astype(np.uint8).tobytes()))
+                    rows.append((hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest(), m.tobytes(), m.astype(np.uint8).tobytes(), 1 + len(s) // 4096))
                 else:
-                    rows.append((doc_id, None, None, None))
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "key", "sketch", "short"])
+                    rows.append((None, None, None, None))
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        _WORDS.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key binary, sketch binary, short binary")
+    made = text_udf(run, "key binary, sketch binary, short binary, weight long")
+    return docs.withColumn("__s", made(F.col("text").cast("string"))).drop("text").select("*", "__s.*").drop("__s")
 
 
 def runs_for(recall: float, similarity: float, levels: int) -> int:
@@ -85,26 +91,30 @@ def _token(level: int, levels: int) -> Column:
 
 
 def leaves(texts: DataFrame, runs: int, levels: int, bucket: int) -> DataFrame:
-    """Where each run takes each text: key, run, leaf, size.
+    """Where each run takes each text: key, run, leaf, size (the weight of the leaf's texts).
 
     A run samples one token of each set (the least under its hash function, so that two sets share it with the
     probability of their similarity); texts that share it share a bucket. Buckets of one go, those of up to ``bucket`` are
     leaves, larger ones split by the next sampled token, down to ``levels``; what is still larger then is a leaf too.
+    Texts of a hot bucket stay where they are while they learn its size.
     """
-    at = texts.select("key", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "sketch")
-    at = at.select("key", "run", F.xxhash64("run", _token(0, levels)).alias("leaf"))
+    at = texts.select("key", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "sketch", "weight")
+    at = at.select("key", "run", "weight", F.xxhash64("run", _token(0, levels)).alias("leaf"))
+    total = texts.count() * runs
     done: DataFrame | None = None
     for level in range(levels):
-        sizes = at.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")
-        met = written(at.join(sizes, "leaf").select("key", "run", "leaf", "size"), "paths")
+        sizes = at.groupBy("leaf").agg(F.sum("weight").alias("size"), F.count("*").alias("n")).filter("n > 1")
+        met = written(inner_by_key(at, sizes, "leaf", "n", total).select("key", "run", "weight", "leaf", "size"), "paths")
         last = level == levels - 1
         small = met if last else met.filter(F.col("size") <= bucket)
         done = small if done is None else done.unionByName(small)
         large = met.filter(F.col("size") > bucket)
-        if last or large.isEmpty():
+        total = 0 if last else large.count()
+        if not total:
             break
-        at = large.join(texts.select("key", "sketch"), "key").select("key", "run", F.xxhash64("leaf", _token(level + 1, levels)).alias("leaf"))
-    return done
+        # One row per text in texts, at most ``runs`` of it here: no key is hot.
+        at = large.join(texts.select("key", "sketch"), "key").select("key", "run", "weight", F.xxhash64("leaf", _token(level + 1, levels)).alias("leaf"))
+    return done.drop("weight")
 
 
 def _pairs(leaf: np.ndarray, run: int, block: np.ndarray, two: bool) -> np.ndarray:
@@ -167,7 +177,42 @@ def candidates(at: DataFrame, runs: int, bucket: int, likely: float) -> DataFram
         if keep:
             yield from pa.concat_tables(keep).combine_chunks().to_batches()
 
-    return _placed(rows).mapInArrow(run_, "key binary, doc_id long, met array<long>, run int, leaf long, block int, first int, second int")
+    return _placed(rows).mapInArrow(tidied(run_), "key binary, doc_id long, met array<long>, run int, leaf long, block int, first int, second int")
+
+
+def linked(sets: list[np.ndarray], similarity: float, at_once: int = 1_000_000) -> np.ndarray:
+    """Which pairs of sets have the Jaccard similarity or more, exactly, as a symmetric matrix.
+
+    Sets are taken by size, in chunks of about ``at_once`` tokens; sets whose sizes alone rule the similarity out never meet.
+    Shared tokens are counted by matrix products over the tokens that two sets of a chunk pair have in common.
+    """
+    size = np.array([len(s) for s in sets], dtype=np.float64)
+    out = np.zeros((len(sets), len(sets)), bool)
+    by = np.argsort(size, kind="stable")
+    chunk = (np.cumsum(size[by]) // at_once).astype(np.int64)
+    parts = [by[chunk == c] for c in np.unique(chunk)]
+    for i, a in enumerate(parts):
+        for j in range(i, len(parts)):
+            b = parts[j]
+            if size[a[-1]] < similarity * size[b[0]] - 1e-9:
+                break
+            both = a if i == j else np.concatenate([a, b])
+            row = np.repeat(np.arange(len(both)), size[both].astype(np.int64))
+            _, col, times = np.unique(np.concatenate([sets[x] for x in both]), return_inverse=True, return_counts=True)
+            shared = times[col] > 1
+            row, col = row[shared], (np.cumsum(times > 1) - 1)[col[shared]]
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            common = np.zeros((len(both), len(both)))
+            width = max(64, 2_000_000 // len(both))
+            for at in range(0, int((times > 1).sum()), width):
+                lo, hi = np.searchsorted(col, (at, at + width))
+                x = np.zeros((len(both), width), np.float32)
+                x[row[lo:hi], col[lo:hi] - at] = 1
+                common += x @ x.T
+            s = size[both]
+            out[np.ix_(both, both)] |= common >= similarity * (s[:, None] + s[None, :] - common) - 1e-9
+    return out
 
 
 def verified(found: DataFrame, runs: int, similarity: float, n: int = 5) -> DataFrame:
@@ -191,21 +236,7 @@ def verified(found: DataFrame, runs: int, similarity: float, n: int = 5) -> Data
                 keys = list(first)
             own = _pairs(_leaf_matrix(g["met"], runs), g["run"][0].as_py(), g["block"].to_numpy(), g["first"][0].as_py() != g["second"][0].as_py())
             sets = [shingles(t.as_py(), n) for t in g["text"]]
-            size = np.array([len(s) for s in sets], dtype=np.float64)
-            row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
-            token, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            shared = times[col] > 1
-            row, col = row[shared], (np.cumsum(times > 1) - 1)[col[shared]]
-            by = np.argsort(col, kind="stable")
-            row, col = row[by], col[by]
-            both = np.zeros((len(sets), len(sets)))
-            width = max(64, 4_000_000 // len(sets))
-            for a in range(0, int((times > 1).sum()), width):
-                lo, hi = np.searchsorted(col, (a, a + width))
-                x = np.zeros((len(sets), width), np.float32)
-                x[row[lo:hi], col[lo:hi] - a] = 1
-                both += x @ x.T
-            link = own & (both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9)
+            link = own & linked(sets, similarity)
             link |= link.T
             if not link.any():
                 continue
@@ -228,7 +259,7 @@ def verified(found: DataFrame, runs: int, similarity: float, n: int = 5) -> Data
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["key", "links", "root"])
 
-    return _placed(found).mapInArrow(run_, "key binary, links long, root binary")
+    return _placed(found).mapInArrow(tidied(run_, _WORDS.clear), "key binary, links long, root binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,10 +276,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = state(e)
     while now[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.filter("a > m").select("a", F.col("m").alias("b"))).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = inner_by_key(both, least, "a", "n", 2 * now[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.filter("a > m").select("a", F.col("m").alias("b"))).distinct()
+        large = written(large, "stars")
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = inner_by_key(large, down, "a", "n", now[0]).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
         e = written(small, "links")
         then, now = now, state(e)
         if then == now:
@@ -256,24 +288,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, levels: int = 4, bucket: int = 512, likely: float = 0.6) -> DataFrame:
-    """Near-duplicate classes of documents: doc_id, class_id, n_links, n_copies.
+def classes(docs: DataFrame, n: int, similarity: float, recall: float, levels: int, bucket: int, likely: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` (doc_id and what else it has, without text) with their key, and per key: root, class_id, n_links, n_copies.
 
-    Two texts are linked if the Jaccard similarity of their sets of ``n``-word runs is ``similarity`` or more; a
-    class is what links connect, named by its least doc_id. n_links: different texts that the document's text is linked to; n_copies:
-    documents with exactly its text, itself too. Copies are collapsed first and never expanded into pairs. Candidates come
-    from chosen-path runs (see leaves), as many as ``recall`` asks for at the deepest level; sketches drop
-    those far below the limit (``likely``); the rest are verified exactly, each pair once.
-
-    Null or empty texts and texts without words have no links: each is a class of its own (n_copies 1). Null doc_ids are kept
-    (class_id is then the least known doc_id of the class, or null). Repeated rows count as copies. Other columns are ignored.
+    root is the least key of the class, class_id its least doc_id.
     """
     runs = runs_for(recall, similarity, levels)
     if runs * levels > HASHES:
         raise ValueError(f"{runs} runs of {levels} levels need more than {HASHES} hashes")
-    spark_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = written(sketches(spark_docs, n), "sketches")
-    texts = seen.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
+    seen = written(sketches(docs, n), "sketches")
+    texts = seen.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), *[F.first(c).alias(c) for c in ("sketch", "short", "weight")])
     texts = written(texts, "texts")
     at = written(leaves(texts, runs, levels, bucket), "leaves")
     by_run = F.map_from_entries(F.collect_list(F.struct("run", "leaf")))
@@ -281,23 +305,57 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     known = texts.select("key", F.col("rep").alias("doc_id"), "short").join(met, "key")
     likely_ones = written(candidates(at.join(known, "key"), runs, bucket, likely), "candidates")
     # A text comes from the document that stands for it, so hot copies aren't joined.
-    source = spark_docs.select("doc_id", "text", F.unhex(F.md5(F.col("text"))).alias("key"))
+    source = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text"))).alias("key"))
     found = likely_ones.join(source, likely_ones["doc_id"].eqNullSafe(source["doc_id"]) & (likely_ones["key"] == source["key"])).select(likely_ones["*"], "text")
-    linked = written(verified(found, runs, similarity, n), "verified")
-    nodes = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    links = linked.groupBy("key").agg(F.sum("links").alias("n_links"))
+    links = written(verified(found, runs, similarity, n), "verified")
+    nodes = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    counts = links.groupBy("key").agg(F.sum("links").alias("n_links"))
     member = texts.select("key", "rep", "n_copies").join(nodes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    member = written(member.join(links, "key", "left"), "members")
+    member = written(member.join(counts, "key", "left"), "members")
     # A class of one text is named by it; the others' names are one row per class.
-    names = member.filter("n_links is not null").groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n_texts"))
     inside = member.filter("n_links is not null")
-    named = join_by_key(inside.select("key", "n_copies", "n_links", "root"), names, "root", "n_texts", F.xxhash64("key"), member.count()).select("key", "n_copies", "n_links", "class_id")
-    alone = member.filter("n_links is null").select("key", "n_copies", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("class_id"))
-    report = written(named.unionByName(alone).withColumn("copies", F.col("n_copies")), "classes")
-    out = join_by_key(seen.select("doc_id", "key"), report, "key", "copies", F.xxhash64("doc_id"), seen.count())
+    names = inside.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n_texts"))
+    named = inner_by_key(inside.select("root", "key", "n_copies", "n_links"), names, "root", "n_texts", inside.count())
+    alone = member.filter("n_links is null").select("root", "key", "n_copies", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("class_id"))
+    return seen.drop("sketch", "short", "weight"), written(named.unionByName(alone), "classes")
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, levels: int = 4, bucket: int = 512, likely: float = 0.6) -> DataFrame:
+    """Near-duplicate classes of documents: doc_id, class_id, n_links, n_copies.
+
+    Two texts are linked if the Jaccard similarity of their sets of ``n``-word runs is ``similarity`` or more; a
+    class is what links connect, named by its least doc_id. n_links: different texts that the document's text is linked to; n_copies:
+    documents with exactly its text, itself too. Copies are collapsed first and never expanded into pairs. Candidates come
+    from chosen-path runs (see leaves), as many as ``recall`` asks for at the deepest level; sketches drop
+    those far below the limit (``likely``); the rest are verified exactly, each pair once.
+
+    Null or empty texts and texts without words have no links: each is a class of its own (n_copies 1). Null doc_ids are kept
+    (class_id is then the least known doc_id of the class, or null). Repeated rows count as copies. Other columns are ignored.
+    """
+    rows, report = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n, similarity, recall, levels, bucket, likely)
+    report = report.select("key", "class_id", "n_links", "n_copies", F.col("n_copies").alias("copies"))
+    out = join_by_key(rows, report, "key", "copies", F.xxhash64("doc_id"), rows.count())
     return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
+def deduplicated(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, levels: int = 4, bucket: int = 512, likely: float = 0.6) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class of ``jaccard_join``.
+
+    The row that stays has the least doc_id (rows without one come last); among rows of one doc_id, the one with the least hash of its columns, so
+    reruns agree. Rows without words are classes of their own and stay. Rows are told apart by where they stand in their files,
+    so null and repeated doc_ids lose nothing.
+    """
+    ids = row_ids(docs)
+    plain = ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *ROW, F.xxhash64(*docs.columns).alias("mark"))
+    rows, report = classes(plain, n, similarity, recall, levels, bucket, likely)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark", *ROW))
+    # Copies of a text give way to one of them first, then the texts of a class.
+    best = written(rows.filter("key is not null").groupBy("key").agg(first.alias("best")), "copies")
+    one = best.join(report.select("key", "root"), "key").groupBy("root").agg(F.min("best").alias("best")).select(*[f"best.{c}" for c in ROW])
+    kept = written(one.unionByName(rows.filter("key is null").select(*ROW)), "kept")
+    return ids.join(kept, ROW, "left_semi").select(docs.columns)
+
+
 def brute_force(texts: dict[int, str], n: int = 5, similarity: float = 0.8) -> dict[int, tuple[int, int]]:
     """class_id and n_links by comparing all pairs (for tests)."""
     sets = {d: set(shingles(t or "", n).tolist()) for d, t in texts.items()}

@@ -14,11 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import rechunked, tidied
+
 #: GPT-2's pre-tokenisation pattern; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Two white-space characters in a row: only there can a piece reach over a word's start.
 _RUN = re.compile(r"\s\s")
-_CACHE_ENTRIES = 300_000
+_CACHE_ENTRIES = 100_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -117,7 +119,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
             if rows:
                 yield out(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(cut), "doc_id long, piece int, start long, length long, ids binary")
 
 
 class OpenBins:
@@ -164,7 +166,8 @@ def pack_best_fit(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024
     Pieces are dealt by a hash of ``order`` to ``packers`` independent packers, each of which streams its pieces, in
     the order of another hash, through a bounded set of ``open_bins`` open bins (see OpenBins), ``lookahead`` pieces at a time
     from the longest to the shortest. Memory is bounded by the open bins and what is looked ahead. A packer leaves at most ``open_bins`` sequences partly filled at its end, so use as few packers as
-    time allows. Lengths must be from 1 to ``capacity``. Reruns agree. An empty table gives an empty table.
+    time allows. So the order is best-fit decreasing within each ``lookahead`` pieces and online beyond them, whatever the
+    batches that Spark deals. Lengths must be from 1 to ``capacity``. Reruns agree. An empty table gives an empty table.
     """
     names = pieces.columns
     dealt = pieces.repartition(packers, F.xxhash64(*order, F.lit(1))).sortWithinPartitions(F.xxhash64(*order), *order)
@@ -172,16 +175,15 @@ def pack_best_fit(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in rechunked(batches, lookahead):
             lengths = batch.column(names.index("length")).to_pylist()
             placed: list[tuple[int, int]] = [(0, 0)] * len(lengths)
-            for a in range(0, len(lengths), lookahead):
-                for i in sorted(range(a, min(a + lookahead, len(lengths))), key=lambda i: (-lengths[i], i)):
-                    placed[i] = bins.place(lengths[i])
+            for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+                placed[i] = bins.place(lengths[i])
             more = [pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "sequence_id", "offset"])
 
-    return dealt.mapInArrow(pack, schema)
+    return dealt.mapInArrow(tidied(pack), schema)
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, open_bins: int = 1024, end_id: int = 0, docs_per_packer: int = 150_000, keep_ids: bool = True) -> DataFrame:

@@ -7,13 +7,15 @@ import math
 import re
 from bisect import bisect_right
 from collections import ChainMap, Counter
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_udf
+
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -158,28 +160,36 @@ KINDS = ("assign", "access", "hex", "literal")
 _SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
+def spans_of(text: str, threshold: float) -> list[tuple[int, int, int, float]]:
+    """All spans of a text as (start, kind, end, score), in order; kinds as in KINDS."""
+    base, more = scan(text, threshold)
+    return sorted([(a, k, b, 1.0) for a, k, b in base] + [(a, 3, b, s) for a, b, s, _ in more])
+
+
 def secret_spans(docs: DataFrame, threshold: float = 0.35, into: str = "secrets") -> DataFrame:
     """All columns of ``docs`` and ``into``: the spans found in the whole text, by start, then kind as in KINDS.
 
     Offsets are code points, ends exclusive; base kinds score 1. Null or empty text: an empty array. A column of docs
-    that has that name is replaced. Null ids and repeated rows are kept.
+    that has that name is replaced. Null ids and repeated rows are kept. Only texts go to Python.
     """
-    docs = docs.drop(into)
-    names = docs.columns
-    at = names.index("text")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
-    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = []
-            for text in batch.column(at):
-                base, more = scan(text.as_py() or "", threshold)
-                rows = [(a, k, b, 1.0) for a, k, b in base] + [(a, 3, b, s) for a, b, s, _ in more]
-                found.append([{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(rows)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, into])
+            yield pa.array([[{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in spans_of(t.as_py() or "", threshold)] for t in batch], kind)
+
+    docs = docs.drop(into)
+    return docs.withColumn(into, text_udf(find, _SPANS)(F.col("text").cast("string")))
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(find, f"{schema}, `{into}` {_SPANS}")
+def replaced(text: str, mark: str, threshold: float) -> str:
+    """The text with each run of overlapping spans replaced by ``mark``; one pass over its spans."""
+    parts, at = [], 0
+    for a, _, b, _ in spans_of(text, threshold):
+        if a >= at:
+            parts += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*parts, text[at:]]) if parts else text
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.35) -> DataFrame:
@@ -187,18 +197,12 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.35) -
 
     Documents without secrets, and null texts, are unchanged; no row is dropped.
     """
-    found = secret_spans(docs, threshold, "__secrets")
-    # Spans in order of start: keep the text between the furthest end so far and the next start.
-    fold = F.aggregate(
-        "__secrets",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("end")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["end"], F.concat(acc["out"], F.substring(F.col("text"), acc["end"] + 1, s["start"] - acc["end"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["end"], s["end"]).alias("end"),
-        ),
-    )
-    text = F.when(F.size("__secrets") > 0, F.concat(fold["out"], F.substring(F.col("text"), fold["end"] + 1, F.char_length("text")))).otherwise(F.col("text"))
-    out = found.withColumn("text", text).drop("__secrets")
+
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if (text := t.as_py()) is None else replaced(text, mark, threshold) for t in batch], pa.string())
+
+    out = docs.withColumn("text", text_udf(clean, "string")(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

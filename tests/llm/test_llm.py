@@ -411,16 +411,74 @@ def test_language_id(spark, no_docs):
     assert {r.lang_pred for r in langid.identified(df, langid.train(no_docs)).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    c, at = langid.codes(["the thing and the ring", "an ant"])
-    assert at.tolist() == [0, 25]
+def plain_kneser_ney(texts, alphabet):
+    """The probability of a character after the three before it, from dictionaries of counts."""
+    pad = "\0" * 3
+    seen = [{} for _ in range(4)]  # by order - 1: gram -> count, or number of different characters to its left
+    for t in texts:
+        t = pad + re.sub(r"[^a-z]+", " ", t)
+        for i in range(3, len(t)):
+            seen[3][t[i - 3 : i + 1]] = seen[3].get(t[i - 3 : i + 1], 0) + 1
+    for o in (2, 1, 0):
+        for g in {g[1:] for g in seen[o + 1]}:
+            seen[o][g] = sum(h[1:] == g for h in seen[o + 1])
+    cut = []
+    for table in seen:
+        one, two = sum(n == 1 for n in table.values()), sum(n == 2 for n in table.values())
+        cut.append(min(0.95, max(0.1, one / max(one + 2 * two, 1))))
+
+    def p(gram):
+        if not gram:
+            return 1 / alphabet
+        o = len(gram) - 1
+        after = {g: n for g, n in seen[o].items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        if not total:
+            return p(gram[1:])
+        return max(after.get(gram, 0) - cut[o], 0) / total + cut[o] * len(after) / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_dictionaries():
+    texts = ["the thing and the ring sang a song", "an ant and a thing"]
+    c, at = langid.codes(texts)
+    assert at.tolist() == [0, 37]
     key = langid.grams(c)[c[3:] != langid.PAD]
     k, n = np.unique(key, return_counts=True)
-    m = langid._kneser_ney(["x"], np.zeros(len(k), np.int64), k, n)
-    seen = np.unique(c[c != langid.PAD]).astype(np.uint64)
-    for ctx in (k >> np.uint64(16))[:10]:
-        p = np.exp(m.log_probs((ctx << np.uint64(16)) | seen)).sum()
-        assert p <= 1 + 1e-6 and p > 0.5
+    bank = langid.kneser_ney(1, 1030, np.zeros(len(k), np.int64), k, n)
+    plain = plain_kneser_ney(texts, 1030)
+    grams = ["\0\0\0t", "\0thx", "the ", "ing ", "ingz", "zzzz", "qqa ", "a th", " an ", "sang"] + [texts[0][i : i + 4] for i in range(20)]
+    packed = np.array([sum(max(ord(x), 1) << (16 * (3 - i)) for i, x in enumerate(g)) for g in grams], np.uint64)
+    got = bank.log_probs(packed)[:, 0]
+    assert np.abs(got - np.log([plain(g) for g in grams])).max() < 1e-5
+    # The characters seen and the 1030 - 12 others that share the rest sum to one after any context.
+    known = sorted(set("".join(texts)))
+    for ctx in ("the", "ing", "zzz", "\0\0\0"):
+        assert abs(sum(plain(ctx + x) for x in known) + (1030 - len(known)) * plain(ctx + "~") - 1) < 1e-9
+
+
+def test_languages_in_banks_and_long_texts(spark):
+    """Eleven languages take two banks; a text beyond a slice scores like its parts; repeated rows teach once."""
+    rng = random.Random(12)
+    kinds = {f"l{i:02}": [chr(97 + (i * 2 + j) % 26) + chr(97 + (i * 5 + j * 3) % 26) for j in range(5)] for i in range(11)}
+    say = lambda x, n: " ".join("".join(rng.choice(kinds[x]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, say(x, 60), x) for i in range(440) for x in [f"l{i % 11:02}"]] + [(440, "zz " * 30, "l00")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, langs = langid.labelled_sample(docs, 30, 250)
+    assert langs == sorted(kinds)
+    by = {}
+    for r in sample.collect():
+        by.setdefault(r.lang, []).append(r.text)
+    assert all(len(t) == 22 == len(set(t)) for t in by.values())  # 250 // 11 of each, none twice
+    model = langid.train(docs)
+    assert len(model.banks) == 2
+    assert [p[0] for p in model.predict([say(x, 40) for x in sorted(kinds)])] == sorted(kinds)
+    long = say("l07", 90_000)
+    assert len(long) > 2 * langid._CHUNK
+    (lang, score, ce, ok), n = model.predict([long])[0], 4000
+    parts = [model.predict([long[a : a + n]])[0][2] for a in range(0, len(long), n)]
+    assert (lang, ok) == ("l07", True) and abs(ce - np.mean(parts)) < 0.02
 
 
 # pipeline
