@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import jaccard, langid, mixing, packing, secrets
-from lodestar.llm.common import scratch, table
+from lodestar.llm.common import ROW, row_ids, scratch, table
 from lodestar.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,13 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least doc_id stays, and of rows that repeat its doc_id one.
-
-    Rows without a doc_id stay, as nothing tells them apart.
-    """
-    kept = jaccard.jaccard_join(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    known = docs.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return known.join(kept, "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of each class of near duplicates one row stays: the one with the least doc_id, rows without one last (see jaccard.deduplicated)."""
+    return jaccard.deduplicated(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +40,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 3 times): copies are rows with the same doc_id.
-
-    doc_id is a key here, but for rows without one, which stay once each.
-    """
-    copies = mixing.entropy_mix(docs.filter(F.col("doc_id").isNotNull())).filter("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    taken = docs.join(copies, docs["doc_id"] == F.col("__id")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Each row as often as the mix takes it (0 to 3 times). Rows are told apart by their place in their files, so null and repeated doc_ids are rows like others."""
+    rows = row_ids(docs)
+    copies = mixing.entropy_mix(rows, keep=ROW).filter("copies > 0").select(*ROW, F.col("copies").alias("__copies"))
+    return rows.join(copies, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
