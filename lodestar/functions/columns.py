@@ -83,6 +83,21 @@ def mapped(c: Column, values: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(m, c), fail("unknown value", c))
 
 
+def member(c: Column, groups: tuple[str, ...], known: tuple[str, ...]) -> Column:
+    """1 if the value is among ``groups``, 0 for null or another known value; unknown ones raise."""
+    return F.when(c.isNull() | c.isin(*known), F.coalesce(c.isin(*groups).cast("int"), F.lit(0))).otherwise(fail("unknown value", c)).cast("int")
+
+
+def measured(c: Column, least: float) -> Column:
+    """A length: 0 stands for missing; negative ones and those from 0 to ``least`` raise."""
+    return F.when(c == 0, F.lit(None)).when(c >= least, c).when(c.isNotNull(), fail("not a length", c).cast("double"))
+
+
+def rounded_rings(rings: Column, digits: int = 6) -> Column:
+    """Rings (arrays of points) with every coordinate rounded."""
+    return F.transform(rings, lambda ring: F.transform(ring, lambda point: F.transform(point, lambda v: F.round(v, digits))))
+
+
 def size_bytes(c: Column) -> Column:
     """KB, MB and GB text as bytes; other units raise."""
     pattern = r"^\s*([\d.,]+)\s*(KB|MB|GB)\s*$"
@@ -118,33 +133,32 @@ def plain_number(c: Column) -> Column:
 
 # Labels of half-open intervals ---------------------------------------------------------------------------------------
 
-_N = r"(\d+(?:\.\d+)?)"
-#: Patterns of a normalised label in order, with how each gives the bounds: (low group, high group), 0 for none.
-LABEL_FORMS = (
-    (rf"^{_N}m以上~?{_N}m未満$", 1, 2),
-    (rf"^{_N}m以上$", 1, 0),
-    (rf"^~?{_N}m未満$", 0, 1),
-    (rf"^~{_N}m$", 0, 1),
-    (rf"^{_N}~{_N}m$", 1, 2),
-    (rf"^{_N}m~$", 1, 0),
-)
+#: A label is a lower bound, an upper bound or both. These are the shapes that bounds take, with # for a number, by what they give.
+_LOWER, _UPPER = ("#m以上", "#以上"), ("#m未満", "#未満")
+LOW_SHAPES = (*_LOWER, "#m~")
+HIGH_SHAPES = (*_UPPER, *(f"~{u}" for u in _UPPER), "~#m")
+BOTH_SHAPES = (*(f"{lo}{tie}{up}" for lo in _LOWER for tie in ("~", "") for up in _UPPER), "#~#m", "#m~#m")
 
 
 def label_form(c: Column) -> Column:
-    """A label with one kind of tilde and no white space (the wide tilde is what NFKC would change)."""
-    return F.translate(F.regexp_replace(c, r"(?U)\s+", ""), "〜～", "~~")
+    """A label in NFKC with one kind of tilde and no white space."""
+    return F.translate(without_space(nfkc(c)), "〜～", "~~")
 
 
 def label_bounds(c: Column, strict: bool = True) -> Column:
-    """struct(low, high) of a label's interval, high infinite where open; else raises, or null if not strict."""
+    """struct(low, high) of a label's interval, high infinite where open; else raises, or null if not strict.
+
+    The label's shape, its numbers taken out, tells which bounds it has; the first number is the lower one, the last the upper one.
+    """
     t = label_form(c)
-    out = fail("not a label", c) if strict else F.lit(None)
-    none = out.cast("struct<low:double,high:double>") if not strict else F.struct(out.cast("double").alias("low"), F.lit(0.0).alias("high"))
-    for pattern, lo, hi in reversed(LABEL_FORMS):
-        low = F.regexp_extract(t, pattern, lo).cast("double") if lo else F.lit(0.0)
-        high = F.regexp_extract(t, pattern, hi).cast("double") if hi else F.lit(INF)
-        none = F.when(t.rlike(pattern) & F.when(t.rlike(pattern), low < high).otherwise(False), F.struct(low.alias("low"), high.alias("high"))).otherwise(none)
-    return none
+    number = r"\d+(?:\.\d+)?"
+    shape, numbers = F.regexp_replace(t, number, "#"), F.regexp_extract_all(t, F.lit(number), F.lit(0))
+    low = F.when(shape.isin(*LOW_SHAPES, *BOTH_SHAPES), F.try_element_at(numbers, F.lit(1)).cast("double")).otherwise(0.0)
+    high = F.when(shape.isin(*HIGH_SHAPES, *BOTH_SHAPES), F.try_element_at(numbers, F.lit(-1)).cast("double")).otherwise(INF)
+    known = shape.isin(*LOW_SHAPES, *HIGH_SHAPES, *BOTH_SHAPES) & (low < high)
+    kind = "struct<low:double,high:double>"
+    otherwise = F.struct(fail("not a label", c).cast("double").alias("low"), F.lit(0.0).alias("high")) if strict else F.lit(None).cast(kind)
+    return F.when(known, F.struct(low.alias("low"), high.alias("high"))).otherwise(otherwise)
 
 
 def canonical_label(low: Column, high: Column) -> Column:

@@ -28,8 +28,9 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
         k.alias("id"), F.col("c_mktsegment").alias("class"), (k % 13 * 10).alias("outer_m"), (k % 11 * 5).alias("mooring_m"), pick(4, "○", "◎", None, "○").alias("mark"), pick(5, "離島", "半島", "離島半島", None, None).alias("island"),
         F.concat(F.lit("S"), 20 + k % 40, F.lit(".4.1")).alias("designated"), F.when(k % 3 != 0, (k % 7).cast("string")).alias("sub"),
     )
-    among = lambda *v: F.coalesce(F.col("island").isin(*v).cast("int"), F.lit(0))
-    return c.filter("outer_m > 0 and mooring_m > 0").select(
+    among = lambda *v: C.member(F.col("island"), v, ("離島", "奄美", "半島", "離島半島"))
+    c = c.withColumn("outer_m", C.measured(F.col("outer_m"), 3)).withColumn("mooring_m", C.measured(F.col("mooring_m"), 3))
+    return c.filter("outer_m is not null and mooring_m is not null").select(
         "id", "class", F.round(F.log1p("outer_m"), 6).alias("log_outer"), F.round(F.log1p("mooring_m"), 6).alias("log_mooring"), C.mark_flag(F.col("mark"), "○").alias("berth"), C.mark_flag(F.col("mark"), "◎").alias("double_mark"),
         among("離島", "離島半島").alias("is_island"), among("半島", "離島半島").alias("is_peninsula"), C.era_year(F.col("designated")).alias("year"), C.digits_or_zero(F.col("sub")).alias("subdistricts"),
     )
@@ -146,6 +147,19 @@ def neighbour_sections(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("src", F.array_join(F.transform("neighbours", lambda n: F.concat_ws(":", n["dst"], n["label"])), ",").alias("neighbours"))
 
 
+SIMILAR = f"""WITH {vector_queries.V}, {vector_queries.KNN.format(a='a.vec', b='b.vec', k=3)}, s AS (SELECT src, count(*) AS n FROM knn WHERE src % 4 <> 0 GROUP BY 1), b AS (SELECT unnest(['none', 'failed', 'passed']) AS build)
+SELECT build, id, CASE build WHEN 'none' THEN 'missing_source' WHEN 'failed' THEN 'suppressed' ELSE CASE WHEN n IS NULL THEN 'not_available' ELSE 'estimated' END END AS status, CAST(CASE WHEN build = 'passed' THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS n FROM v CROSS JOIN b LEFT JOIN s ON src = id"""
+
+
+@query("similar_sections", SIMILAR)
+def similar_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """The section of similar rows when there is no report, when its gate fails and when it passes; every fourth row has no neighbours of its own."""
+    v = vector_queries._vectors(spark, sf)
+    pairs, dims = N.nearest(v, 3).filter("src % 4 <> 0"), v.select(F.col("id").alias("dst"), "label")
+    one = lambda build, gate: P.neighbour_states(v.select("id"), "id", pairs, dims, gate).select(F.lit(build).alias("build"), "id", "status", F.coalesce(F.size("neighbours"), F.lit(0)).cast("long").alias("n"))
+    return one("none", None).unionByName(one("failed", False)).unionByName(one("passed", True))
+
+
 @query("versions_descending", f"WITH {geo_queries.BOXES}, u AS (SELECT DISTINCT pref, version FROM boxes) SELECT pref, version, row_number() OVER (PARTITION BY pref ORDER BY version DESC) AS place FROM u")
 def versions_descending(spark: SparkSession, sf: str) -> DataFrame:
     u = geo_queries.boxes(spark, sf).select("pref", "version").distinct()
