@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.text import numbered_lines
+
 RECORD = "v string, ts string, project string, loop_id string, event string, data map<string,string>"
 
 
-def read_jsonl(spark, path: str) -> DataFrame:
-    """file, line (from 1), record (null where the line is no JSON): lines keep their number within the file."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("i", "text"))
-    parsed = raw.filter(F.trim("text") != "").select("file", (F.col("i") + 1).cast("long").alias("line"), F.from_json("text", RECORD).alias("record"), F.try_parse_json("text").isNotNull().alias("ok"))
-    return parsed.withColumn("record", F.when(F.col("ok"), F.col("record"))).drop("ok")
+def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), record (null where the line is no JSON): lines keep their number within the file, blank ones go."""
+    raw = numbered_lines(spark, path).filter(F.trim("text") != "")
+    return raw.select("file", "line", F.when(F.try_parse_json("text").isNotNull(), F.from_json("text", RECORD)).alias("record"))
+
+
+def admission(log: DataFrame, new: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """``new`` rows (file, line, event, supersedes) with verdict: ok, or why a row may not be appended.
+
+    Events are of known kinds; a correction names an earlier line of its file that is in the log, is no correction and isn't corrected yet.
+    """
+    known = log.select("file", F.col("line").alias("supersedes"), (F.col("event") == "correction").alias("__fix"), F.lit(True).alias("__there"))
+    done = log.filter("event = 'correction'").select("file", "supersedes").distinct().withColumn("__done", F.lit(True))
+    both = new.join(known, ["file", "supersedes"], "left").join(done, ["file", "supersedes"], "left")
+    fix = F.col("event") == "correction"
+    verdict = (
+        F.when(~F.col("event").isin(*kinds, "correction"), "unknown event").when(fix & F.col("supersedes").isNull(), "no target").when(fix & (F.col("supersedes") >= F.col("line")), "later target")
+        .when(fix & F.col("__there").isNull(), "no target").when(fix & F.col("__fix"), "target is a correction").when(fix & F.col("__done"), "corrected before").otherwise("ok")
+    )
+    return both.withColumn("verdict", verdict).select(*new.columns, "verdict")
+
+
+def appended(new: DataFrame, order: list[str], path: str) -> DataFrame:
+    """Appends rows to a log of JSON lines: a file of its own for each append, in order; what was there stays as it is. Returns the rows."""
+    new.repartitionByRange(*order).sortWithinPartitions(*order).select(F.to_json(F.struct(*new.columns)).alias("value")).write.mode("append").text(path)
+    return new
 
 
 def facts(log: DataFrame, keys: list[str], kind: str, seq: str, value: str) -> DataFrame:

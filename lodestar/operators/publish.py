@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import search_form
@@ -70,6 +72,35 @@ def neighbour_section(pairs: DataFrame, attributes: DataFrame, digits: int = 4)
     return pairs.join(attributes, "dst").groupBy("src").agg(F.array_sort(F.collect_list(one)).alias("neighbours"))
 
 
+def neighbour_states(rows: DataFrame, key: str, pairs: DataFrame, attributes: DataFrame, gate: bool | None) -> DataFrame:
+    """``rows`` with status and neighbours: missing_source without a report (``gate`` is null), suppressed where its gate fails, else estimated or not_available."""
+    if not gate:
+        kind = neighbour_section(pairs.limit(0), attributes.limit(0)).schema["neighbours"].dataType
+        return rows.withColumn("status", F.lit("missing_source" if gate is None else "suppressed")).withColumn("neighbours", F.lit(None).cast(kind))
+    found = neighbour_section(pairs, attributes).withColumnRenamed("src", key)
+    return rows.join(found, key, "left").withColumn("status", F.when(F.col("neighbours").isNull(), "not_available").otherwise("estimated"))
+
+
+def in_fixed_order(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """place, key, n of the groups that have rows, in a fixed order of keys; empty groups go. Keys outside of the order raise."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(key))
+    n = df.groupBy(key).agg(F.count("*").alias("n")).withColumn("at", F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("unknown key "), F.col(key))).cast("long")))
+    # At most as many rows as the order has keys.
+    return n.select(F.row_number().over(Window.orderBy("at")).cast("long").alias("place"), key, "n")
+
+
+def fetch_plan(listing: DataFrame, policies: DataFrame, name: str, policy: str, allowed: str) -> DataFrame:
+    """Rows of the listing whose ``name`` may be fetched; a name without a policy stops the job."""
+    both = listing.join(F.broadcast(policies), name, "left")
+    known = F.when(F.col(policy).isNotNull(), F.col(policy)).otherwise(F.raise_error(F.concat(F.lit("no policy for "), F.col(name))))
+    return both.filter(known == allowed).drop(policy)
+
+
+def size_differs(files: DataFrame, said: str, found: str, share: float = 0.03) -> DataFrame:
+    """Files whose size is further from what their page says than ``share`` of it."""
+    return files.filter(F.abs(F.col(found) - F.col(said)) > share * F.col(said))
+
+
 def forbidden(df: DataFrame, names: list[str]) -> list[str]:
     """Columns that must not be there."""
     return sorted(set(df.columns) & set(names))
@@ -80,23 +111,65 @@ def one_file_per_key(df: DataFrame, key: str, folder: str) -> DataFrame:
 
     Files are written whole under their final name, so a repeated task writes the same file again.
     """
-    docs = df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("body"))
+    return files_by_key(df.select(F.col(key).cast("string").alias("key"), F.encode(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), "UTF-8").alias("body")), folder, ".json")
+
+
+def files_by_key(df: DataFrame, folder: str, suffix: str) -> DataFrame:
+    """Writes ``body`` (binary) of each row to a file named by ``key`` and suffix: key, path, bytes, to be consumed once."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         for batch in batches:
             paths, sizes = [], []
-            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = body.encode()
-                path = f"{root}/{k}.json"
+            for k, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = body.as_py()
+                path = f"{root}/{k}{suffix}"
                 with store.open_output_stream(path, compression=None) as f:
                     f.write(data)
                 paths.append(path)
                 sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths), pa.array(sizes, pa.int64())], ["key", "path", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["key", "path", "bytes"])
+
+    return df.select(F.col("key").cast("string"), "body").mapInArrow(write, "key string, path string, bytes long")
+
+
+def document(df: DataFrame, order: list[str], folder: str, name: str) -> DataFrame:
+    """Writes a small table as one JSON file, an array of its rows in order, with characters beyond ASCII as they are: key, path, bytes."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("__row")))), lambda r: r["__row"])
+    return files_by_key(df.agg(F.lit(name).alias("key"), F.encode(F.to_json(rows, {"ignoreNullFields": "false"}), "UTF-8").alias("body")), folder, ".json")
 
-    return docs.mapInArrow(write, "key string, path string, bytes long")
+
+def rebuilt(df: DataFrame, path: str) -> DataFrame:
+    """The table at ``path`` anew from ``df``, whatever was there, and read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def resumed(wanted: DataFrame, path: str, key: str, build: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Builds the parts of a partitioned table that are missing: the table, and the keys that were built now.
+
+    ``build`` gets the missing keys and returns their rows with ``key``. Parts that are there are neither read nor written; a part counts once its
+    rows are committed, so a job that failed goes on where it stopped.
+    """
+    spark = wanted.sparkSession
+    kind = wanted.schema[key].dataType
+    try:
+        done = spark.read.parquet(path).select(F.col(key).cast(kind))
+    except AnalysisException:  # nothing is there yet
+        done = wanted.select(key).limit(0)
+    keys = [r[0] for r in missing_parts(wanted, done, key).collect()]  # keys of parts, a small dimension
+    if keys:
+        fresh = spark.createDataFrame([(k,) for k in keys], wanted.select(key).schema)
+        build(fresh).write.mode("append").partitionBy(key).parquet(path)
+    return spark.read.parquet(path).withColumn(key, F.col(key).cast(kind)), spark.createDataFrame([(k,) for k in keys], wanted.select(key).schema)
+
+
+def optional_section(df: DataFrame, product: DataFrame | None, key: str, value: str) -> DataFrame:
+    """``estimated_section``, or every row with the status missing_source where the product doesn't exist."""
+    if product is None:
+        return df.withColumn("section", F.struct(F.lit(None).cast("double").alias("value"), F.lit("missing_source").alias("status")))
+    return estimated_section(df, product, key, value)
 
 
 def too_large(files: DataFrame, most: int) -> DataFrame:
@@ -108,9 +181,38 @@ def missing_parts(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(done.select(key).distinct(), key, "left_anti")
 
 
+def manifest_rows(datasets: dict[str, DataFrame | None]) -> DataFrame:
+    """dataset, rows of each dataset that exists, counted in one job."""
+    there = [df.select(F.lit(name).alias("dataset")) for name, df in datasets.items() if df is not None]
+    names = [name for name, df in datasets.items() if df is not None]
+    spark = next(df for df in datasets.values() if df is not None).sparkSession
+    n = reduce(DataFrame.unionByName, there).groupBy("dataset").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(x,) for x in names], "dataset string").join(n, "dataset", "left").select("dataset", F.coalesce("n", F.lit(0)).cast("long").alias("rows"))
+
+
 def manifest(datasets: dict[str, DataFrame | None]) -> str:
     """JSON with the row count of each dataset that exists."""
-    return json.dumps({name: {"rows": df.count()} for name, df in datasets.items() if df is not None}, ensure_ascii=False, sort_keys=True)
+    return json.dumps({r["dataset"]: {"rows": r["rows"]} for r in manifest_rows(datasets).collect()}, ensure_ascii=False, sort_keys=True)
+
+
+def union_columns(records: DataFrame, data: str, *order: str) -> list[str]:
+    """The keys of all maps in ``data``, by where they come first; keys are a schema, so few."""
+    at = records.select(*order, F.posexplode(F.map_keys(data)).alias("__i", "key"))
+    return [r["key"] for r in at.groupBy("key").agg(F.min(F.struct(*order, "__i")).alias("f")).orderBy("f").collect()]
+
+
+def csv_with_union(records: DataFrame, fixed: list[str], data: str, order: list[str], folder: str, name: str) -> DataFrame:
+    """Writes one CSV file with a byte-order mark: ``fixed`` columns, then the union of the maps' keys as they first come: key, path, bytes.
+
+    Rows are formatted by Spark and put in order; the report is one file, so it is for logs, not data.
+    """
+    more = union_columns(records, data, *order)
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fixed] + [F.coalesce(F.try_element_at(data, F.lit(k)), F.lit("")) for k in more]
+    quoted = [F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in text]
+    lines = records.select(*order, F.concat_ws(",", *quoted).alias("__line"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, "__line"))), lambda r: r["__line"])
+    body = F.concat(F.lit("\ufeff"), F.array_join(F.concat(F.array(F.lit(",".join([*fixed, *more]))), rows), "\n"), F.lit("\n"))
+    return files_by_key(lines.agg(F.lit(name).alias("key"), F.encode(body, "UTF-8").alias("body")), folder, ".csv")
 
 
 def with_bom_csv(df: DataFrame, columns: list[str]) -> str:

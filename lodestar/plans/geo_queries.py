@@ -87,8 +87,9 @@ def dissolved_areas(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", "rank", "version", "n", F.round("union_area", 3).alias("union_area"), F.round("sum_area", 3).alias("sum_area"))
 
 
-@query("search_circles")
+@query("search_circles", f"WITH {POINTS} SELECT id, CAST(65 AS BIGINT) AS n, round(lon - 500 / (cos(radians(lat)) * 111320), 6) AS x0, round(lat - 500 / 110574.0, 6) AS y0, round(lon + 500 / (cos(radians(lat)) * 111320), 6) AS x1, round(lat + 500 / 110574.0, 6) AS y1 FROM points")
 def search_circles(spark: SparkSession, sf: str) -> DataFrame:
+    """Rings of 65 points; their outermost ones lie due north, east, south and west."""
     p = points(spark, sf).select("id", G.circle_ring("lon", "lat", F.lit(500.0)).alias("ring"))
     x, y = F.transform("ring", lambda q: q[0]), F.transform("ring", lambda q: q[1])
     return p.select("id", F.size("ring").cast("long").alias("n"), F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
@@ -106,7 +107,7 @@ def geojson_features(spark: SparkSession, sf: str) -> DataFrame:
 def simplification_steps(spark: SparkSession, sf: str) -> DataFrame:
     """What coarser outlines save and cost: vertices, bytes, change of area by tolerance."""
     s = G.simplification_steps(G.clipped(pairs(spark, sf, 500.0), 500.0), (0.0, 1.0, 3.0, 10.0))
-    return s.withColumn("most_change", F.round("most_change", 6))
+    return s.withColumn("most_change", F.round("most_change", 6)).withColumn("most_apart", F.round("most_apart", 6))
 
 
 @query("polygon_size_gate")

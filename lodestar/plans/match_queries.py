@@ -111,12 +111,21 @@ def token_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return M.single_candidate(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), tokens, "id", "text", "token", "kind")
 
 
-@query("place_tokens")
+#: The endings in order, one at a time, again and again until none is taken off.
+PLACE_TOKENS = r"""WITH RECURSIVE e AS (SELECT ['s', 'ing', 'er', 'ed', 'th'] AS e), t AS (SELECT item_id, string_split_regex(text, '[ ,]') AS ts FROM benchmark), p AS (SELECT item_id, unnest(range(len(ts))) AS pos, unnest(ts) AS t FROM t),
+s AS (SELECT item_id, pos, t, 1 AS i, false AS moved FROM p UNION ALL
+ SELECT item_id, pos, CASE WHEN hit THEN left(t, length(t) - length(w)) ELSE t END, CASE WHEN i = 5 THEN CASE WHEN moved OR hit THEN 1 ELSE 6 END ELSE i + 1 END, CASE WHEN i = 5 THEN false ELSE moved OR hit END
+ FROM (SELECT s.*, e.e[i] AS w, ends_with(t, e.e[i]) AND length(t) > length(e.e[i]) AS hit FROM s, e WHERE i <= 5)),
+d AS (SELECT * FROM s WHERE i = 6 AND length(t) >= 2)
+SELECT b.item_id, count(d.t) AS n_tokens, coalesce(string_agg(d.t, '|' ORDER BY pos), '') AS tokens FROM benchmark b LEFT JOIN d ON b.item_id = d.item_id GROUP BY 1"""
+
+
+@query("place_tokens", PLACE_TOKENS)
 def place_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Endings taken off to a fixed point need a loop; tested against fixed values."""
+    """All tokens of each text, their endings taken off to a fixed point."""
     strip = M.place_tokens(["s", "ing", "er", "ed", "th"], r"[ ,]")
     docs = table(spark, sf, "benchmark")
-    return docs.select("item_id", strip(F.col("text")).alias("tokens")).select("item_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join(F.slice("tokens", 1, 5), "|").alias("head"))
+    return docs.select("item_id", strip(F.col("text")).alias("tokens")).select("item_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
 
 
 # Labels ---------------------------------------------------------------------------------------------------------------
@@ -158,15 +167,10 @@ def label_order(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("canonical", F.dense_rank().over(Window.orderBy("low", "high")).cast("long").alias("rank"))
 
 
-@query("nested_labels", f"WITH {RAW}, {PARSED}, u AS (SELECT DISTINCT canonical, low, high FROM named WHERE id < 200) SELECT o.canonical AS outer_label, i.canonical AS inner_label FROM u o JOIN u i ON o.low < i.low AND i.high < o.high")
+@query("all_nested_labels", NESTED := f"WITH {RAW}, {PARSED}, u AS (SELECT DISTINCT canonical, low, high FROM named) SELECT o.canonical AS outer_label, i.canonical AS inner_label FROM u o JOIN u i ON o.low < i.low AND i.high < o.high")
+@query("nested_labels", NESTED)
 def nested_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Strictly nested pairs of the label vocabulary of some parts: a small self-join over distinct labels."""
-    return nested_pairs(parsed_labels(spark, sf).filter("id < 200"))
-
-
-@query("all_nested_labels", f"WITH {RAW}, {PARSED}, u AS (SELECT DISTINCT canonical, low, high FROM named) SELECT o.canonical AS outer_label, i.canonical AS inner_label FROM u o JOIN u i ON o.low < i.low AND i.high < o.high")
-def all_nested_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """The same for the vocabulary of all parts; sizes bound the number of distinct labels at every scale."""
+    """Strictly nested pairs of the label vocabulary: a self-join over distinct labels, whose number the sizes bound at every scale. It has a second name from when the first read a prefix of the parts."""
     return nested_pairs(parsed_labels(spark, sf))
 
 

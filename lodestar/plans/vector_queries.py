@@ -164,7 +164,7 @@ def balanced_weights(spark: SparkSession, sf: str) -> DataFrame:
     return X.balanced_weights(rows, "class", "fold", 5).select("fold", "class", F.round("weight", 6).alias("weight"))
 
 
-@query("stratified_folds")
+@query("stratified_folds", "SELECT CAST(r.r AS INTEGER) AS repeat, label, CAST(f.f AS INTEGER) AS fold, CAST(ceil((n - f.f) / 5.0) AS BIGINT) AS n FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), range(2) r(r), range(5) f(f) WHERE n > f.f")
 def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
     """Folds by seeded hash order within each class: sizes differ by one at most."""
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")

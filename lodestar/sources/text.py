@@ -105,3 +105,36 @@ def declared_files(spark: SparkSession, path: str) -> DataFrame:
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
+
+
+def file_manifest(spark: SparkSession, wanted: DataFrame, path: str, key: str = "file") -> DataFrame:
+    """``wanted`` (names in ``key``) with path, bytes and digest of the file of that name, null where there is none, and status."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias(key), "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+    return wanted.join(files, key, "left").withColumn("status", F.when(F.col("path").isNull(), "missing").otherwise("present"))
+
+
+def listed_lines(spark: SparkSession, manifest: DataFrame, kind: str, without: tuple[str, ...], path: str = "path") -> DataFrame:
+    """path, line of all text files that a manifest lists, but for those whose ``kind`` is in ``without`` and those that are missing."""
+    # A manifest is a list of files, so it is small.
+    paths = [r[0] for r in manifest.filter(~F.col(kind).isin(*without) & F.col(path).isNotNull()).select(path).distinct().orderBy(path).collect()]
+    if not paths:
+        return spark.createDataFrame([], "path string, line string")
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+
+
+def footnote_names(lines: DataFrame, column: str, heading: str) -> DataFrame:
+    """name, pos of the list that follows a heading and a colon on its line; commas and middle dots part the names."""
+    rest = F.regexp_extract(column, rf"{heading}[：:]\s*(.+)", 1)
+    return lines.filter(rest != "").select(F.posexplode(F.split(rest, "[・、]")).alias("pos", "name")).select(F.trim("name").alias("name"), F.col("pos").cast("long").alias("pos")).filter("name <> ''")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), text of all lines of text files, blank ones too.
+
+    Large files are read in splits; a split's first number is the count of lines in the splits of its file before it.
+    """
+    m = F.col("_metadata")
+    raw = spark.read.text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    sizes = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return raw.join(sizes.select("file", "block", "first", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "text")
