@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,6 +21,15 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select(*rest, *[scale(c).alias(c) for c in columns])
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of x to all of y, from summed squared differences, so equal rows have 0."""
+    out = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        gap = x[:, j, None] - y[None, :, j]
+        out += gap * gap
+    return np.sqrt(out)
+
+
 def nearest(vectors: DataFrame, k: int, lattice: float = 1e-9, block: int = 2048, columns: slice | None = None) -> DataFrame:
     """src, rank, dst, distance: all rows against all rows, in blocks; ties within ``lattice`` go to the smaller id.
 
@@ -40,11 +50,17 @@ def nearest(vectors: DataFrame, k: int, lattice: float = 1e-9, block: int = 2048
         x, y = (np.array(p["vec"].tolist(), dtype=np.float64)[:, columns or slice(None)] for p in (src, dst))
         si, di = src["id"].to_numpy(), dst["id"].to_numpy()
         out = []
-        for q, i in zip(x, si, strict=True):
-            d = np.sqrt(((y - q) ** 2).sum(axis=1))
-            first = np.lexsort((di, np.floor(d / lattice + 0.5)))
-            first = first[di[first] != i][:k]
-            out.append(pd.DataFrame({"src": i, "dst": di[first], "distance": d[first]}))
+        for at in range(0, len(x), 256):
+            d = distances(x[at : at + 256], y)
+            d[si[at : at + 256, None] == di[None, :]] = np.inf
+            far = np.floor(d / lattice + 0.5)
+            # Those within the kth best, ties too; only they are sorted.
+            row, col = np.nonzero((far <= np.partition(far, min(k, len(di)) - 1, axis=1)[:, min(k, len(di)) - 1 : min(k, len(di))]) & np.isfinite(d))
+            order = np.lexsort((di[col], far[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < k], col[place < k]
+            out.append(pd.DataFrame({"src": si[at + row], "dst": di[col], "distance": d[row, col]}))
         return pd.concat(out)
 
     found = a.unionByName(b).groupBy("i", "j").applyInPandas(pair, "src long, dst long, distance double")
@@ -79,31 +95,53 @@ def boundary_ties(pairs: DataFrame, k: int, lattice: float) -> DataFrame:
     return at.agg(F.count_if((F.col("rank") == k) & (F.floor(F.col("distance") / lattice + 0.5) == F.floor(F.col("next") / lattice + 0.5))).alias("ties"), F.count_if((F.col("rank") == 1) & (F.col("distance") == 0)).alias("zero"))
 
 
-def silhouette(points: DataFrame, dims: list[str], block: int = 4096) -> DataFrame:
-    """id, cluster, silhouette by exact mean Euclidean distances, from sums per (row, cluster) of blocks of rows.
+def silhouettes(points: DataFrame, dims: list[str], clusterings: list[str], block: int = 2048) -> DataFrame:
+    """id, clustering, cluster, silhouette by exact mean Euclidean distances, for several columns of clusters at once.
 
-    Row blocks meet column blocks as groups of bounded size; only sums leave them.
+    Row blocks meet column blocks as groups of bounded size, in which each distance is measured once for all clusterings; only sums per (row, cluster)
+    leave them.
     """
     parts = max(1, -(-points.count() // block))
-    p = points.select("id", "cluster", F.array(*dims).alias("vec"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("b"))
+    p = points.select("id", F.array(*[F.col(c).cast("long") for c in clusterings]).alias("clusters"), F.array(*dims).alias("vec"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    rows = p.select("id", "cluster", "vec", F.col("b").alias("i"), every.alias("j"), F.lit(True).alias("row")).unionByName(p.select("id", "cluster", "vec", every.alias("i"), F.col("b").alias("j"), F.lit(False).alias("row")))
+    rows = p.select("id", "clusters", "vec", F.col("b").alias("i"), every.alias("j"), F.lit(True).alias("row")).unionByName(p.select("id", "clusters", "vec", every.alias("i"), F.col("b").alias("j"), F.lit(False).alias("row")))
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["row"]], pdf[~pdf["row"]]
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "clustering": [], "cluster": [], "other": [], "total": []})
         x, y = (np.array(q["vec"].tolist(), dtype=np.float64).reshape(len(q), -1) for q in (a, b))
+        own, theirs = (np.array(q["clusters"].tolist(), dtype=np.int64).reshape(len(q), -1) for q in (a, b))
         out = []
-        for c in b["cluster"].unique():
-            z = y[(b["cluster"] == c).to_numpy()]
-            total = [float(np.sqrt(((z - v) ** 2).sum(axis=1)).sum()) for v in x]
-            out.append(pd.DataFrame({"id": a["id"], "cluster": a["cluster"], "other": c, "total": total}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "cluster": [], "other": [], "total": []})
+        for at in range(0, len(x), 512):
+            d = distances(x[at : at + 512], y)
+            for c, name in enumerate(clusterings):
+                known, which = np.unique(theirs[:, c], return_inverse=True)
+                total = d @ (which[:, None] == np.arange(len(known))[None, :])
+                n = len(total)
+                out.append(pd.DataFrame({"id": np.repeat(a["id"].to_numpy()[at : at + n], len(known)), "clustering": name, "cluster": np.repeat(own[at : at + n, c], len(known)), "other": np.tile(known, n), "total": total.ravel()}))
+        return pd.concat(out)
+
+    s = rows.groupBy("i", "j").applyInPandas(sums, "id long, clustering string, cluster long, other long, total double").groupBy("id", "clustering", "cluster", "other").agg(F.sum("total").alias("total"))
+    n = points.select(F.explode(F.array(*[F.struct(F.lit(c).alias("clustering"), F.col(c).cast("long").alias("other")) for c in clusterings])).alias("c")).select("c.*").groupBy("clustering", "other").agg(F.count("*").alias("n"))
+    same = F.col("cluster") == F.col("other")
+    m = s.join(n, ["clustering", "other"]).groupBy("id", "clustering", "cluster").agg(F.max(F.when(same, F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1)))).alias("a"), F.min(F.when(~same, F.col("total") / F.col("n"))).alias("b"))
+    return m.select("id", "clustering", "cluster", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+
 
-    s = rows.groupBy("i", "j").applyInPandas(sums, "id long, cluster long, other long, total double").groupBy("id", "cluster", "other").agg(F.sum("total").alias("total"))
-    n = points.groupBy(F.col("cluster").cast("long").alias("other")).agg(F.count("*").alias("n"))
-    own = F.col("cluster") == F.col("other")
-    m = s.join(n, "other").groupBy("id", "cluster").agg(F.max(F.when(own, F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1)))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
-    return m.select("id", "cluster", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+def silhouette(points: DataFrame, dims: list[str], block: int = 2048) -> DataFrame:
+    """id, cluster, silhouette of one clustering, in the column ``cluster``."""
+    return silhouettes(points, dims, ["cluster"], block).select("id", "cluster", "silhouette")
+
+
+def rand_by(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """keys, ari: the adjusted Rand index of two columns of clusters in each group, from contingency counts."""
+    some = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    both = pairs.groupBy(*keys, a, b).agg(F.count("*").alias("n"))
+    one = lambda c, name: both.groupBy(*keys, c).agg(F.sum("n").alias("n")).groupBy(*keys).agg(some("n").alias(name))
+    t = both.groupBy(*keys).agg(some("n").alias("ij"), F.sum("n").alias("n")).join(one(a, "i"), keys).join(one(b, "j"), keys)
+    expected, most = F.col("i") * F.col("j") / (F.col("n") * (F.col("n") - 1) / 2), (F.col("i") + F.col("j")) / 2
+    return t.select(*keys, F.when(most == expected, 1.0).otherwise((F.col("ij") - expected) / (most - expected)).alias("ari"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -131,6 +169,87 @@ def k_means(points: DataFrame, dims: list[str], k: int, seeds: list[int]) -> tup
         data.unpersist()
 
 
+def lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Centroids and cost of one k-means start (spread-out first centroids, then Lloyd's rounds until nothing moves)."""
+    rng = np.random.default_rng(seed)
+    c = [x[rng.integers(len(x))]]
+    near = ((x - c[0]) ** 2).sum(axis=1)
+    while len(c) < k:
+        c.append(x[rng.choice(len(x), p=near / near.sum())] if near.sum() > 0 else x[rng.integers(len(x))])
+        near = np.minimum(near, ((x - c[-1]) ** 2).sum(axis=1))
+    c = np.array(c)
+    for _ in range(rounds):
+        which = distances(x, c).argmin(axis=1)
+        n = np.bincount(which, minlength=k)
+        sums = np.stack([np.bincount(which, x[:, j], k) for j in range(x.shape[1])], axis=1)
+        moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+        if np.array_equal(moved, c):
+            break
+        c = moved
+    return c, float((distances(x, c).min(axis=1) ** 2).sum())
+
+
+def cluster_gate(points: DataFrame, null: DataFrame, dims: list[str], flags: list[str], ks: tuple[int, ...] = (3, 4, 5, 6, 7, 8), starts: int = 10, seeds: tuple[int, ...] = (1, 2, 3, 4, 5), subsamples: int = 5, share: int = 80, margin: float = 0.05, least: float = 0.8, most_rows: int = 20_000) -> DataFrame:
+    """k, silhouette, null_silhouette, seed_ari, subsample_ari, flag, flag_ari, qualifies, selected: whether clusters are real, by four conditions.
+
+    A clustering qualifies if its silhouette beats that of permuted columns (``null``) by ``margin``, if it agrees with those from other ``seeds`` and
+    with those of ``subsamples`` of ``share`` % of the rows (adjusted Rand index of ``least`` or more, on their rows), and if no single flag tells the same
+    (below ``least``). The one with the largest margin is selected, ties to the larger k.
+
+    Centroids are fitted on at most about ``most_rows`` rows, chosen by a hash of id, each the best of ``starts`` starts; the fits are tasks of
+    their own. All rows are labelled and measured. ``points`` and ``null`` have id, ``dims`` and (points) ``flags``.
+    """
+    spark = points.sparkSession
+    part = F.least(F.lit(1.0), F.lit(float(most_rows)) / F.lit(max(1, points.count())))
+    chosen = F.pmod(F.xxhash64("id", F.lit(77)), F.lit(1 << 30)) < part * (1 << 30)
+    inside = [F.pmod(F.xxhash64("id", F.lit(1000 + i)), F.lit(100)) < share for i in range(subsamples)]
+    # Bounded by most_rows, so it may go to every task.
+    matrix = lambda df, *more: df.filter(chosen).orderBy("id").limit(2 * most_rows).select(*dims, *[c.cast("double") for c in more]).toPandas().to_numpy(dtype=np.float64)
+    mine = matrix(points, *inside)
+    sent = spark.sparkContext.broadcast((mine[:, : len(dims)], mine[:, len(dims) :] > 0, matrix(null)))
+    runs = [("base", 0, 7), ("null", 0, 7), *[("seed", i, x) for i, x in enumerate(seeds)], *[("sub", i, 7) for i in range(subsamples)]]
+    jobs = spark.createDataFrame([(k, kind, i, seed * 1000 + start) for k in ks for kind, i, seed in runs for start in range(starts)], "k int, kind string, i int, start int")
+
+    def fit(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole, masks, chance = sent.value
+        for pdf in pdfs:
+            found = [lloyd(chance if kind == "null" else whole[masks[:, i]] if kind == "sub" else whole, k, start) for k, kind, i, start in zip(pdf["k"], pdf["kind"], pdf["i"], pdf["start"], strict=True)]
+            yield pdf.assign(centroids=[c.tolist() for c, _ in found], cost=[cost for _, cost in found])
+
+    fitted = jobs.repartition(max(spark.sparkContext.defaultParallelism, len(ks) * starts), "k", "start").mapInPandas(fit, "k int, kind string, i int, start int, centroids array<array<double>>, cost double")
+    best = fitted.groupBy("k", "kind", "i").agg(F.min(F.struct("cost", "start", "centroids")).alias("b")).select("k", "kind", "i", "b.centroids").collect()
+    held = spark.sparkContext.broadcast([(f"{r['kind']}{r['i']}_{r['k']}", np.array(r["centroids"])) for r in best])
+
+    def labelled(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+        names = [f"{kind}{i}_{k}" for k in ks for kind, i, _ in runs if kind in kinds]
+
+        def label(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = dict(held.value)
+            for pdf in pdfs:
+                x = pdf[dims].to_numpy(dtype=np.float64)
+                yield pd.concat([pdf, pd.DataFrame({n: distances(x, known[n]).argmin(axis=1) for n in names}, index=pdf.index)], axis=1)
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        return df.mapInPandas(label, f"{schema}, {', '.join(f'`{n}` long' for n in names)}")
+
+    rows = labelled(points, ("base", "seed", "sub"))
+    mean = lambda df, kind, name: silhouettes(df, dims, [f"{kind}0_{k}" for k in ks]).groupBy(F.split_part("clustering", F.lit("_"), F.lit(2)).cast("int").alias("k")).agg(F.avg("silhouette").alias(name))
+    pair = lambda k, kind, other, use: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.col(f"base0_{k}").alias("a"), other.cast("long").alias("b"), use.alias("use"))
+    yes = F.lit(True)
+    pairs = [pair(k, kind, F.col(f"{kind[:-1]}{i}_{k}"), yes if kind[:-1] == "seed" else inside[i]) for k in ks for name, i, _ in runs if name in ("seed", "sub") for kind in [f"{name}{i}"]]
+    pairs += [pair(k, f"flag:{f}", F.col(f), yes) for k in ks for f in flags]
+    ari = rand_by(rows.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("use"), ["k", "kind"], "a", "b")
+    of = lambda prefix: F.when(F.col("kind").startswith(prefix), F.col("ari"))
+    told = F.max(F.when(F.col("kind").startswith("flag:"), F.struct("ari", F.expr("substr(kind, 6)").alias("flag"))))
+    agreed = ari.groupBy("k").agg(F.min(of("seed")).alias("seed_ari"), F.min(of("sub")).alias("subsample_ari"), told.alias("told"))
+    t = mean(rows, "base", "silhouette").join(mean(labelled(null, ("null",)), "null", "null_silhouette"), "k").join(agreed, "k")
+    t = t.select("k", "silhouette", "null_silhouette", "seed_ari", "subsample_ari", "told.flag", F.col("told.ari").alias("flag_ari"))
+    ok = (F.col("silhouette") - F.col("null_silhouette") >= margin) & (F.col("seed_ari") >= least) & (F.col("subsample_ari") >= least) & (F.coalesce("flag_ari", F.lit(0.0)) < least)
+    t = t.withColumn("qualifies", ok)
+    top = t.filter("qualifies").agg(F.max(F.struct((F.col("silhouette") - F.col("null_silhouette")).alias("m"), "k")).alias("b"))
+    return t.crossJoin(F.broadcast(top)).withColumn("selected", F.coalesce(F.col("k") == F.col("b.k"), F.lit(False))).drop("b")
+
+
 def permuted(df: DataFrame, key: str, columns: list[str], seed: int) -> DataFrame:
     """Each column in an order of its own: the null model of a clustering."""
     order = lambda c, name, salt: numbered(df.select(F.xxhash64(key, F.lit(salt)).alias("__h"), F.col(key).alias("__k"), c.alias("__c")), "__h", "__k", column="__i").select("__i", F.col("__c").alias(name))

@@ -146,3 +146,34 @@ def test_symmetric_difference_and_sizes(spark):
 def test_sizes_of_all_outlines(spark):
     s = QUERIES["outline_sizes"](spark, SF).collect()
     assert all(0 < r.gzip_bytes and r.polygons > 0 for r in s) and len({r.all_bytes for r in s}) == 1
+
+
+def test_cluster_gate_tells_clusters_from_none(spark):
+    from lodestar.operators import similar
+
+    rng = np.random.default_rng(4)
+    centres = np.array([[0, 0, 0], [9, 0, 0], [0, 9, 0], [0, 0, 9.0]])
+    for planted in (True, False):
+        x = rng.standard_normal((400, 3)) + (centres[np.arange(400) % 4] if planted else 0)
+        rows = [(i, *v, bool(i % 4 == 1), bool(rng.random() < 0.5)) for i, v in enumerate(x.tolist())]
+        df = spark.createDataFrame(rows, "id long, a double, b double, c double, f boolean, g boolean")
+        null = similar.permuted(df, "id", ["a", "b", "c"], 5)
+        got = {r.k: r for r in similar.cluster_gate(df, null, ["a", "b", "c"], ["f", "g"], ks=(3, 4, 5), starts=4, seeds=(1, 2), subsamples=2).collect()}
+        assert [r.k for r in got.values() if r.selected] == ([4] if planted else [])
+        if planted:
+            assert got[4].qualifies and got[4].seed_ari == got[4].subsample_ari == 1 and got[4].flag == "f" and 0.2 < got[4].flag_ari < 0.8
+
+
+def test_silhouettes_of_several_clusterings(spark):
+    from lodestar.operators import similar
+
+    rng = np.random.default_rng(5)
+    x, a, b = rng.standard_normal((60, 2)), rng.integers(0, 3, 60), rng.integers(0, 2, 60)
+    df = spark.createDataFrame([(i, *v, int(p), int(q)) for i, (v, p, q) in enumerate(zip(x.tolist(), a, b, strict=True))], "id long, x double, y double, a long, b long")
+    got = {(r.id, r.clustering): r.silhouette for r in similar.silhouettes(df, ["x", "y"], ["a", "b"], block=17).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for name, c in (("a", a), ("b", b)):
+        for i in range(60):
+            own = d[i][(c == c[i]) & (np.arange(60) != i)].mean()
+            other = min(d[i][c == k].mean() for k in set(c.tolist()) - {c[i]})
+            assert got[i, name] == pytest.approx((other - own) / max(own, other), abs=1e-12)
