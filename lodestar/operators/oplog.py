@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.sources.text import numbered_lines
@@ -19,15 +19,17 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def admission(log: DataFrame, new: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """``new`` rows (file, line, event, supersedes) with verdict: ok, or why a row may not be appended.
 
-    Events are of known kinds; a correction names an earlier line of its file that is in the log, is no correction and isn't corrected yet.
+    Events are of known kinds; a correction names an earlier line of its file that is in the log, is no correction and isn't corrected yet; of
+    new corrections of one line the first counts.
     """
     known = log.select("file", F.col("line").alias("supersedes"), (F.col("event") == "correction").alias("__fix"), F.lit(True).alias("__there"))
     done = log.filter("event = 'correction'").select("file", "supersedes").distinct().withColumn("__done", F.lit(True))
     both = new.join(known, ["file", "supersedes"], "left").join(done, ["file", "supersedes"], "left")
     fix = F.col("event") == "correction"
+    both = both.withColumn("__again", F.row_number().over(Window.partitionBy("file", "supersedes", fix).orderBy("line")) > 1)
     verdict = (
         F.when(~F.col("event").isin(*kinds, "correction"), "unknown event").when(fix & F.col("supersedes").isNull(), "no target").when(fix & (F.col("supersedes") >= F.col("line")), "later target")
-        .when(fix & F.col("__there").isNull(), "no target").when(fix & F.col("__fix"), "target is a correction").when(fix & F.col("__done"), "corrected before").otherwise("ok")
+        .when(fix & F.col("__there").isNull(), "no target").when(fix & F.col("__fix"), "target is a correction").when(fix & (F.col("__done") | F.col("__again")), "corrected before").otherwise("ok")
     )
     return both.withColumn("verdict", verdict).select(*new.columns, "verdict")
 

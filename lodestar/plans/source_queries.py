@@ -341,7 +341,8 @@ def log_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 ADMIT = """l AS (SELECT user_id % 5 AS file, event_id AS line, CASE WHEN event_id % 11 = 0 THEN 'correction' ELSE event_type END AS event, CASE WHEN event_id % 11 = 0 THEN event_id - 5 * (1 + event_id % 3) END AS supersedes FROM events WHERE event_id % 4 <> 3),
 n AS (SELECT user_id % 5 AS file, event_id AS line, CASE event_id % 5 WHEN 0 THEN 'odd' WHEN 1 THEN event_type ELSE 'correction' END AS event, CASE WHEN event_id % 5 = 4 THEN event_id + 3 WHEN event_id % 5 > 1 THEN event_id - 5 * (1 + event_id % 4) END AS supersedes FROM events WHERE event_id % 4 = 3),
-v AS (SELECT n.*, CASE WHEN n.event = 'odd' THEN 'unknown event' WHEN n.event = 'correction' AND n.supersedes >= n.line THEN 'later target' WHEN n.event = 'correction' AND t.line IS NULL THEN 'no target' WHEN n.event = 'correction' AND t.event = 'correction' THEN 'target is a correction' WHEN n.event = 'correction' AND EXISTS (SELECT 1 FROM l c WHERE c.event = 'correction' AND c.file = n.file AND c.supersedes = n.supersedes) THEN 'corrected before' ELSE 'ok' END AS verdict FROM n LEFT JOIN l t ON t.file = n.file AND t.line = n.supersedes)"""
+m AS (SELECT *, row_number() OVER (PARTITION BY file, supersedes, event = 'correction' ORDER BY line) > 1 AS again FROM n),
+v AS (SELECT n.*, CASE WHEN n.event = 'odd' THEN 'unknown event' WHEN n.event = 'correction' AND n.supersedes >= n.line THEN 'later target' WHEN n.event = 'correction' AND t.line IS NULL THEN 'no target' WHEN n.event = 'correction' AND t.event = 'correction' THEN 'target is a correction' WHEN n.event = 'correction' AND EXISTS (SELECT 1 FROM l c WHERE c.event = 'correction' AND c.file = n.file AND c.supersedes = n.supersedes) OR n.event = 'correction' AND n.again THEN 'corrected before' ELSE 'ok' END AS verdict FROM m n LEFT JOIN l t ON t.file = n.file AND t.line = n.supersedes)"""
 
 
 @query("log_append", f"WITH {ADMIT} SELECT file, line, event, supersedes FROM l UNION ALL SELECT file, line, event, supersedes FROM v WHERE verdict = 'ok'")
@@ -405,3 +406,16 @@ def run_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """What a test run's coloured output shows."""
     text = F.element_at(F.array(*[F.lit(x) for x in ("\x1b[31m3 failed\x1b[0m, 10 passed in 2s", "\x1b[1;32m12 passed\x1b[0m", "no tests ran in 0.01s", "building ...", "1 error during collection")]), (F.col("event_id") % 5 + 1).cast("int"))
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), O.run_evidence(text).alias("evidence"))
+
+
+@query("streamed_log", f"WITH {ADMIT} SELECT file, line, event, supersedes FROM v WHERE verdict = 'ok' AND event <> 'correction'")
+def streamed_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that arrive as files of JSON lines are admitted by a stream; corrections need a log before them, so they are left out here."""
+    from lodestar.streaming.log import SCHEMA, follow
+
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    new = e.filter(k % 4 == 3).select((F.col("user_id") % 5).alias("file"), k.alias("line"), F.when(k % 5 == 0, "odd").when(k % 5 == 1, F.col("event_type")).otherwise("correction").alias("event"), F.when(k % 5 == 4, k + 3).when(k % 5 > 1, k - 5 * (1 + k % 4)).alias("supersedes"))
+    at = folder(spark, "stream")
+    O.appended(new.filter("event <> 'correction'"), ["file", "line"], f"{at}/incoming")
+    follow(spark, f"{at}/incoming", f"{at}/log", f"{at}/progress", ("click", "view", "error", "purchase", "signup"))
+    return spark.read.schema(SCHEMA).json(f"{at}/log").select("file", "line", "event", "supersedes")

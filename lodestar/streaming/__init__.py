@@ -1 +1 @@
-"""The workloads are batch jobs over whole files; there is no streaming operator to provide."""
+"""Work on rows as they arrive."""

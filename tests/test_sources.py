@@ -80,8 +80,9 @@ def test_admission_of_log_rows(spark):
     schema = "file long, line long, event string, supersedes long"
     log = spark.createDataFrame([(1, 1, "a", None), (1, 2, "correction", 1), (1, 3, "a", None), (2, 3, "a", None)], schema)
     new = spark.createDataFrame([(1, 5, "a", None), (1, 6, "b", None), (1, 7, "correction", 1), (1, 8, "correction", 2), (1, 9, "correction", 3), (1, 10, "correction", 10), (1, 11, "correction", None), (2, 12, "correction", 1)], schema)
+    new = new.unionByName(spark.createDataFrame([(1, 13, "correction", 3)], schema))
     got = {r.line: r.verdict for r in oplog.admission(log, new, ("a",)).collect()}
-    assert got == {5: "ok", 6: "unknown event", 7: "corrected before", 8: "target is a correction", 9: "ok", 10: "later target", 11: "no target", 12: "no target"}
+    assert got == {5: "ok", 6: "unknown event", 7: "corrected before", 8: "target is a correction", 9: "ok", 10: "later target", 11: "no target", 12: "no target", 13: "corrected before"}
 
 
 # Spellings of intervals with and without the unit, and what they mean.
@@ -177,3 +178,18 @@ def test_silhouettes_of_several_clusterings(spark):
             own = d[i][(c == c[i]) & (np.arange(60) != i)].mean()
             other = min(d[i][c == k].mean() for k in set(c.tolist()) - {c[i]})
             assert got[i, name] == pytest.approx((other - own) / max(own, other), abs=1e-12)
+
+
+def test_a_stream_admits_what_arrives(spark, tmp_path):
+    from lodestar.streaming.log import SCHEMA, follow
+
+    at = str(tmp_path)
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").json(f"{at}/in")
+        follow(spark, f"{at}/in", f"{at}/log", f"{at}/progress", ("a",))
+        return sorted((r.line, r.event, r.supersedes) for r in spark.read.schema(SCHEMA).json(f"{at}/log").collect())
+
+    assert arrive((1, 1, "a", None), (1, 2, "b", None)) == [(1, "a", None)]
+    assert arrive((1, 3, "correction", 1), (1, 4, "correction", 1), (1, 5, "correction", 2)) == [(1, "a", None), (3, "correction", 1)]
+    assert arrive((1, 6, "correction", 1), (1, 7, "a", None)) == [(1, "a", None), (3, "correction", 1), (7, "a", None)]
