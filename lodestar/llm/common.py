@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -43,9 +44,29 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_MADE = threading.local()
+
+
+def made() -> list[str]:
+    """The scratch paths that this thread has asked for and not dropped."""
+    if not hasattr(_MADE, "paths"):
+        _MADE.paths = []
+    return _MADE.paths
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/lodestar/{tag}-{uuid.uuid4().hex}"
+    made().append(f"{shared_dir(spark)}/lodestar/{tag}-{uuid.uuid4().hex}")
+    return made()[-1]
+
+
+def dropped(spark: SparkSession, since: int = 0, keep: Iterable[str] = ()) -> None:
+    """Deletes what this thread wrote to scratch paths from the ``since``th on, but for ``keep``: tables that no later result reads."""
+    gone = [p for p in made()[since:] if p not in set(keep)]
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)  # type: ignore[union-attr]
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        made().remove(p)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, grouped, inner_by_key, join_by_key, row_ids, text_udf, tidied, written
+from .common import ROW, dropped, grouped, inner_by_key, join_by_key, made, row_ids, text_udf, tidied, written
 
 HASHES = 64
 _MIX = np.random.default_rng(20240229).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -296,6 +296,7 @@ def classes(docs: DataFrame, n: int, similarity: float, recall: float, levels: i
     runs = runs_for(recall, similarity, levels)
     if runs * levels > HASHES:
         raise ValueError(f"{runs} runs of {levels} levels need more than {HASHES} hashes")
+    since = len(made())
     seen = written(sketches(docs, n), "sketches")
     texts = seen.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), *[F.first(c).alias(c) for c in ("sketch", "short", "weight")])
     texts = written(texts, "texts")
@@ -317,7 +318,9 @@ def classes(docs: DataFrame, n: int, similarity: float, recall: float, levels: i
     names = inside.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n_texts"))
     named = inner_by_key(inside.select("root", "key", "n_copies", "n_links"), names, "root", "n_texts", inside.count())
     alone = member.filter("n_links is null").select("root", "key", "n_copies", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("class_id"))
-    return seen.drop("sketch", "short", "weight"), written(named.unionByName(alone), "classes")
+    report = written(named.unionByName(alone), "classes")
+    dropped(docs.sparkSession, since, (made()[since], made()[-1]))
+    return seen.drop("sketch", "short", "weight"), report
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, levels: int = 4, bucket: int = 512, likely: float = 0.6) -> DataFrame:

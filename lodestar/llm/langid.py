@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_chars, text_udf, written
+from .common import by_chars, dropped, made, text_udf, written
 
 ORDER = 4
 PAD, SPACE, BITS = 1, 32, 16
@@ -243,6 +243,7 @@ def train(docs: DataFrame, docs_per_lang: int = 800, sample_docs: int = 20_000)
     bank of languages at a time; the model's size is bounded by the sample's (a few MB for four languages). No labelled rows: no languages.
     Rows with a null doc_id, lang or text teach nothing.
     """
+    since = len(made())
     sample, langs = labelled_sample(docs, docs_per_lang, sample_docs)
     if not langs:
         return Model([], [], np.zeros(0), np.zeros(0), 0.0, 1.0)
@@ -274,6 +275,7 @@ def train(docs: DataFrame, docs_per_lang: int = 800, sample_docs: int = 20_000)
 
     # At most a fifth of the sample.
     seen = sample.filter(test).select("text", "lang").mapInArrow(measure, "lang string, total array<double>, n long, letters long").filter("letters > 0").collect()
+    dropped(docs.sparkSession, since)
     if not seen:
         return model
     index = {x: i for i, x in enumerate(langs)}

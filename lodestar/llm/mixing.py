@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_key, written
+from .common import dropped, join_by_key, made, written
 
 #: A word, for sizes: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -112,6 +112,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_cop
     repeated rows: each row counts as a document. No rows or no words at all: targets of 0. Further columns are ignored, but for ``keep``.
     """
     kept = list(keep or [])
+    since = len(made())
     sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("h"), *kept)
     sized = written(sized.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
     counts = written(sized.groupBy("source", size_bin(F.col("size")).alias("bin")).agg(F.count("*").alias("n"), F.sum("size").alias("tokens")), "mix-counts")
@@ -132,6 +133,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_cop
     copies = F.least(F.lit(max_copies).cast("long"), F.floor("run") - F.floor(F.col("run") - F.col("rate")))
     rounded = rated.withColumn("run", run).withColumn("copies", F.greatest(copies, F.lit(0).cast("long"))).drop("run", "cell", "n_docs", "lam")
     rounded = written(rounded, "mix-copies")
+    dropped(docs.sparkSession, since, (made()[-1],))
     # At most ``repairs`` rows for each source, one for each rid.
     changes = written(planned_repairs(rounded, max_copies, repairs), "mix-repairs")
     out = rounded.join(changes, "rid", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0).cast("long")))

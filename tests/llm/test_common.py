@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import grouped, join_by_key, scratch, written
+from lodestar.llm.common import dropped, grouped, join_by_key, made, scratch, written
 
 
 def test_join_by_key_with_a_hot_key(spark):
@@ -26,3 +26,27 @@ def test_groups_reach_over_batches():
 def test_tables_go_to_the_shared_folder(spark):
     assert scratch(spark, "x") != scratch(spark, "x")
     assert written(spark.range(3), "t").count() == 3
+
+
+def test_tables_are_dropped_but_for_those_kept(spark):
+    import os
+
+    since = len(made())
+    a, b = written(spark.range(3), "a"), written(spark.range(4), "b")
+    paths = made()[since:]
+    dropped(spark, since, (paths[1],))
+    assert [os.path.exists(p.removeprefix("file://")) for p in paths] == [False, True]
+    assert made()[since:] == [paths[1]] and b.count() == 4 and a.columns == ["id"]
+
+
+def test_pipeline_leaves_its_result_alone(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    rows = [(i, f"the one and the other {i} went to town with a dog and {i * 7} cats", "en", "s", 1) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    since = len(made())
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = made()[since:]
+    assert out.count() > 0 and len(left) == 1 and os.path.exists(left[0].removeprefix("file://"))
