@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import jaccard, langid, mixing, packing, secrets
-from lodestar.llm.common import ROW, row_ids, scratch, table
+from lodestar.llm.common import ROW, dropped, made, row_ids, scratch, table
 from lodestar.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -64,10 +64,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is written to the shared folder and reread."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; each result is written to the shared folder and reread.
+
+    What a stage wrote on its way, and the result before it, are deleted once its own result is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), len(made())
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        dropped(spark, before, (path,))
     return docs
