@@ -96,7 +96,14 @@ def nearest_column_shares(spark: SparkSession, sf: str) -> DataFrame:
     return sq.groupBy("dim").agg(F.round(F.avg(F.col("sq") / (F.col("distance") * F.col("distance"))), 6).alias("share"), F.count("*").alias("n"))
 
 
-@query("best_flag_pair")
+FLAG_PAIR = """WITH p AS (SELECT label, embedding[1] > 0 AS a, embedding[2] > 0 AS b, embedding[3] > 0 AS c FROM embeddings),
+l AS (SELECT 0 AS i, 'f_d1' AS first, 'f_d2' AS second, label, a || '|' || b AS part FROM p UNION ALL SELECT 1, 'f_d1', 'f_d3', label, a || '|' || c FROM p UNION ALL SELECT 2, 'f_d2', 'f_d3', label, b || '|' || c FROM p),
+ij AS (SELECT i, sum(n * (n - 1) / 2) AS ij, sum(n) AS n FROM (SELECT i, label, part, count(*) AS n FROM l GROUP BY 1, 2, 3) GROUP BY 1), x AS (SELECT i, sum(n * (n - 1) / 2) AS x FROM (SELECT i, label, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1), y AS (SELECT i, sum(n * (n - 1) / 2) AS y FROM (SELECT i, part, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT i, (ij - x * y / (n * (n - 1) / 2)) / ((x + y) / 2 - x * y / (n * (n - 1) / 2)) AS ari FROM ij JOIN x USING (i) JOIN y USING (i))
+SELECT DISTINCT first, second, round(ari, 6) AS ari FROM l JOIN r USING (i) WHERE i = (SELECT i FROM r ORDER BY ari DESC, i LIMIT 1)"""
+
+
+@query("best_flag_pair", FLAG_PAIR)
 def best_flag_pair(spark: SparkSession, sf: str) -> DataFrame:
     """The two flags whose partition is nearest to the labels by adjusted Rand index."""
     p = vector_queries._dims(spark, sf).select("label", *[(F.col(d) > 0).alias(f"f_{d}") for d in ("d1", "d2", "d3")])
