@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import re
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -18,9 +17,6 @@ from .common import rechunked, tidied
 
 #: GPT-2's pre-tokenisation pattern; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Two white-space characters in a row: only there can a piece reach over a word's start.
-_RUN = re.compile(r"\s\s")
-_CACHE_ENTRIES = 100_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -30,12 +26,10 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of a byte-level BPE vocabulary (a ``tokenizers`` JSON file), as little-endian unsigned 32-bit bytes.
 
-    Equal to ``tokenizers`` with ``add_special_tokens=False``. Text is cut before each space; where no two white-space
-    characters follow each other, no token reaches over such a cut, so each word's ids are looked up in a bounded
-    cache. Texts that hold a special token's string go through ``tokenizers`` itself.
+    Equal to ``tokenizers`` with ``add_special_tokens=False``; texts that hold a special token's string go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,19 +43,6 @@ class Encoder(dict):
         self.path, self.special, self._slow = path, special, None
         self._bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _raw(self, text: str) -> bytes:
-        return np.asarray(self._bpe.encode_ordinary(text), dtype="<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if "\n" in word and len(word) > 1:
-            return b"".join(self[w] for part in word.split("\n") for w in (("\n", part) if part else ("\n",)))[len(self["\n"]) :]
-        ids = self._raw(word)
-        if len(self) > _CACHE_ENTRIES:
-            self.clear()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             if self._slow is None:
@@ -69,10 +50,7 @@ class Encoder(dict):
 
                 self._slow = Tokenizer.from_file(self.path)
             return np.asarray(self._slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if _RUN.search(text):
-            return self._raw(text)
-        first, *rest = text.split(" ")
-        return (self[first] if first else b"") + b"".join([self[w] for w in [" " + r for r in rest]])
+        return np.asarray(self._bpe.encode_ordinary(text), dtype="<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
