@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +16,53 @@ from pyspark.sql import functions as F
 
 from .common import ROW, dropped, grouped, inner_by_key, join_by_key, made, row_ids, text_udf, tidied, written
 
-HASHES = 64
-_MIX = np.random.default_rng(20240229).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[str, int] = {}
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_SLICE = 1 << 15
+_GAP = re.compile(r"\s")
+
+
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which code points are white space (the last entry stands for all beyond), powers of an odd number, and their inverses."""
+    gap = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+    odd = 0xA0761D6478BD642F
+    up, down = (np.full(_SLICE + 1, x, np.uint64) for x in (odd, pow(odd, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return gap, np.cumprod(up), np.cumprod(down)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word (white space apart) of a text, in order; the text is read in slices that end where a word does."""
+    out = [np.zeros(0, np.uint64)]
+    a = 0
+    while a < len(text):
+        b = a + _SLICE
+        if b < len(text):
+            while b > a and not text[b].isspace():
+                b -= 1
+            if b == a:  # a word longer than a slice
+                m = _GAP.search(text, a + _SLICE)
+                b = m.start() if m else len(text)
+        out += [_hashed(text[a:b])] if b - a <= _SLICE else [_hashed(w) if len(w) <= _SLICE else np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))], np.uint64) for w in text[a:b].split()]
+        a = b
+    return out[1] if len(out) == 2 else np.concatenate(out)
+
+
+def _hashed(text: str) -> np.ndarray:
+    gaps, up, down = _tables()
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    gap = gaps[np.minimum(cp, 0x3001)]
+    first = ~gap
+    first[1:] &= gap[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    x = cp * up[: len(cp)]
+    x[gap] = 0
+    h = np.add.reduceat(x, starts) * down[starts]  # as if each word began at 0
+    h ^= h >> np.uint64(32)
+    h *= _Q
+    return h ^ (h >> np.uint64(29))
 
 
 def shingles(text: str, n: int = 5) -> np.ndarray:
@@ -25,37 +70,41 @@ def shingles(text: str, n: int = 5) -> np.ndarray:
 
     A text of one to ``n - 1`` words is one run; one without words has none.
     """
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    try:
-        ids = [_WORDS[w] for w in words]
-    except KeyError:
-        if len(_WORDS) > 100_000:
-            _WORDS.clear()
-        for w in words:
-            if w not in _WORDS:
-                _WORDS[w] = xxhash.xxh64_intdigest(w)
-        ids = [_WORDS[w] for w in words]
-    w = np.array(ids, dtype=np.uint64)
+    w = word_hashes(text)
+    if not len(w):
+        return w
     m = max(1, len(w) - n + 1)
     h = np.zeros(m, np.uint64)
     for i in range(min(n, len(w))):
-        h = (h + w[i : i + m]) * _P
+        h += w[i : i + m]
+        h *= _P
         h ^= h >> np.uint64(29)
-    return np.unique(h * _P)
+    h *= _P
+    h.sort()
+    new = np.empty(m, bool)
+    new[0] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
 
+@lru_cache(4)
+def _mix(hashes: int) -> np.ndarray:
+    return np.random.default_rng(20240229).integers(0, 1 << 31, (2, hashes, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-def min_hashes(s: np.ndarray) -> np.ndarray:
-    """HASHES independent min-hashes (32 bits) of a set of 64-bit hashes."""
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(s), 4096):
-        out = np.minimum(out, (_MIX[0][:, None] * s[None, a : a + 4096] + _MIX[1][:, None]).min(axis=1))
-    return (out >> np.uint64(32)).astype("<u4")
 
+def min_hashes(s: np.ndarray, hashes: int) -> np.ndarray:
+    """Independent min-hashes (32 bits) of a set of 64-bit hashes."""
+    times, plus = _mix(hashes)
+    out = np.full(hashes, np.iinfo(np.uint32).max, np.uint32)
+    for a in range(0, len(s), 2048):
+        x = times * (s[a : a + 2048] >> np.uint64(32)).astype(np.uint32)
+        x += plus
+        np.minimum(out, x.min(axis=1), out=out)
+    return out.astype("<u4")
 
-def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
-    """``docs`` without text and with key (MD5 of the text), sketch (HASHES 32-bit min-hashes), short (their low bytes) and weight.
+
+def sketches(docs: DataFrame, hashes: int, n: int = 5) -> DataFrame:
+    """``docs`` without text and with key (MD5 of the text), sketch (``hashes`` 32-bit min-hashes), short (their low bytes) and weight.
 
     Null without words. weight is 1 for texts of up to 4096 shingles and grows with them, so that blocks of texts are bounded in bytes.
     """
@@ -68,13 +117,12 @@ def sketches(docs: DataFrame, n: int = 5) -> DataFrame:
                 text = t.as_py() or ""
                 s = shingles(text, n)
                 if len(s):
-                    m = min_hashes(s)
+                    m = min_hashes(s, hashes)
                     rows.append((hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest(), m.tobytes(), m.astype(np.uint8).tobytes(), 1 + len(s) // 4096))
                 else:
                     rows.append((None, None, None, None))
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-        _WORDS.clear()
 
     made = text_udf(run, "key binary, sketch binary, short binary, weight long")
     return docs.withColumn("__s", made(F.col("text").cast("string"))).drop("text").select("*", "__s.*").drop("__s")
@@ -85,26 +133,25 @@ def runs_for(recall: float, similarity: float, levels: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**levels))
 
 
-def _token(level: int, levels: int) -> Column:
-    """The token of a set that its run samples at a level: the one with the least hash, as that hash."""
-    return F.expr(f"substring(sketch, 4 * (run * {levels} + {level}) + 1, 4)")
-
-
 def leaves(texts: DataFrame, runs: int, levels: int, bucket: int) -> DataFrame:
     """Where each run takes each text: key, run, leaf, size (the weight of the leaf's texts).
 
     A run samples one token of each set (the least under its hash function, so that two sets share it with the
     probability of their similarity); texts that share it share a bucket. Buckets of one go, those of up to ``bucket`` are
     leaves, larger ones split by the next sampled token, down to ``levels``; what is still larger then is a leaf too.
-    Texts of a hot bucket stay where they are while they learn its size.
+    Each row carries the tokens of its run's deeper levels, so a split needs no join; texts of a hot bucket stay where they are while
+    they learn its size.
     """
-    at = texts.select("key", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "sketch", "weight")
-    at = at.select("key", "run", "weight", F.xxhash64("run", _token(0, levels)).alias("leaf"))
+    at = texts.select("key", "weight", "sketch", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    # The tokens of a run: the sketch's hashes from run * levels on, 4 bytes each.
+    at = at.select("key", "run", "weight", F.expr(f"substring(sketch, {4 * levels} * run + 1, {4 * levels})").alias("tokens"))
+    token = lambda level: F.substring("tokens", 4 * level + 1, 4)
+    at = at.withColumn("leaf", F.xxhash64("run", token(0)))
     total = texts.count() * runs
     done: DataFrame | None = None
     for level in range(levels):
         sizes = at.groupBy("leaf").agg(F.sum("weight").alias("size"), F.count("*").alias("n")).filter("n > 1")
-        met = written(inner_by_key(at, sizes, "leaf", "n", total).select("key", "run", "weight", "leaf", "size"), "paths")
+        met = written(inner_by_key(at, sizes, "leaf", "n", total).select("key", "run", "weight", "tokens", "leaf", "size"), "paths")
         last = level == levels - 1
         small = met if last else met.filter(F.col("size") <= bucket)
         done = small if done is None else done.unionByName(small)
@@ -112,9 +159,8 @@ def leaves(texts: DataFrame, runs: int, levels: int, bucket: int) -> DataFrame:
         total = 0 if last else large.count()
         if not total:
             break
-        # One row per text in texts, at most ``runs`` of it here: no key is hot.
-        at = large.join(texts.select("key", "sketch"), "key").select("key", "run", "weight", F.xxhash64("leaf", _token(level + 1, levels)).alias("leaf"))
-    return done.drop("weight")
+        at = large.select("key", "run", "weight", "tokens", F.xxhash64("leaf", token(level + 1)).alias("leaf"))
+    return done.select("key", "run", "leaf", "size")
 
 
 def _pairs(leaf: np.ndarray, run: int, block: np.ndarray, two: bool) -> np.ndarray:
@@ -145,13 +191,17 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "key")
 
 
-def candidates(at: DataFrame, runs: int, bucket: int, likely: float) -> DataFrame:
+def candidates(texts: DataFrame, runs: int, hashes: int, bucket: int, likely: float) -> DataFrame:
     """Who has a partner that sketches call likely, in which group: key, doc_id, leaf, first, second, block, run, met.
 
-    Leaves of over ``bucket`` texts are dealt into blocks, and each pair of blocks is a group, so that no task holds more
-    than two blocks at a time. A pair counts only in the first run in which it meets (``met`` tells), so no pair
-    is listed twice and no pairs have to be written to find that out. One row per text and group.
+    ``texts`` has key, doc_id, short and paths: run, leaf and the leaf's size of each run that keeps the text. Leaves of over ``bucket`` texts are dealt into
+    blocks, and each pair of blocks is a group, so that no task holds more than two blocks at a time. A pair counts only in the first run in
+    which it meets (``met``, the leaf of each run, tells), so no pair is listed twice and no pairs have to be written to find that out.
+    One row per text and group.
     """
+    leaf = F.map_from_entries(F.transform("paths", lambda p: F.struct(p["run"], p["leaf"])))
+    met = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0)))
+    at = texts.withColumn("m", leaf).withColumn("met", met).select("key", "doc_id", "short", "met", F.explode("paths").alias("p")).select("key", "doc_id", "short", "met", "p.*")
     blocks = F.ceil(F.col("size") / bucket).cast("int")
     block = F.pmod(F.xxhash64("key"), blocks).cast("int")
     rows = at.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -163,10 +213,10 @@ def candidates(at: DataFrame, runs: int, bucket: int, likely: float) -> DataFram
         for g in grouped(batches, _GROUP):
             if len(g) < 2:
                 continue
-            short, met = _array(g["short"], HASHES, "u1"), _leaf_matrix(g["met"], runs)
+            short, met = _array(g["short"], hashes, "u1"), _leaf_matrix(g["met"], runs)
             own = _pairs(met, g["run"][0].as_py(), g["block"].to_numpy(), g["first"][0].as_py() != g["second"][0].as_py())
             for i in range(0, len(g), 128):
-                own[i : i + 128] &= (short[i : i + 128, None, :] == short[None, :, :]).sum(axis=2) >= likely * HASHES
+                own[i : i + 128] &= (short[i : i + 128, None, :] == short[None, :, :]).sum(axis=2) >= likely * hashes
             who = own.any(axis=0) | own.any(axis=1)
             if who.any():
                 keep.append(g.drop_columns(["short"]).filter(pa.array(who)))
@@ -259,7 +309,7 @@ def verified(found: DataFrame, runs: int, similarity: float, n: int = 5) -> Data
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["key", "links", "root"])
 
-    return _placed(found).mapInArrow(tidied(run_, _WORDS.clear), "key binary, links long, root binary")
+    return _placed(found).mapInArrow(tidied(run_), "key binary, links long, root binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -294,17 +344,14 @@ def classes(docs: DataFrame, n: int, similarity: float, recall: float, levels: i
     root is the least key of the class, class_id its least doc_id.
     """
     runs = runs_for(recall, similarity, levels)
-    if runs * levels > HASHES:
-        raise ValueError(f"{runs} runs of {levels} levels need more than {HASHES} hashes")
+    hashes = runs * levels
     since = len(made())
-    seen = written(sketches(docs, n), "sketches")
+    seen = written(sketches(docs, hashes, n), "sketches")
     texts = seen.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), *[F.first(c).alias(c) for c in ("sketch", "short", "weight")])
     texts = written(texts, "texts")
-    at = written(leaves(texts, runs, levels, bucket), "leaves")
-    by_run = F.map_from_entries(F.collect_list(F.struct("run", "leaf")))
-    met = at.groupBy("key").agg(by_run.alias("m")).select("key", F.array(*[F.coalesce(F.try_element_at("m", F.lit(r)), F.lit(0)) for r in range(runs)]).alias("met"))
-    known = texts.select("key", F.col("rep").alias("doc_id"), "short").join(met, "key")
-    likely_ones = written(candidates(at.join(known, "key"), runs, bucket, likely), "candidates")
+    paths = leaves(texts, runs, levels, bucket).groupBy("key").agg(F.collect_list(F.struct("run", "leaf", "size")).alias("paths"))
+    known = texts.select("key", F.col("rep").alias("doc_id"), "short").join(paths, "key")
+    likely_ones = written(candidates(known, runs, hashes, bucket, likely), "candidates")
     # A text comes from the document that stands for it, so hot copies aren't joined.
     source = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text"))).alias("key"))
     found = likely_ones.join(source, likely_ones["doc_id"].eqNullSafe(source["doc_id"]) & (likely_ones["key"] == source["key"])).select(likely_ones["*"], "text")

@@ -35,6 +35,18 @@ def test_rows_without_an_id_and_repeated_rows_lose_nothing(spark):
     assert sum(r[1] is None for r in got) == 2 and (2, "", "e") in got
 
 
+def test_word_hashes_tell_words_apart():
+    """One hash for each word of str.split, the same wherever it stands: after other white space, across slices, beyond a slice."""
+    n = jaccard._SLICE
+    texts = ["", " ", "a", " a", "a\u3000b c\x1cd\x85e", "\ud800 b", "日本 語 😀 a", "x" * n + " y", " " + "x" * n + " y", "x" * (n + 1) + " " + "z" * (3 * n) + " y", "ab cd " * n, "a" * (n - 1) + " b" + " c" * n]
+    known, words = {}, {}
+    for t in texts:
+        w, h = t.split(), jaccard.word_hashes(t).tolist()
+        assert len(w) == len(h)
+        for a, b in zip(w, h, strict=True):
+            assert known.setdefault(a, b) == b and words.setdefault(b, a) == a
+
+
 def test_linked_sets_in_chunks_equal_all_pairs():
     rng = np.random.default_rng(2)
     base = [rng.integers(0, 4000, n) for n in (30, 300, 900)]
