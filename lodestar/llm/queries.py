@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, langid, licenses, mixing, packing, search, secrets, warc
+from . import conversations, html_text, jaccard, langid, licenses, mixing, packing, periodic, search, secrets, sharding, warc
 from .common import spread_table, table
 
 
@@ -61,6 +61,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 
+def op11_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))[0]
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(spread_table(spark, sf_dir, "documents"))
+
+
 def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op6_license_scan reports of the base phrases alone, which SQL can say too."""
     return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -82,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_entropy_mix": op8_entropy_mix,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
+    "op11_slot_sharding": op11_slot_sharding,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_periodic_runs": op13_periodic_runs,
     "base_licenses": base_licenses,
     "base_secrets": base_secrets,
 }

@@ -16,13 +16,18 @@ COLUMNS = {
     "op8": "doc_id bigint size bigint source_size bigint target double taken bigint",
     "op9": "doc_id bigint n_assign bigint n_access bigint n_hex bigint base_sha256 string spans string",
     "op10": "doc_id bigint held_out boolean lang_pred string score double",
+    "op11": "doc_id bigint size bigint text_crc32 bigint law string shard int slot bigint grown_shard int",
+    "op12": "conv_id bigint gaps bigint blank bigint duplicate bigint truncated bigint illegal bigint cost bigint audit string repaired_sha256 string",
+    "op13": "doc_id bigint n_runs bigint start bigint length bigint period bigint exponent_milli bigint runs_sha256 string collapsed_sha256 string",
+    "base_licenses": "doc_id bigint n_words bigint n_base bigint first_word bigint last_word bigint base_labels string",
+    "base_secrets": "doc_id bigint n_assign bigint n_access bigint n_hex bigint",
 }
-ROWS = {"op1": "documents", "op2": "pages", "op6": "documents", "op7": "pages", "op8": "documents", "op9": "documents", "op10": "documents"}
+ROWS = {"op1": "documents", "op2": "pages", "op6": "documents", "op7": "pages", "op8": "documents", "op9": "documents", "op10": "documents", "op11": "documents", "op13": "documents", "base_licenses": "documents", "base_secrets": "documents"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_contract(spark, name):
-    op = name.split("_")[0]
+    op = name if name in COLUMNS else name.split("_")[0]
     df = QUERIES[name](spark, SF)
     parts = COLUMNS[op].split()
     kinds = dict(df.dtypes)
