@@ -19,13 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table, dealt anew where its files give fewer partitions than there are cores (a few large row groups), for work in Python."""
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt anew where there are fewer partitions than cores (a few large row groups), for work in Python."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

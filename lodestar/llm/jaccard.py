@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, dropped, grouped, inner_by_key, join_by_key, made, row_ids, text_udf, tidied, written
+from .common import ROW, dropped, grouped, inner_by_key, join_by_key, made, row_ids, spread, text_udf, tidied, written
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SLICE = 1 << 15
@@ -57,7 +57,7 @@ def _hashed(text: str) -> np.ndarray:
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    x = cp * up[: len(cp)]
+    x = (cp + np.uint32(1)) * up[: len(cp)]  # plus one, so that U+0000 counts
     x[gap] = 0
     h = np.add.reduceat(x, starts) * down[starts]  # as if each word began at 0
     h ^= h >> np.uint64(32)
@@ -192,20 +192,20 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame, runs: int, hashes: int, bucket: int, likely: float) -> DataFrame:
-    """Who has a partner that sketches call likely, in which group: key, doc_id, leaf, first, second, block, run, met.
+    """Who has a partner that sketches call likely, in which group: key, __file, __row, leaf, first, second, block, run, met.
 
-    ``texts`` has key, doc_id, short and paths: run, leaf and the leaf's size of each run that keeps the text. Leaves of over ``bucket`` texts are dealt into
+    ``texts`` has key, __file, __row, short and paths: run, leaf and the leaf's size of each run that keeps the text. Leaves of over ``bucket`` texts are dealt into
     blocks, and each pair of blocks is a group, so that no task holds more than two blocks at a time. A pair counts only in the first run in
     which it meets (``met``, the leaf of each run, tells), so no pair is listed twice and no pairs have to be written to find that out.
     One row per text and group.
     """
     leaf = F.map_from_entries(F.transform("paths", lambda p: F.struct(p["run"], p["leaf"])))
     met = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0)))
-    at = texts.withColumn("m", leaf).withColumn("met", met).select("key", "doc_id", "short", "met", F.explode("paths").alias("p")).select("key", "doc_id", "short", "met", "p.*")
+    at = texts.withColumn("m", leaf).withColumn("met", met).select("key", *ROW, "short", "met", F.explode("paths").alias("p")).select("key", *ROW, "short", "met", "p.*")
     blocks = F.ceil(F.col("size") / bucket).cast("int")
     block = F.pmod(F.xxhash64("key"), blocks).cast("int")
     rows = at.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "doc_id", "short", "met", "run", "leaf", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    rows = rows.select("key", *ROW, "short", "met", "run", "leaf", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
 
     def run_(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep: list[pa.Table] = []
@@ -227,7 +227,7 @@ def candidates(texts: DataFrame, runs: int, hashes: int, bucket: int, likely: fl
         if keep:
             yield from pa.concat_tables(keep).combine_chunks().to_batches()
 
-    return _placed(rows).mapInArrow(tidied(run_), "key binary, doc_id long, met array<long>, run int, leaf long, block int, first int, second int")
+    return _placed(rows).mapInArrow(tidied(run_), "key binary, __file long, __row long, met array<long>, run int, leaf long, block int, first int, second int")
 
 
 def linked(sets: list[np.ndarray], similarity: float, at_once: int = 1_000_000) -> np.ndarray:
@@ -276,14 +276,8 @@ def verified(found: DataFrame, runs: int, similarity: float, n: int = 5) -> Data
         out: list[tuple] = []
         for g in grouped(batches, _GROUP):
             keys = g["key"].to_pylist()
-            if len(set(keys)) < 2:
+            if len(keys) < 2:
                 continue
-            first: dict[bytes, int] = {}
-            for i, k in enumerate(keys):
-                first.setdefault(k, i)
-            if len(first) < len(keys):  # repeated rows of one doc_id and text
-                g = g.take(list(first.values()))
-                keys = list(first)
             own = _pairs(_leaf_matrix(g["met"], runs), g["run"][0].as_py(), g["block"].to_numpy(), g["first"][0].as_py() != g["second"][0].as_py())
             sets = [shingles(t.as_py(), n) for t in g["text"]]
             link = own & linked(sets, similarity)
@@ -339,22 +333,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int, similarity: float, recall: float, levels: int, bucket: int, likely: float) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` (doc_id and what else it has, without text) with their key, and per key: root, class_id, n_links, n_copies.
+    """Rows of ``docs`` (doc_id, __file, __row and what else it has, without text) with their key, and per key: root, class_id, n_links, n_copies.
 
-    root is the least key of the class, class_id its least doc_id.
+    root is the least key of the class, class_id its least doc_id. Of all copies of a text one row, told by its place in its file, is read again for
+    verification, whatever doc_ids the copies have.
     """
     runs = runs_for(recall, similarity, levels)
     hashes = runs * levels
     since = len(made())
-    seen = written(sketches(docs, hashes, n), "sketches")
-    texts = seen.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), *[F.first(c).alias(c) for c in ("sketch", "short", "weight")])
+    seen = written(sketches(spread(docs), hashes, n), "sketches")
+    texts = seen.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct(*ROW)).alias("at"), F.count("*").alias("n_copies"), *[F.first(c).alias(c) for c in ("sketch", "short", "weight")])
     texts = written(texts, "texts")
     paths = leaves(texts, runs, levels, bucket).groupBy("key").agg(F.collect_list(F.struct("run", "leaf", "size")).alias("paths"))
-    known = texts.select("key", F.col("rep").alias("doc_id"), "short").join(paths, "key")
+    known = texts.select("key", "at.*", "short").join(paths, "key")
     likely_ones = written(candidates(known, runs, hashes, bucket, likely), "candidates")
-    # A text comes from the document that stands for it, so hot copies aren't joined.
-    source = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text"))).alias("key"))
-    found = likely_ones.join(source, likely_ones["doc_id"].eqNullSafe(source["doc_id"]) & (likely_ones["key"] == source["key"])).select(likely_ones["*"], "text")
+    found = likely_ones.join(docs.select(*ROW, "text"), ROW)
     links = written(verified(found, runs, similarity, n), "verified")
     nodes = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("key").agg(F.sum("links").alias("n_links"))
@@ -380,9 +373,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     those far below the limit (``likely``); the rest are verified exactly, each pair once.
 
     Null or empty texts and texts without words have no links: each is a class of its own (n_copies 1). Null doc_ids are kept
-    (class_id is then the least known doc_id of the class, or null). Repeated rows count as copies. Other columns are ignored.
+    (class_id is then the least known doc_id of the class, or null). Repeated rows count as copies. An empty table gives no rows. Very long texts are read whole. Other
+    columns are ignored, whatever their names.
     """
-    rows, report = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), n, similarity, recall, levels, bucket, likely)
+    rows, report = classes(row_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *ROW), n, similarity, recall, levels, bucket, likely)
     report = report.select("key", "class_id", "n_links", "n_copies", F.col("n_copies").alias("copies"))
     out = join_by_key(rows, report, "key", "copies", F.xxhash64("doc_id"), rows.count())
     return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
@@ -393,7 +387,7 @@ def deduplicated(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
 
     The row that stays has the least doc_id (rows without one come last); among rows of one doc_id, the one with the least hash of its columns, so
     reruns agree. Rows without words are classes of their own and stay. Rows are told apart by where they stand in their files,
-    so null and repeated doc_ids lose nothing.
+    so null and repeated doc_ids lose nothing. An empty table stays empty. Columns may have any names but __file and __row, which raise as ambiguous.
     """
     ids = row_ids(docs)
     plain = ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *ROW, F.xxhash64(*docs.columns).alias("mark"))
