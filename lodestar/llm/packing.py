@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rechunked, tidied
+from .common import ROW, rechunked, row_ids, spread, tidied
 
 #: GPT-2's pre-tokenisation pattern; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -69,8 +69,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     Of a longer document the first piece takes the remainder, so it may be shorter and all others are full.
     Returns doc_id, piece (from 0), start (ids before it), length and ids (binary, little-endian unsigned 32-bit).
     Null or empty text: one piece that holds ``end_id`` alone. Null doc_ids and repeated rows are kept as they are.
-    Other columns of ``docs`` are ignored.
+    A column __salt (long), if there is one, is passed on; other columns of ``docs`` are ignored. Very long texts are read whole. An empty table gives no rows.
     """
+    salted = "__salt" in docs.columns
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path), np.asarray([end_id], dtype="<u4").tobytes()
@@ -78,18 +79,19 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], ["doc_id", "piece", "start", "length", "ids", "__salt"][: len(cols)])
 
         for batch in batches:
             rows, size = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            salts = [(x,) for x in batch.column(2).to_pylist()] if salted else [()] * batch.num_rows
+            for doc_id, text, salt in zip(batch.column(0).to_pylist(), batch.column(1), salts, strict=True):
                 ids = enc.encode(text.as_py() or "") + end
                 size += len(ids)
                 a, piece = 0, 0
                 b = len(ids) % step or step
                 while a < len(ids):
-                    rows.append((doc_id, piece, a // 4, (b - a) // 4, ids[a:b]))
+                    rows.append((doc_id, piece, a // 4, (b - a) // 4, ids[a:b], *salt))
                     a, b, piece = b, b + step, piece + 1
                 if size > 8_000_000:
                     yield out(rows)
@@ -97,7 +99,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
             if rows:
                 yield out(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(cut), "doc_id long, piece int, start long, length long, ids binary")
+    more = ["__salt"] if salted else []
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(tidied(cut), "doc_id long, piece int, start long, length long, ids binary" + ", __salt long" * salted)
 
 
 class OpenBins:
@@ -167,14 +170,25 @@ def pack_best_fit(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, open_bins: int = 1024, end_id: int = 0, docs_per_packer: int = 150_000, keep_ids: bool = True) -> DataFrame:
     """Tokenises and packs: ``tokenized_pieces`` and ``pack_best_fit`` with the number of packers that the row count asks for.
 
-    ``ids_crc32`` (unsigned, of the binary ids) is taken before the shuffle; with ``keep_ids=False`` the ids
+    Pieces are dealt and ordered by what they are (doc_id, piece, start, length, ids_crc32), so reruns agree whatever the partitions, and rows without a doc_id
+    spread like others. Rows that agree in doc_id and text fall to one packer, unless there are more of them than an eighth of its share: then (fewer than
+    eight times as many cases as packers, so they are broadcast) they are dealt by their place in the files. ``ids_crc32`` (unsigned, of the binary ids) is taken before the shuffle; with ``keep_ids=False`` the ids
     themselves aren't shuffled, only what places them. Cases: see the two functions.
     """
     n: Any = docs.count()
+    packers = max(1, math.ceil(n / docs_per_packer))
+    if packers > 1:
+        content = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        rows = row_ids(docs.select("doc_id", "text")).withColumn("__c", content)
+        hot = rows.groupBy("__c").agg(F.count("*").alias("__n")).filter(F.col("__n") * packers * 8 > n).select("__c", F.lit(True).alias("__hot"))
+        docs = spread(rows).join(F.broadcast(hot), "__c", "left").withColumn("__salt", F.when(F.col("__hot"), F.xxhash64(*ROW)).otherwise(F.lit(0).cast("long")))
+    else:
+        docs = spread(docs)
     pieces = tokenized_pieces(docs, tokenizer_path, capacity, end_id).withColumn("ids_crc32", F.crc32("ids"))
     if not keep_ids:
         pieces = pieces.drop("ids")
-    return pack_best_fit(pieces, capacity, open_bins, max(1, math.ceil(n / docs_per_packer)))
+    order = ("doc_id", "piece", "start", "length", "ids_crc32")
+    return pack_best_fit(pieces, capacity, open_bins, packers, (*order, "__salt") if packers > 1 else order).drop("__salt")
 
 
 def assembled(packed: DataFrame) -> DataFrame:
