@@ -35,14 +35,26 @@ FAMILIES = (
     ("cc0-1.0", r"(?:cc0|cc zero|creative commons zero)", ""), ("cc-by", r"(?:cc by|creative commons attribution)", ""), ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", ""), ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", ""), ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", ""),
     ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", ""), ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", ""),
 )
-# How a text states a license: name, pattern around NAME, how sure it makes us.
+# Names that are also other things. Acronyms name institutes and programs, words are ordinary ones: they need more around them.
+ACRONYMS = ("mit", "x11", "bsd", "isc", "zlib")
+WORDS = ("expat", "apache", "boost-1.0", "artistic", "python-2.0", "ruby", "php-3.01", "openssl", "postgresql", "cpl-1.0", "ofl-1.1", "odbl-1.0", "openrail", "epl", "mpl")
+# How a text states a license: name, pattern around NAME, how sure it makes us, of which names (c clear, a acronyms, w words).
 FORMS = (
-    ("grant", r"(?:licensed|released|distributed|available|published|provided|covered|governed)(?: only)? (?:under|by)(?: the)?(?: terms of)?(?: the)? NAME(?: licenses?| agreement)?VERSION", 1.0),
-    ("tag", r"spdx license identifier NAME(?: licenses?)?VERSION(?: only| or later)?", 1.0),
-    ("field", r"licen[cs]e(?: is| type| name)? (?:the )?NAMEVERSION", 0.8),
-    ("subject", r"(?:subject to|in accordance with|see|under)(?: the)?(?: terms of)?(?: the)? NAME(?: licenses?)?VERSION", 0.7),
-    ("title", r"NAME licen[cs]es?(?: agreement)?VERSION", 0.9),
+    ("grant", r"(?:licensed|released|distributed|available|published|provided|covered|governed)(?: only)? under(?: the)?(?: terms of)?(?: the)? NAME(?: licenses?| agreement)?VERSION", 1.0, "ca"),
+    ("grant", r"(?:covered|governed)(?: only)? by(?: the)?(?: terms of)?(?: the)? NAME(?: licenses?| agreement)?VERSION", 1.0, "ca"),
+    ("grant", r"licensed(?: only)? under(?: the)?(?: terms of)?(?: the)? NAME(?: licenses?| agreement)?VERSION", 1.0, "w"),
+    ("grant", r"(?:released|distributed|available|published|provided|covered|governed)(?: only)? (?:under|by)(?: the)?(?: terms of)?(?: the)? NAME(?: licenses?| agreement)VERSION", 1.0, "w"),
+    ("tag", r"spdx license identifier NAME(?: licenses?)?VERSION(?: only| or later)?", 1.0, "caw"),
+    ("field", r"licen[cs]e(?: is| type| name)? (?:the )?NAMEVERSION", 0.8, "ca"),
+    ("field", r"licen[cs]e(?: is| type| name) (?:the )?NAMEVERSION", 0.8, "w"),
+    ("subject", r"(?:subject to|in accordance with|see|under)(?: the)?(?: terms of)?(?: the)? NAME(?: licenses?)?VERSION", 0.7, "ca"),
+    ("subject", r"(?:subject to|in accordance with|see|under)(?: the)?(?: terms of)?(?: the)? NAME(?: licenses?)VERSION", 0.7, "w"),
+    ("title", r"NAME licen[cs]es?(?: agreement)?VERSION", 0.9, "caw"),
 )
+PRIORITIES = {"passage": 100, "grant": 90, "tag": 80, "field": 70, "subject": 60, "title": 50}
+# What follows when something else was named.
+_ELSE = r"(?! (?:press|media|web|websites?|homepage|news|blog|lab|labs|laborator(?:y|ies)|universit(?:y|ies)|campus|imprint|brand|label|umbrella|foundation|conference|sloan|professors?|students?|researchers?|kernels?|sockets?|servers?|windows?|library|libraries|compression|format)(?![^ ]))"
+_NOT_A_LICENSE = r"(?! (?:plates?|numbers?|holders?|fees?|exams?|tests?|renewals?)(?![^ ]))"
 # Passages that say so without a name: label, pattern, keyword, how sure.
 PASSAGES = (
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "permission", 1.0),
@@ -52,12 +64,51 @@ PASSAGES = (
     ("zlib", r"altered source versions must be plainly marked as such", "altered", 1.0),
     ("unlicense", r"free and unencumbered software released into the public domain", "unencumbered", 1.0),
     ("public-domain", r"(?:released (?:in)?to|in|dedicated to) the public domain", "domain", 0.8),
+    ("mit", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions", "substantial", 1.0),
+    ("mit-0", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction .{0,220}? to whom the software is furnished to do so the software is provided", "furnished", 0.9),
+    ("isc", r"provided that the above copyright notice and this permission notice appear in all copies", "appear", 0.9),
+    ("bsd-2-clause", r"redistributions in binary form must reproduce the above copyright notice", "redistributions", 0.7),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledgement", "advertising", 1.0),
+    ("zlib", r"the origin of this software must not be misrepresented", "misrepresented", 1.0),
+    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", "implied", 0.9),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", "compile", 1.0),
+    ("apache-2.0", r"you may not use this file except in compliance with the license", "compliance", 0.9),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "writing", 1.0),
+    ("gpl", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute", 1.0),
+    ("gpl", r"you should have received a copy of the gnu general public license", "received", 1.0),
+    ("lgpl", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", "redistribute", 1.0),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license", "received", 1.0),
+    ("agpl", r"you should have received a copy of the gnu affero general public license", "received", 1.0),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license", "mozilla", 1.0),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1", "mozilla", 1.0),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse", 1.0),
+    ("cddl-1.0", r"the contents of this file are subject to the terms of the common development and distribution license", "subject", 1.0),
+    ("boost-1.0", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "organization", 1.0),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", "fee", 1.0),
+    ("openssl", r"this product includes software developed by the openssl project", "openssl", 1.0),
+    ("php-3.01", r"this product includes php software freely available from", "php", 1.0),
+    ("python-2.0", r"psf is making python available to licensee on an as is basis", "psf", 1.0),
+    ("artistic-1.0", r"the intent of this document is to state the conditions under which a package may be copied", "package", 1.0),
+    ("wtfpl", r"you just do what the fuck you want to", "fuck", 1.0),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license", "font", 1.0),
+    ("odbl-1.0", r"this .{1,80}? is made available under the open database license", "database", 1.0),
+    ("cc0-1.0", r"has waived all copyright and related or neighbou?ring rights", "waived", 1.0),
+    ("cc0-1.0", r"no rights reserved", "reserved", 0.6),
+    ("creative-commons", r"this work is licensed under a creative commons", "commons", 0.9),
+    ("eupl-1.2", r"licensed under the eupl", "eupl", 1.0),
+    ("proprietary", r"unauthori[sz]ed copying of this file via any medium is strictly prohibited", "prohibited", 1.0),
+    ("proprietary", r"(?:may|must) not be (?:copied|reproduced|redistributed)(?: or (?:copied|reproduced|distributed))? without(?: the)?(?: express| prior)*(?: written)? (?:permission|consent)", "without", 0.7),
+    ("proprietary", r"for internal use only", "internal", 0.5),
     ("proprietary", r"all rights reserved", "reserved", 0.5),
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "proprietary", 0.9),
     ("copyright-notice", r"copyright (?:c )?(?:19|20)\d\d", "copyright", 0.3),
 )
 
 
+def kind_of(label: str) -> str:
+    return "a" if label in ACRONYMS else "w" if label in WORDS else "c"
+
+
 class Rule(NamedTuple):
     label: str
     form: str
@@ -106,15 +157,18 @@ def rules() -> tuple[Rule, ...]:
 
     A rule's needs follow from its pattern: of each of them, every match in " " + words holds at least one string.
     """
-    out = [Rule(label, "passage", ((keyword,),), re.compile(rf"(?<![^ ]){p}(?![^ ])"), 100, sure) for label, p, keyword, sure in PASSAGES]
-    for f, (form, around, sure) in enumerate(FORMS):
+    out = [Rule(label, "passage", ((keyword,),), re.compile(rf"(?<![^ ]){p}(?![^ ])"), PRIORITIES["passage"], sure) for label, p, keyword, sure in PASSAGES]
+    for form, around, sure, kinds in FORMS:
         before, after = around.replace("VERSION", "NAME").split("NAME")[:2]
         stated = hints(f" {x}" for x in expansions(before)) if before else hints(expansions(after))
         for label, name, version in FAMILIES:
+            if kind_of(label) not in kinds:
+                continue
             v = rf"(?: (?:v|version|ver) ?| ?){version}" if version else r"(?: (?:v|version)? ?\d(?: \d)?)?" if label.startswith("cc") else ""
             p = around.replace("NAME", f"(?:{name})").replace("VERSION", v)
+            end = (_ELSE if label in ACRONYMS and form != "title" else "") + (_NOT_A_LICENSE if form == "title" or label in WORDS else "")
             needs = (hints(f" {x}" for x in expansions(name)), stated)
-            out.append(Rule(label, form, needs, re.compile(rf"(?<![^ ]){p}(?![^ ])"), 90 - 10 * f + 5 * bool(version), sure))
+            out.append(Rule(label, form, needs, re.compile(rf"(?<![^ ]){p}(?![^ ]){end}"), PRIORITIES[form] + 5 * bool(version), sure))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -203,7 +257,8 @@ def scan(text: str) -> tuple[int, list[tuple[int, str]], list[Detection]]:
 def license_scan(docs: DataFrame) -> DataFrame:
     """Licenses that each whole text states: doc_id, n_words, base (array of word, label) and detections.
 
-    Null or empty text: 0 words, empty arrays. Null doc_ids and repeated rows are kept; other columns are ignored.
+    Null or empty text: 0 words, empty arrays. Very long texts are read whole, in time that grows with their length. Null doc_ids and repeated rows are kept, an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     base_t = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
     found_t = pa.list_(pa.struct([("label", pa.string()), ("form", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
