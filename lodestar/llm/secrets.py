@@ -8,7 +8,7 @@ import re
 from bisect import bisect_right
 from collections import ChainMap, Counter
 from collections.abc import Iterator, Mapping
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,13 +24,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
-# Names that hold secrets, with how sensitive each is.
+# Parts of names that hold secrets, with how sensitive each is; those of the second list must be whole words of a name.
 SENSITIVE = (
-    ("password", 1.0), ("passwd", 1.0), ("passphrase", 1.0), ("pwd", 0.8), ("secret", 1.0), ("token", 0.9), ("apikey", 1.0), ("accesskey", 1.0),
-    ("privatekey", 1.0), ("credential", 0.9), ("auth", 0.6), ("bearer", 0.8), ("signingkey", 1.0), ("encryptionkey", 1.0), ("connectionstring", 0.8), ("cookie", 0.5), ("salt", 0.5),
+    ("password", 1.0), ("passwd", 1.0), ("passphrase", 1.0), ("secret", 1.0), ("apikey", 1.0), ("accesskey", 1.0), ("privatekey", 1.0), ("credential", 0.9),
+    ("signingkey", 1.0), ("encryptionkey", 1.0), ("connectionstring", 0.8), ("accesstoken", 0.9), ("authtoken", 0.9),
 )
-#: Values that stand for a secret but aren't one.
-PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "****", "none", "null", "true", "false", "<", "${", "{{")
+SENSITIVE_WORDS = {"token": 0.9, "tokens": 0.9, "pwd": 0.8, "auth": 0.6, "oauth": 0.6, "bearer": 0.8, "cookie": 0.5, "cookies": 0.5, "salt": 0.5}
+#: Values that stand for a secret but aren't one: if they hold, begin with or are one of these.
+HOLDS, BEGINS, IS = ("example", "changeme", "placeholder", "xxxx", "****"), ("your-", "your_", "your ", "<", "${", "{{"), {"none", "null", "true", "false", "undefined", "your"}
 
 #: A literal in quotes of any kind (triple ones over lines), with a prefix as in b"", or a bare value.
 _PART = re.compile(
@@ -46,27 +47,46 @@ _HEAD = re.compile(
 _BOUND = re.compile(r"[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))")
 #: The type between a colon and the equals sign that binds the value.
 _TYPE = re.compile(r"""(?:[^"'`,;{}()\[\]#=:\n]++|\[[^\]\n:=]*+\]|"[^"\n:=]*+"|'static\b)++=(?![=~>])[ \t]*+""")
+#: A literal may begin on the next line, or within parentheses, where literals follow each other without a sign.
+_LEAD = re.compile(r"""(?:[ \t]*+\\?\r?\n[ \t]*+|\(\s*+)(?=[A-Za-z@$]{0,2}["'`])""")
+_BESIDE = re.compile(r"""\s*+(?=[A-Za-z@$]{0,2}["'`])""")
+#: Names and values that no sign binds: elements, calls with a name and a literal, setters, user info of addresses, shell commands.
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)(?:\s[^<>]*+)?>([^<>]++)</\1\s*>")
+_CALL = re.compile(r"""\(\s*+(["'])([A-Za-z_$][\w.$-]*+)\1\s*+,\s*+(?=["'`])|(?<![A-Za-z0-9])set_?([A-Za-z]\w*+)\(\s*+(?=["'`])""")
+_USER = re.compile(r"""(?<=[A-Za-z0-9])://[^\s/:@"'<>]++:([^\s/@"'<>]++)@""")
+_SHELL = re.compile(r"^[ \t]*+(?:export|setenv)[ \t]++([A-Za-z_]\w*+)[ \t]++([^\s=\"']\S*+)", re.M)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NAME = re.compile(r"[A-Za-z_$][\w.$-]*$")
 _ESCAPE = re.compile(r"\\(.)")
 _HEADER = re.compile(r"-----[A-Z0-9 ]+-----")
 
 
 def sensitivity(name: str) -> float:
-    """How much a name says that its value is secret, from 0 to 1; separators and case don't count."""
+    """How much a name says that its value is secret, from 0 to 1; separators and case don't count, but short words must be whole ones."""
     flat = re.sub(r"[^a-z0-9]", "", name.lower())
-    return max((w for word, w in SENSITIVE if word in flat), default=0.0)
+    whole = {w.lower() for w in _WORDS.findall(name)} & SENSITIVE_WORDS.keys()
+    return max([w for word, w in SENSITIVE if word in flat] + [SENSITIVE_WORDS[w] for w in whole], default=0.0)
 
 
 def randomness(value: str) -> float:
     """How much a literal looks like a key, from 0 to 1: Shannon entropy per character, its length, kinds of characters."""
     if "\n" in value or "-----" in value:  # lines of one key, without its header and footer
         value = "".join(line.strip() for line in _HEADER.sub("\n", value).splitlines())
-    if len(value) < 6 or any(p in value.lower() for p in PLACEHOLDERS) or " " in value.strip():
+    low = value.strip().lower()
+    if len(value) < 6 or " " in value.strip() or low in IS or low.startswith(BEGINS) or any(p in low for p in HOLDS):
         return 0.0
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, bits / 4.0) * min(1.0, n / 12) * (0.4 + 0.2 * kinds)
+    return min(1.0, bits / 4.0) * min(1.0, n / 12) * min(1.0, 0.4 + 0.2 * kinds)
+
+
+def score_of(name: str, value: str) -> float:
+    """A name's sensitivity times its value's randomness; a passphrase may have blanks."""
+    w = sensitivity(name)
+    if w and "passphrase" in re.sub(r"[^a-z]", "", name.lower()) and not value.lower().startswith(BEGINS):
+        value = value.replace(" ", "")
+    return w and w * randomness(value)
 
 
 Parts = list[tuple[str, int, int]]
@@ -111,7 +131,9 @@ def _parts(text: str, at: int, end: int, known: Mapping[str, Parts]) -> tuple[Pa
     """The literals of a value or sum at a place, its spans in quotes, and where it ends; None if there is none."""
     parts: Parts = []
     quoted = []
-    p = _PART.match(text, at, end)
+    lead = _LEAD.match(text, at, end)
+    within = lead is not None and lead[0][0] == "("
+    p = _PART.match(text, lead.end() if lead else at, end)
     if not p:
         return None
     while True:
@@ -122,7 +144,7 @@ def _parts(text: str, at: int, end: int, known: Mapping[str, Parts]) -> tuple[Pa
             parts.append((_ESCAPE.sub(r"\1", p[k]), p.start(k), p.end(k)))
         if k != _BARE:
             quoted.append(p.span(k))
-        plus = _PLUS.match(text, p.end(), end)
+        plus = _PLUS.match(text, p.end(), end) or (_BESIDE.match(text, p.end(), end) if within else None)
         following = plus and _PART.match(text, plus.end(), end)
         if not following:
             # A bare name that is itself bound is read again as a name.
@@ -130,6 +152,20 @@ def _parts(text: str, at: int, end: int, known: Mapping[str, Parts]) -> tuple[Pa
         p = following
 
 
+def unbound(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """(name, literal, start, end) of what is named without an assignment: elements, calls, setters, user info in addresses, shell commands."""
+    if "</" in text:
+        yield from ((m[1], m[2], *m.span(2)) for m in _ELEMENT.finditer(text))
+    if "(" in text:
+        for m in _CALL.finditer(text):
+            if value := _parts(text, m.end(), len(text), {}):
+                yield from ((m[2] or m[3], p, a, b) for p, a, b in value[0])
+    if "://" in text:
+        yield from (("password", m[1], *m.span(1)) for m in _USER.finditer(text))
+    if "export" in text or "setenv" in text:
+        yield from ((m[1], m[2], *m.span(2)) for m in _SHELL.finditer(text))
+
+
 def scan(text: str, threshold: float = 0.35) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float, str]]]:
     """Base spans (start, kind, end), kind 0 assign, 1 access, 2 hex, and what the lexer adds: (start, end, score, name).
 
@@ -144,12 +180,12 @@ def scan(text: str, threshold: float = 0.35) -> tuple[list[tuple[int, int, int]]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
     more: dict[tuple[int, int], tuple[float, str]] = {}
-    if "=" in text or ":" in text:
+    if any(c in text for c in "=:(") or "</" in text or "setenv" in text:
         starts, ends = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
         last: tuple[str, str] | None = None
-        for name, value, a, b in literals(text):
+        for name, value, a, b in chain(literals(text), unbound(text)):
             if last is None or last[0] is not name or last[1] is not value:
-                last, score = (name, value), (w := sensitivity(name)) and w * randomness(value)
+                last, score = (name, value), score_of(name, value)
             covering = bisect_right(starts, a)
             if b - a >= 3 and score >= threshold and not (covering and ends[covering - 1] >= b):
                 more[a, b] = max(more.get((a, b), (0.0, "")), (score, name))
@@ -170,7 +206,7 @@ def secret_spans(docs: DataFrame, threshold: float = 0.35, into: str = "secrets"
     """All columns of ``docs`` and ``into``: the spans found in the whole text, by start, then kind as in KINDS.
 
     Offsets are code points, ends exclusive; base kinds score 1. Null or empty text: an empty array. A column of docs
-    that has that name is replaced. Null ids and repeated rows are kept. Only texts go to Python.
+    that has that name is replaced. Null ids and repeated rows are kept, an empty table stays empty. Very long texts are read whole. Only texts go to Python.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
@@ -195,7 +231,7 @@ def replaced(text: str, mark: str, threshold: float) -> str:
 def redacted(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.35) -> DataFrame:
     """``docs`` with every secret's characters in text replaced by ``mark`` (overlapping spans by one), n_chars following.
 
-    Documents without secrets, and null texts, are unchanged; no row is dropped.
+    Documents without secrets, and null texts, are unchanged; no row is dropped, an empty table stays empty. Very long texts are read whole. Other columns stay, whatever their names.
     """
 
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
