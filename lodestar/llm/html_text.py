@@ -38,13 +38,13 @@ _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label|data-main)\s*=\s*(?:
 
 # Groups of attribute tokens that tell what a part of a page is for.
 TOKENS = (
-    ("menu", r"nav|menu|breadcrumb|pagination|pager|toc|tabs|skip"),
+    ("menu", r"nav|navigation|menu|breadcrumb|pagination|pager|toc|tabs|skip"),
     ("ad", r"ads?|advert\w*|adsbygoogle|sponsor\w*|banner|promo\w*|doubleclick"),
-    ("foot", r"foot\w*|copyright|colophon|legal"),
+    ("foot", r"foot\w*|copyright|colophon|legal|contentinfo"),
     ("head", r"head|header|masthead|topbar|logo|branding|hero"),
     ("side", r"side\w*|widget\w*|aside|rail|complementary"),
     ("comment", r"comment\w*|disqus|respond|replies|reply|discussion|review\w*|feedback"),
-    ("notice", r"cookie\w*|consent|gdpr|notice|alert|warning|popup|modal|overlay|toast|paywall"),
+    ("notice", r"cookie\w*|consent|gdpr|notice|alert|warning|popup|modal|overlay|toast|paywall|dialog"),
     ("form", r"form|search\w*|login|signup|subscribe\w*|newsletter|contact"),
     ("share", r"share\w*|social|related|recommend\w*|more|tags?|author|byline|meta|follow|trending|popular"),
     ("main", r"article\w*|content|main\w*|post|entry|story|body|text|prose|markdown|maintext"),
@@ -70,8 +70,12 @@ class Page(NamedTuple):
     marked: list[bool]
 
 
-@lru_cache(20_000)
 def _bits(tag: str, attrs: str) -> tuple[int, bool]:
+    """Token bits of an element and whether it is marked. Short attributes recur and are remembered; long ones (inline data) are not, so memory is bounded."""
+    return _known_bits(tag, attrs) if len(attrs) <= 256 else _read_bits(tag, attrs)
+
+
+def _read_bits(tag: str, attrs: str) -> tuple[int, bool]:
     bits, marked = _BIT.get(TAG_BITS.get(tag, ""), 0), False
     if "=" in attrs:
         for name, a, b, c in _ATTR.findall(attrs):
@@ -83,6 +87,7 @@ def _bits(tag: str, attrs: str) -> tuple[int, bool]:
     return bits, marked
 
 
+_known_bits = lru_cache(20_000)(_read_bits)
 _LISTED = frozenset(t for ends in ENDS.values() for t in ends)
 _SCOPES = ("ul", "ol", "dl", "table", "div", "section", "article", "nav", "body")
 
@@ -369,23 +374,47 @@ def sample_page(rng: random.Random) -> str:
         inner = pick([words(3, 30), para(3, 25), f'<a href="//x.{word()}">{words(2, 10)}</a>'])
         return box(["ad", "ads", "advert", "sponsored", "banner", "promo", "ad-slot", "advertisement"], inner, ("div", "div", "aside", "ins", "section"))
 
+    def noise() -> str:
+        """What doesn't belong to the article though it stands within it."""
+        said = pick([words(1, 8), words(3, 40), para(3, 40), f"<h3>{words(1, 3)}</h3>{para(3, 30)}", links(1, 5), words(1, 4) + links(1, 4)])
+        kind = pick(["ad", "share", "form", "notice", "side", "foot", "menu", "role", "comments"])
+        if kind == "ad":
+            return ad()
+        if kind == "comments":
+            return comments()
+        if kind == "share":
+            return box(["share", "social-share", "related", "related-posts", "tags", "author-box", "recommended", "byline", "share-buttons", "more-stories"], said, ("div", "div", "section", "aside", "ul"))
+        if kind == "form":
+            return box(["newsletter", "subscribe", "signup", "search"], f"<form><label>{words(1, 4)}</label><input>{said * (chance() < 0.5)}<button>{word()}</button></form>")
+        if kind == "notice":
+            return box(["cookie-notice", "consent", "notice", "alert", "popup", "warning", "paywall|dialog", "gdpr"], said, ("div", "div", "section", "dialog", "p"))
+        if kind == "side":
+            return box(["sidebar", "widget", "side", "aside", ""], said, ("aside",)) if chance() < 0.5 else box(["sidebar", "widget", "side-box", "right-rail"], said)
+        if kind == "foot":
+            return box(["footer", "article-footer", "copyright", ""], said, ("footer",)) if chance() < 0.6 else box(["footer", "article-footer", "copyright"], said)
+        if kind == "menu":
+            return box(["nav", "toc", "pagination", "menu", ""], links(2, 6), ("nav",)) if chance() < 0.6 else box(["toc", "pagination", "menu", "breadcrumbs"], links(2, 6))
+        return f'<{(t := pick(["div", "section", "p"]))} role="{pick(["alert", "complementary", "navigation", "search", "contentinfo", "dialog", "banner"])}">{said}</{t}>'
+
+    def comments() -> str:
+        one = lambda: box(["comment", "comment-body", "reply"], f"<span>{words(1, 2)}</span>" * (chance() < 0.6) + para(3, 80) * rng.randint(1, 2), ("div", "li", "article"))
+        return box(["comments", "comment-list", "disqus", "comments-area", "discussion"], f"<h3>{words(1, 3)}</h3>" * (chance() < 0.5) + "".join(one() for _ in range(rng.randint(1, 6))), ("div", "section", "ol", "aside"))
+
     def article() -> str:
         close = pick([1.0, 1.0, 0.5, 0.0])
         out = [f"<h1>{words(2, 14)}</h1>"] if chance() < 0.8 else []
         for _ in range(pick([0, 1, 1, 2, 3, 5, 8, 12, 20])):
             r = chance()
             out.append(para(1, pick([3, 20, 60, 120]), close) if r < 0.75 else f"<h2>{words(1, 6)}</h2>" if r < 0.82 else f"<ul>{''.join(f'<li>{words(3, 20)}</li>' for _ in range(rng.randint(2, 6)))}</ul>" if r < 0.88 else f"<blockquote>{words(5, 40)}</blockquote>" if r < 0.92 else f"<pre>{words(4, 30)}</pre>" if r < 0.94 else f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>" if r < 0.96 else f"<div>{words(5, 60)}</div>")
-        marked = re.sub(r"<(h1|h2|p|ul|blockquote|pre|table|div)(?=[ >])", r"<\1 data-main=1", "".join(out))
-        if chance() < 0.25:
-            marked += pick([ad(), box(["share", "social-share", "related", "tags", "author-box"], words(1, 6) + links(1, 4)), box(["newsletter", "subscribe"], f"<form><label>{words(1, 4)}</label><input><button>{word()}</button></form>")])
+        blocks = [re.sub(r"<(h1|h2|p|ul|blockquote|pre|table|div)(?=[ >])", r"<\1 data-main=1", x) for x in out]
+        if chance() < 0.5:
+            for _ in range(pick([1, 1, 2, 3])):
+                blocks.insert(rng.randint(0, len(blocks)), noise())
+        marked = "".join(blocks)
         t, attr = pick([("article", ""), ("article", ""), ("article", 'class="post"'), ("main", ""), ("div", 'class="content"'), ("div", 'id="main-content"'), ("div", 'class="entry-content"'), ("section", 'class="article-body"'), ("div", 'class="story"'), ("div", ""), ("td", "")])
         wrapped = f"<{t} {attr}>{marked}" + ("</p>" if close < 1 and chance() < 0.3 else "") + f"</{t}>"
         return f"<main>{wrapped}</main>" if t == "article" and chance() < 0.2 else f"<table><tr>{wrapped}</tr></table>" if t == "td" else wrapped
 
-    def comments() -> str:
-        one = lambda: box(["comment", "comment-body", "reply"], f"<span>{words(1, 2)}</span>" * (chance() < 0.6) + para(3, 80) * rng.randint(1, 2), ("div", "li", "article"))
-        return box(["comments", "comment-list", "disqus", "comments-area", "discussion"], f"<h3>{words(1, 3)}</h3>" * (chance() < 0.5) + "".join(one() for _ in range(rng.randint(1, 6))), ("div", "section", "ol", "aside"))
-
     top = []
     if chance() < 0.5:
         top.append(box(["header", "masthead", "site-header", "topbar", ""], f"<h1>{words(1, 3)}</h1>" * (chance() < 0.4) + words(1, 10) + links(0, 4), ("header", "header", "div")))
@@ -490,8 +519,8 @@ def extract(sources: list[str], trees: Trees) -> list[str]:
 def main_text(pages: DataFrame, chars_at_once: int = 500_000) -> DataFrame:
     """page_id, url, text, n_chars (code points) of each page's main text, from the whole html.
 
-    Null or empty html, and pages without main text: an empty text, 0. Null ids and repeated rows are kept; other
-    columns are ignored. The trees are a few KB and broadcast; pages are handled some at a time, so memory is bounded.
+    Null or empty html, and pages without main text: an empty text, 0. Very long pages are read whole. Null ids and repeated rows are kept, an empty table gives no
+    rows; other columns are ignored, whatever their names. The trees are a few KB and broadcast; pages are handled some at a time, so memory is bounded.
     """
     trees = pages.sparkSession.sparkContext.broadcast(trained())
 
