@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Collection, Iterator, MutableMapping
+from dataclasses import dataclass, field
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.sources.text import numbered_lines
 
+FIX = "correction"
 RECORD = "v string, ts string, project string, loop_id string, event string, data map<string,string>"
 
 
@@ -16,22 +22,107 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", "line", F.when(F.try_parse_json("text").isNotNull(), F.from_json("text", RECORD)).alias("record"))
 
 
-def admission(log: DataFrame, new: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """``new`` rows (file, line, event, supersedes) with verdict: ok, or why a row may not be appended.
-
-    Events are of known kinds; a correction names an earlier line of its file that is in the log, is no correction and isn't corrected yet; of
-    new corrections of one line the first counts.
+@dataclass
+class LogState:
+    """What a log's rows so far say about the next one. ``known`` maps lines to (event, project, status: "on", "void" or "fix"); it may be a state store."""
+
+    known: MutableMapping[int, tuple[str, str | None, str]]
+    on: int = 0
+    first: tuple[int, str | None] | None = None
+    first_safe: tuple[int, str | None] | None = None
+    ends: int = 0
+    last_end: int = 0
+    voids: dict[str, int] = field(default_factory=dict)
+    after: dict[str, int] = field(default_factory=dict)
+
+    def verdict(self, line: int, project: str | None, event: str, supersedes: int | None, complete: bool, kinds: Collection[str], begin: str, end: str) -> str:
+        """Why a row may not be appended, or ok."""
+        if event != FIX and event not in kinds:
+            return "unknown event"
+        if not complete:
+            return "missing field"
+        if event == FIX:
+            if supersedes is not None and supersedes >= line:
+                return "later target"
+            target = None if supersedes is None else self.known.get(supersedes)
+            if target is None:
+                return "no target"
+            if target[2] != "on":
+                return "target is a correction" if target[2] == "fix" else "corrected before"
+            return "start is followed" if target[0] == begin and self.on > 1 else "ok"
+        if self.first is not None and project != self.first[1]:
+            return "other project"
+        # After the end, each voided row of a kind may be replaced once.
+        if self.ends and self.after.get(event, 0) >= self.voids.get(event, 0):
+            return "after the end"
+        return "ok"
+
+    def add(self, line: int, project: str | None, event: str, supersedes: int | None, end: str, remember: bool = True) -> None:
+        """Takes a row in. Corrections that name no row in force change nothing. ``remember`` is false for lines that no correction names."""
+        self.after[event] = self.after.get(event, 0) + 1
+        if event == end:
+            self.last_end, self.after = line, {}
+        if event != FIX:
+            self.on += 1
+            self.ends += event == end
+            self.first = self.first or (line, project)
+            if remember:
+                self.known[line] = (event, project, "on")
+            else:
+                self.first_safe = self.first_safe or (line, project)
+            return
+        if remember:
+            self.known[line] = (event, project, "fix")
+        target = self.known.get(supersedes) if supersedes is not None and supersedes < line else None
+        if target is None or target[2] != "on":
+            return
+        self.known[supersedes] = (target[0], target[1], "void")
+        self.on -= 1
+        self.ends -= target[0] == end
+        self.voids[target[0]] = self.voids.get(target[0], 0) + 1
+        if self.first is not None and self.first[0] == supersedes:
+            rest = [(k, v[1]) for k, v in self.known.items() if v[2] == "on"]
+            self.first = min(rest + ([self.first_safe] if self.first_safe else []), key=lambda x: x[0], default=None)
+
+
+def admission(log: DataFrame, new: DataFrame, kinds: tuple[str, ...], needs: dict[str, tuple[str, ...]] | None = None, begin: str = "loop_start", end: str = "loop_end") -> DataFrame:
+    """``new`` rows (file, line, event, supersedes and, if there is one, project) with verdict: ok, or why a row may not be appended to its log.
+
+    A fold over each log in order of lines: rows of ``log`` stand as they are, each new row is judged by those before it that stand or were admitted. Events are of
+    known ``kinds`` and have the columns that ``needs`` names for them; rows of a log share the project of its first row in force; a correction names an
+    earlier row in force, and not a ``begin`` that others follow; after an ``end`` in force only rows that were voided are replaced, each once.
+    A log is read in order by one task, which remembers only those of its lines that corrections name. Null lines or files go by their own order, first; lines should be
+    unique in a file. Empty tables give no rows.
     """
-    known = log.select("file", F.col("line").alias("supersedes"), (F.col("event") == "correction").alias("__fix"), F.lit(True).alias("__there"))
-    done = log.filter("event = 'correction'").select("file", "supersedes").distinct().withColumn("__done", F.lit(True))
-    both = new.join(known, ["file", "supersedes"], "left").join(done, ["file", "supersedes"], "left")
-    fix = F.col("event") == "correction"
-    both = both.withColumn("__again", F.row_number().over(Window.partitionBy("file", "supersedes", fix).orderBy("line")) > 1)
-    verdict = (
-        F.when(~F.col("event").isin(*kinds, "correction"), "unknown event").when(fix & F.col("supersedes").isNull(), "no target").when(fix & (F.col("supersedes") >= F.col("line")), "later target")
-        .when(fix & F.col("__there").isNull(), "no target").when(fix & F.col("__fix"), "target is a correction").when(fix & (F.col("__done") | F.col("__again")), "corrected before").otherwise("ok")
-    )
-    return both.withColumn("verdict", verdict).select(*new.columns, "verdict")
+    names = new.columns
+    kinds_of = dict(new.dtypes)
+    project = lambda df: F.col("project").cast("string") if "project" in df.columns else F.lit(None).cast("string")
+    complete = F.lit(True)
+    for event, columns in (needs or {}).items():
+        complete = F.when(F.col("event") == event, reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in columns], F.lit(True))).otherwise(complete)
+    mine = lambda df, there, whole: df.select("file", "line", "event", "supersedes", project(df).alias("__project"), F.lit(there).alias("__there"), (complete if whole else F.lit(True)).alias("__complete"))
+    rows = mine(log, True, False).unionByName(mine(new, False, True))
+    named = rows.filter("event = 'correction'").select("file", F.col("supersedes").alias("line")).distinct().withColumn("__named", F.lit(True))
+    rows = rows.join(named, ["file", "line"], "left")
+
+    def fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, state = object(), LogState({})
+        for p in pdfs:
+            verdicts = []
+            for file, line, event, supersedes, project, there, complete, named in zip(*(p[c] for c in ("file", "line", "event", "supersedes", "__project", "__there", "__complete", "__named")), strict=True):
+                if file != here:
+                    here, state = file, LogState({})
+                target = None if pd.isna(supersedes) else int(supersedes)
+                v = "" if there else state.verdict(line, project, event, target, complete, kinds, begin, end)
+                verdicts.append(v)
+                if there or v == "ok":
+                    state.add(line, project, event, target, end, named is True)
+            out = p[["file", "line"]].assign(verdict=verdicts)
+            yield out[~p["__there"].to_numpy(bool)]
+
+    dealt = rows.repartition("file").sortWithinPartitions("file", "line")
+    judged = dealt.mapInPandas(fold, f"file {kinds_of['file']}, line {kinds_of['line']}, verdict string")
+    return new.join(judged, ["file", "line"]).select(*names, "verdict")
 
 
 def appended(new: DataFrame, order: list[str], path: str) -> DataFrame:
@@ -40,12 +131,12 @@ def appended(new: DataFrame, order: list[str], path: str) -> DataFrame:
     return new
 
 
-def facts(log: DataFrame, keys: list[str], kind: str, seq: str, value: str) -> DataFrame:
-    """One row per loop: start and end, counts by kind, the value of the last test run."""
-    return log.groupBy(*keys).agg(
-        F.min(seq).alias("first"), F.max(seq).alias("last"), F.count("*").alias("n"), F.count_if(F.col(kind) == "error").alias("errors"),
-        F.max_by(F.when(F.col(kind) == "click", F.col(value)), F.when(F.col(kind) == "click", F.col(seq))).alias("last_value"),
-    )
+def facts(log: DataFrame, keys: list[str], kind: str, seq: str, counts: dict[str, str], last: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row per loop: first and last ``seq``, n, a count for each name of ``counts`` (of rows of that kind), and for each name of ``last`` the value that a column has in the last
+    row of a kind, null where there is none: what a loop's start, end or last test run says."""
+    counted = [F.count_if(F.col(kind) == k).alias(name) for name, k in counts.items()]
+    lasting = [F.max_by(F.when(F.col(kind) == k, F.struct(F.col(c).alias("v"))), F.when(F.col(kind) == k, F.col(seq)))["v"].alias(name) for name, (k, c) in last.items()]
+    return log.groupBy(*keys).agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.count("*").alias("n"), *counted, *lasting)
 
 
 def strikes(log: DataFrame, code: str, ref: Column, least: int = 2) -> DataFrame:

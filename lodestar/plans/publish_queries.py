@@ -149,7 +149,7 @@ def corrected_log(spark: SparkSession, sf: str) -> DataFrame:
 @query("loop_facts", f"WITH {LOG}, {KEPT} SELECT user_id, min(line) AS first, max(line) AS last, count(*) AS n, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS errors, arg_max(value, line) FILTER (event_type = 'click') AS last_value FROM kept GROUP BY 1")
 def loop_facts(spark: SparkSession, sf: str) -> DataFrame:
     kept = M.without_voided(log(spark, sf), "file", "line", "supersedes", F.col("fix"))
-    return O.facts(kept, ["user_id"], "event_type", "line", "value")
+    return O.facts(kept, ["user_id"], "event_type", "line", {"errors": "error"}, {"last_value": ("click", "value")})
 
 
 @query("two_strikes", f"WITH {LOG} SELECT k, count(*) AS n, count(*) >= 2 AS struck, bool_or(event_type = 'error') AS has_ref FROM log GROUP BY 1")

@@ -339,33 +339,80 @@ def log_csv(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.col(f"`{first}`").alias("id"), F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"))
 
 
-ADMIT = """l AS (SELECT user_id % 5 AS file, event_id AS line, CASE WHEN event_id % 11 = 0 THEN 'correction' ELSE event_type END AS event, CASE WHEN event_id % 11 = 0 THEN event_id - 5 * (1 + event_id % 3) END AS supersedes FROM events WHERE event_id % 4 <> 3),
-n AS (SELECT user_id % 5 AS file, event_id AS line, CASE event_id % 5 WHEN 0 THEN 'odd' WHEN 1 THEN event_type ELSE 'correction' END AS event, CASE WHEN event_id % 5 = 4 THEN event_id + 3 WHEN event_id % 5 > 1 THEN event_id - 5 * (1 + event_id % 4) END AS supersedes FROM events WHERE event_id % 4 = 3),
-m AS (SELECT *, row_number() OVER (PARTITION BY file, supersedes, event = 'correction' ORDER BY line) > 1 AS again FROM n),
-v AS (SELECT n.*, CASE WHEN n.event = 'odd' THEN 'unknown event' WHEN n.event = 'correction' AND n.supersedes >= n.line THEN 'later target' WHEN n.event = 'correction' AND t.line IS NULL THEN 'no target' WHEN n.event = 'correction' AND t.event = 'correction' THEN 'target is a correction' WHEN n.event = 'correction' AND EXISTS (SELECT 1 FROM l c WHERE c.event = 'correction' AND c.file = n.file AND c.supersedes = n.supersedes) OR n.event = 'correction' AND n.again THEN 'corrected before' ELSE 'ok' END AS verdict FROM m n LEFT JOIN l t ON t.file = n.file AND t.line = n.supersedes)"""
-
-
-@query("log_append", f"WITH {ADMIT} SELECT file, line, event, supersedes FROM l UNION ALL SELECT file, line, event, supersedes FROM v WHERE verdict = 'ok'")
+#: Logs of forty rows, the first twelve of which are there; the others are judged one by one, each by those that stand.
+KINDS = ("loop_start", "stage_end", "test_run", "failure", "commit", "loop_end")
+LOGS = """e AS (SELECT event_id // 40 AS file, event_id % 40 + 1 AS line, (user_id * 31 + event_id * 17) % 100 AS h, CASE WHEN (event_id * 13 + user_id) % 23 = 0 THEN 'q' ELSE 'p' END AS project, ts, value FROM events),
+logs AS (SELECT file, line, project, CASE WHEN line = 1 THEN 'loop_start' WHEN h < 14 THEN 'correction' WHEN line > 25 AND h >= 88 THEN 'loop_end' WHEN h < 45 THEN 'failure' WHEN h < 65 THEN 'test_run' WHEN h < 78 THEN 'commit' WHEN h < 84 THEN 'stage_end' WHEN h < 88 THEN 'note' ELSE 'commit' END AS event,
+  CASE WHEN line > 1 AND h < 14 THEN line - 5 + h % 7 END AS supersedes, CASE WHEN h % 10 <> 9 THEN h END AS code, line <= 12 AS there, ts, value FROM e)"""
+ADMIT = f"""{LOGS},
+fold AS (SELECT file, CAST(0 AS BIGINT) AS line, CAST([] AS STRUCT(line BIGINT, event VARCHAR, project VARCHAR)[]) AS eff, CAST([] AS STRUCT(line BIGINT, event VARCHAR)[]) AS seen, CAST([] AS VARCHAR[]) AS voids, CAST(NULL AS VARCHAR) AS verdict FROM (SELECT DISTINCT file FROM logs)
+UNION ALL SELECT file, line, CASE WHEN NOT (there OR verdict = 'ok') THEN eff WHEN event <> 'correction' THEN list_append(eff, {{'line': line, 'event': event, 'project': project}}) ELSE list_filter(eff, lambda x: x.line <> coalesce(target.line, -1)) END,
+  CASE WHEN there OR verdict = 'ok' THEN list_append(seen, {{'line': line, 'event': event}}) ELSE seen END, CASE WHEN (there OR verdict = 'ok') AND event = 'correction' AND target IS NOT NULL THEN list_append(voids, target.event) ELSE voids END, CASE WHEN NOT there THEN verdict END
+FROM (SELECT *, CASE WHEN event NOT IN ('correction', 'loop_start', 'stage_end', 'test_run', 'failure', 'commit', 'loop_end') THEN 'unknown event' WHEN event = 'failure' AND code IS NULL THEN 'missing field'
+    WHEN event = 'correction' AND supersedes >= line THEN 'later target' WHEN event = 'correction' AND NOT list_contains(list_transform(seen, lambda x: x.line), supersedes) THEN 'no target'
+    WHEN event = 'correction' AND len(list_filter(seen, lambda x: x.line = supersedes AND x.event = 'correction')) > 0 THEN 'target is a correction' WHEN event = 'correction' AND target IS NULL THEN 'corrected before'
+    WHEN event = 'correction' THEN CASE WHEN target.event = 'loop_start' AND len(eff) > 1 THEN 'start is followed' ELSE 'ok' END
+    WHEN len(eff) > 0 AND eff[1].project <> project THEN 'other project'
+    WHEN len(list_filter(eff, lambda x: x.event = 'loop_end')) > 0 AND len(list_filter(seen, lambda x: x.event = r.event AND x.line > list_max(list_transform(list_filter(seen, lambda y: y.event = 'loop_end'), lambda y: y.line)))) >= len(list_filter(voids, lambda x: x = r.event)) THEN 'after the end' ELSE 'ok' END AS verdict
+  FROM (SELECT f.file, l.line, l.project, l.event, l.supersedes, l.code, l.there, f.eff, f.seen, f.voids, list_filter(f.eff, lambda x: x.line = l.supersedes AND l.supersedes < l.line)[1] AS target FROM fold f JOIN logs l ON l.file = f.file AND l.line = f.line + 1) r)),
+v AS (SELECT l.*, fold.verdict FROM logs l JOIN fold USING (file, line))"""
+
+
+def _log_rows(spark: SparkSession, sf: str) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    line, h = e % 40 + 1, (u * 31 + e * 17) % 100
+    event = (
+        F.when(line == 1, "loop_start").when(h < 14, "correction").when((line > 25) & (h >= 88), "loop_end").when(h < 45, "failure").when(h < 65, "test_run")
+        .when(h < 78, "commit").when(h < 84, "stage_end").when(h < 88, "note").otherwise("commit")
+    )
+    return table(spark, sf, "events").select(
+        F.floor(e / 40).alias("file"), line.alias("line"), F.when((e * 13 + u) % 23 == 0, "q").otherwise("p").alias("project"), event.alias("event"), F.when((line > 1) & (h < 14), line - 5 + h % 7).alias("supersedes"),
+        F.when(h % 10 != 9, h).alias("code"), (line <= 12).alias("there"), "ts", "value",
+    )
+
+
+NEEDS = {"failure": ("code",)}
+
+
+@query("log_append", f"WITH RECURSIVE {ADMIT} SELECT file, line, event, supersedes FROM v WHERE there OR verdict = 'ok'")
 def log_append(spark: SparkSession, sf: str) -> DataFrame:
-    """A log of JSON lines after an append of the rows that the rules admit."""
-    e, k = table(spark, sf, "events"), F.col("event_id")
-    row = lambda event, supersedes: ((F.col("user_id") % 5).alias("file"), k.alias("line"), event.alias("event"), supersedes.alias("supersedes"))
-    old = e.filter(k % 4 != 3).select(*row(F.when(k % 11 == 0, "correction").otherwise(F.col("event_type")), F.when(k % 11 == 0, k - 5 * (1 + k % 3))))
-    new = e.filter(k % 4 == 3).select(*row(F.when(k % 5 == 0, "odd").when(k % 5 == 1, F.col("event_type")).otherwise("correction"), F.when(k % 5 == 4, k + 3).when(k % 5 > 1, k - 5 * (1 + k % 4))))
+    """Logs of JSON lines after an append of the rows that the rules admit."""
+    rows = _log_rows(spark, sf).select("file", "line", "project", "event", "supersedes", "code", "there")
     at = folder(spark, "oplog")
-    schema = "file long, line long, event string, supersedes long"
-    O.appended(old, ["file", "line"], at)
-    kinds = ("click", "view", "error", "purchase", "signup")
-    judged = O.admission(spark.read.schema(schema).json(at), new, kinds)
-    O.appended(judged.filter("verdict = 'ok'").drop("verdict"), ["file", "line"], at)
-    return spark.read.schema(schema).json(at)
+    schema = "file long, line long, project string, event string, supersedes long"
+    O.appended(rows.filter("there").drop("code", "there"), ["file", "line"], at)
+    judged = O.admission(spark.read.schema(schema).json(at), rows.filter("NOT there"), KINDS, NEEDS)
+    O.appended(judged.filter("verdict = 'ok'").drop("verdict", "code", "there"), ["file", "line"], at)
+    return spark.read.schema(schema).json(at).drop("project")
 
 
-@query("append_verdicts", f"WITH {ADMIT} SELECT verdict, count(*) AS n FROM v GROUP BY 1")
+@query("append_verdicts", f"WITH RECURSIVE {ADMIT} SELECT file, line, verdict FROM v WHERE NOT there")
 def append_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Why rows may not be appended."""
-    e, k = table(spark, sf, "events"), F.col("event_id")
-    row = lambda event, supersedes: ((F.col("user_id") % 5).alias("file"), k.alias("line"), event.alias("event"), supersedes.alias("supersedes"))
+    """Which rows may be appended, and why others may not."""
+    rows = _log_rows(spark, sf)
+    return O.admission(rows.filter("there"), rows.filter("NOT there"), KINDS, NEEDS).select("file", "line", "verdict")
+
+
+@query(
+    "fact_loops",
+    f"""WITH RECURSIVE {ADMIT}, s AS (SELECT * FROM v WHERE there OR verdict = 'ok'), fix AS (SELECT file, supersedes AS line FROM s WHERE event = 'correction' AND supersedes < line), kept AS (SELECT * FROM s WHERE event <> 'correction' AND NOT EXISTS (SELECT 1 FROM fix WHERE fix.file = s.file AND fix.line = s.line))
+SELECT file, min(line) AS first, max(line) AS last, count(*) AS n, CAST(count(*) FILTER (event = 'failure') AS BIGINT) AS failures, CAST(count(*) FILTER (event = 'commit') AS BIGINT) AS commits, CAST(count(*) FILTER (event = 'test_run') AS BIGINT) AS tests,
+  CAST(arg_max(epoch_us(ts), line) FILTER (event = 'loop_start') AS BIGINT) AS started, arg_max(project, line) FILTER (event = 'loop_start') AS project, CAST(arg_max(epoch_us(ts), line) FILTER (event = 'loop_end') AS BIGINT) AS ended, arg_max(value, line) FILTER (event = 'loop_end') AS outcome, arg_max(value, line) FILTER (event = 'test_run') AS last_test FROM kept GROUP BY file""",
+)
+def fact_loops(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per log of admitted and corrected rows: when and as what it started and ended, counts, what the last test run said."""
+    from lodestar.operators.matching import without_voided
+
+    rows = _log_rows(spark, sf)
+    stands = rows.filter("there").unionByName(O.admission(rows.filter("there"), rows.filter("NOT there"), KINDS, NEEDS).filter("verdict = 'ok'").drop("verdict"))
+    kept = without_voided(stands, "file", "line", "supersedes", F.col("event") == "correction").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return O.facts(
+        kept, ["file"], "event", "line", {"failures": "failure", "commits": "commit", "tests": "test_run"},
+        {"started": ("loop_start", "at"), "project": ("loop_start", "project"), "ended": ("loop_end", "at"), "outcome": ("loop_end", "value"), "last_test": ("test_run", "value")},
+    )
+
+
+# noqa: E731
     old = e.filter(k % 4 != 3).select(*row(F.when(k % 11 == 0, "correction").otherwise(F.col("event_type")), F.when(k % 11 == 0, k - 5 * (1 + k % 3))))
     new = e.filter(k % 4 == 3).select(*row(F.when(k % 5 == 0, "odd").when(k % 5 == 1, F.col("event_type")).otherwise("correction"), F.when(k % 5 == 4, k + 3).when(k % 5 > 1, k - 5 * (1 + k % 4))))
     return O.admission(old, new, ("click", "view", "error", "purchase", "signup")).groupBy("verdict").agg(F.count("*").alias("n"))
@@ -408,14 +455,15 @@ def run_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), O.run_evidence(text).alias("evidence"))
 
 
-@query("streamed_log", f"WITH {ADMIT} SELECT file, line, event, supersedes FROM v WHERE verdict = 'ok' AND event <> 'correction'")
+@query("streamed_log", f"WITH RECURSIVE {ADMIT} SELECT file, line, event, supersedes FROM v WHERE verdict = 'ok'")
 def streamed_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Events that arrive as files of JSON lines are admitted by a stream; corrections need a log before them, so they are left out here."""
+    """Rows that arrive as files of JSON lines are judged by a stream that keeps each log's state; corrections among them."""
     from lodestar.streaming.log import SCHEMA, follow
 
-    e, k = table(spark, sf, "events"), F.col("event_id")
-    new = e.filter(k % 4 == 3).select((F.col("user_id") % 5).alias("file"), k.alias("line"), F.when(k % 5 == 0, "odd").when(k % 5 == 1, F.col("event_type")).otherwise("correction").alias("event"), F.when(k % 5 == 4, k + 3).when(k % 5 > 1, k - 5 * (1 + k % 4)).alias("supersedes"))
+    rows = _log_rows(spark, sf).select("file", "line", "project", "event", "supersedes", ((F.col("event") != "failure") | F.col("code").isNotNull()).alias("complete"), "there")
     at = folder(spark, "stream")
-    O.appended(new.filter("event <> 'correction'"), ["file", "line"], f"{at}/incoming")
-    follow(spark, f"{at}/incoming", f"{at}/log", f"{at}/progress", ("click", "view", "error", "purchase", "signup"))
-    return spark.read.schema(SCHEMA).json(f"{at}/log").select("file", "line", "event", "supersedes")
+    O.appended(rows.filter("there"), ["file", "line"], f"{at}/incoming")
+    follow(spark, f"{at}/incoming", f"{at}/log", f"{at}/progress", KINDS)
+    O.appended(rows.filter("NOT there"), ["file", "line"], f"{at}/incoming")
+    follow(spark, f"{at}/incoming", f"{at}/log", f"{at}/progress", KINDS)
+    return spark.read.parquet(f"{at}/log").filter("verdict = 'ok'").select("file", "line", "event", "supersedes")

@@ -180,16 +180,77 @@ def test_silhouettes_of_several_clusterings(spark):
             assert got[i, name] == pytest.approx((other - own) / max(own, other), abs=1e-12)
 
 
-def test_a_stream_admits_what_arrives(spark, tmp_path):
-    from lodestar.streaming.log import SCHEMA, follow
-
-    at = str(tmp_path)
-
-    def arrive(*rows):
-        spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").json(f"{at}/in")
-        follow(spark, f"{at}/in", f"{at}/log", f"{at}/progress", ("a",))
-        return sorted((r.line, r.event, r.supersedes) for r in spark.read.schema(SCHEMA).json(f"{at}/log").collect())
+def _made_up_logs(rng):
+    """Rows of logs in any state: (file, line, project, event, supersedes, complete, there)."""
+    rows = []
+    for file in range(12):
+        old = rng.randrange(12)
+        for line in range(1, 40):
+            event = "loop_start" if line == 1 else rng.choice(["loop_start", "loop_end", "a", "a", "b", "odd", "correction", "correction", "correction"])
+            target = rng.choice([None, line, line + 1, *range(max(1, line - 6), line), 1]) if event == "correction" else None
+            rows.append((file, line, rng.choice("pppppq"), event, target, rng.random() < 0.9, line <= old))
+    return rows
+
+
+def _verdicts(rows):
+    """The rules, said once more over whole lists."""
+    out, stands = {}, {}
+    for file, line, project, event, target, complete, there in rows:
+        seen = stands.setdefault(file, [])
+        void = set()
+        for r in seen:
+            if r[3] == "correction" and any(t[1] == r[4] and t[1] < r[1] and t[3] != "correction" and t[1] not in void for t in seen):
+                void.add(r[4])
+        force = [r for r in seen if r[3] != "correction" and r[1] not in void]
+        ends = [r[1] for r in seen if r[3] == "loop_end"]
+        hit = next((r for r in seen if r[1] == target), None)
+        if event not in ("loop_start", "loop_end", "a", "b", "correction"):
+            v = "unknown event"
+        elif not complete:
+            v = "missing field"
+        elif event == "correction":
+            v = "later target" if target is not None and target >= line else "no target" if hit is None else "target is a correction" if hit[3] == "correction" else "corrected before" if target in void else "start is followed" if hit[3] == "loop_start" and len(force) > 1 else "ok"
+        elif force and force[0][2] != project:
+            v = "other project"
+        elif any(r[3] == "loop_end" for r in force) and sum(r[1] > max(ends) and r[3] == event for r in seen) >= sum(r[3] == event and r[1] in void for r in seen):
+            v = "after the end"
+        else:
+            v = "ok"
+        if there or v == "ok":
+            seen.append((file, line, project, event, target))
+        if not there:
+            out[file, line] = v
+    return out
+
+
+LOG_SCHEMA = "file long, line long, project string, event string, supersedes long, complete boolean, there boolean"
+
+
+def test_a_log_is_a_fold_and_a_stream_equals_it(spark, tmp_path):
+    from lodestar.streaming.log import follow
+
+    rows = [r for seed in (1, 2) for r in _made_up_logs(random.Random(seed))]
+    rows = [(k // 39, *r[1:]) for k, r in enumerate(rows)]
+    expected = _verdicts(rows)
+    assert set(expected.values()) == {"ok", "unknown event", "missing field", "later target", "no target", "target is a correction", "corrected before", "start is followed", "other project", "after the end"}
+    df = spark.createDataFrame(rows, LOG_SCHEMA).withColumn("needed", F.when(F.col("complete"), 1))
+    kinds = ("loop_start", "loop_end", "a", "b")
+    needs = {k: ("needed",) for k in (*kinds, "correction")}
+    got = {(r.file, r.line): r.verdict for r in oplog.admission(df.filter("there"), df.filter("NOT there").repartition(5), kinds, needs).collect()}
+    assert got == expected
+    for cuts in ([40], [5, 17, 18, 40]):
+        at, low = tmp_path / str(len(cuts)), 0
+        for cut in cuts:
+            df.drop("needed").filter((F.col("line") > low) & (F.col("line") <= cut)).write.mode("append").json(f"{at}/in")
+            follow(spark, f"{at}/in", f"{at}/log", f"{at}/progress", kinds)
+            low = cut
+        assert {(r.file, r.line): r.verdict for r in spark.read.parquet(f"{at}/log").filter("verdict <> ''").collect()} == expected
+
+
+def test_a_correction_counts_only_if_it_is_valid(spark):
+    """The correction of line 7 at line 5 is not one; that at line 9 is the first. One of a row of the same append is one too."""
+    schema = "file long, line long, event string, supersedes long"
+    log, new = spark.createDataFrame([(1, 4, "a", None)], schema), spark.createDataFrame([(1, 5, "correction", 7), (1, 7, "a", None), (1, 9, "correction", 7), (1, 10, "correction", 7)], schema)
+    assert {r.line: r.verdict for r in oplog.admission(log, new, ("a",)).collect()} == {5: "later target", 7: "ok", 9: "ok", 10: "corrected before"}
+    assert oplog.admission(log, new.limit(0), ("a",)).count() == 0
 
-    assert arrive((1, 1, "a", None), (1, 2, "b", None)) == [(1, "a", None)]
-    assert arrive((1, 3, "correction", 1), (1, 4, "correction", 1), (1, 5, "correction", 2)) == [(1, "a", None), (3, "correction", 1)]
-    assert arrive((1, 6, "correction", 1), (1, 7, "a", None)) == [(1, "a", None), (3, "correction", 1), (7, "a", None)]
