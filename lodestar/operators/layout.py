@@ -37,6 +37,36 @@ def column_of(x: Column, edges: Column) -> Column:
     return F.when((i > 0) & (i < F.size(edges)), i - 1).otherwise(F.raise_error(F.lit("no column")).cast("int"))
 
 
+def as_of(rows: DataFrame, steps: DataFrame, by: list[str], at: str, since: str, value: str) -> DataFrame:
+    """Rows with ``value`` of the last step of their group that begins at or before them (``since`` <= ``at``), null before the first.
+
+    Both are put in one order and the last step is carried on, so the work is a sort of each group, not a comparison of all rows with all steps. A step that
+    begins where a row is counts. Rows with a null ``at`` get null.
+    """
+    names, kinds = rows.columns, dict(steps.dtypes)
+    put = rows.select(*by, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(kinds[value]).alias("__v"), F.struct(*names).alias("__row"))
+    kind = put.schema["__row"].dataType
+    marks = steps.select(*by, F.col(since).alias("__at"), F.lit(0).alias("__kind"), F.col(value).alias("__v"), F.lit(None).cast(kind).alias("__row"))
+    w = Window.partitionBy(*by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    return put.unionByName(marks).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).filter("__kind = 1").select("__row.*", F.when(F.col("__at").isNotNull(), F.col("__v")).alias(value))
+
+
+def page_cells(glyphs: DataFrame, page: str, y: str, x: str, text: str, edges: DataFrame, gap: float) -> DataFrame:
+    """Tables from glyphs: page, row, col, cell (texts in order of rounded y, then x).
+
+    ``edges`` has page and edge, the borders of a page's columns. Rows follow from the lines of glyphs in the first column: bands are half-open and meet halfway between lines, the first and
+    last are open, so what overflows belongs to them. A glyph left of all columns or right of them raises. A page whose first column is empty has null rows.
+    """
+    kept = edges.select(page, F.col("edge")).distinct()
+    numbered = kept.withColumn("col", F.row_number().over(Window.partitionBy(page).orderBy("edge")) - 1)
+    count = kept.groupBy(page).agg((F.count("*") - 1).alias("__columns"))
+    placed = as_of(glyphs, numbered, [page], x, "edge", "col").join(count, page, "left")
+    col = F.when((F.col("col") >= 0) & (F.col("col") < F.col("__columns")), F.col("col")).otherwise(F.raise_error(F.concat(F.lit("no column holds "), F.coalesce(F.col(x).cast("string"), F.lit("null")))).cast("int"))
+    placed = placed.withColumn("col", col).drop("__columns")
+    lines = row_bands(line_means(placed.filter("col = 0"), [page], y, gap), [page], y).select(page, "lo", (F.col("line") - 1).cast("int").alias("row"))
+    return cell_texts(as_of(placed, lines, [page], y, "lo", "row"), [page, "row", "col"], y, x, text)
+
+
 def cell_texts(glyphs: DataFrame, by: list[str], y: str, x: str, text: str) -> DataFrame:
     """Texts of each cell in order of (rounded y, x)."""
     parts = F.array_sort(F.collect_list(F.struct(F.round(y).alias("y"), F.col(x).alias("x"), F.col(text).alias("t"))))

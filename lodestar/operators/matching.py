@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from lodestar.functions.columns import in_margin
 
@@ -84,34 +83,80 @@ def without_voided(log: DataFrame, file: str, line: str, supersedes: str, is_cor
     return log.filter(~is_correction).join(valid, (F.col(file) == F.col("__f")) & (F.col(line) == F.col("__t")), "left_anti")
 
 
-def place_tokens(endings: Sequence[str], separators: str = "[・、]", least: int = 2):
-    """Column function: parts of a text with any of the endings taken off again and again (in their order), if long enough left."""
+def place_tokens(endings: Sequence[str], separators: str = "[・、]", least: int = 2) -> Callable[[Column], Column]:
+    """Column function: parts of a text, each without the endings that it has, as far as they come off in rounds over all of them; parts of fewer than ``least`` characters go.
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def tokens(s: pd.Series) -> pd.Series:
-        import re
+    A part that is nothing but endings goes too. A null text has no parts.
+    """
+    known = F.array(*[F.lit(e) for e in endings])
 
-        def strip(t: str) -> str:
-            again = True
-            while again:
-                again = False
-                for e in endings:
-                    if t.endswith(e) and len(t) > len(e):
-                        t, again = t[: -len(e)], True
-            return t
+    def shorter(t: Column) -> Column:
+        return F.aggregate(known, t, lambda x, e: F.when(F.endswith(x, e), F.left(x, F.length(x) - F.length(e))).otherwise(x))
 
-        return s.map(lambda x: [] if x is None else [t for t in map(strip, re.split(separators, x)) if len(t) >= least])
+    def bare(part: Column) -> Column:
+        # A round that changes a part takes a character at least, so there are no more rounds than characters; the flag ends them early.
+        start = F.struct(part.alias("t"), F.lit(True).alias("more"))
+        step = lambda acc, _: F.when(acc["more"], F.transform(F.array(shorter(acc["t"])), lambda t: F.struct(t.alias("t"), (t != acc["t"]).alias("more")))[0]).otherwise(acc)
+        return F.aggregate(F.sequence(F.lit(0), F.length(part)), start, step)["t"]
 
-    return tokens
+    return lambda text: F.filter(F.transform(F.coalesce(F.split(text, separators), F.array().cast("array<string>")), lambda p: F.trim(bare(p))), lambda t: F.length(t) >= least)
 
 
-def single_candidate(left: DataFrame, right: DataFrame, key: str, text: str, token: str, value: str) -> DataFrame:
-    """key and value where exactly one value has a token that the text contains: a diagnostic, as it joins by containment.
+def containing(texts: DataFrame, text: str, tokens: DataFrame, token: str, most: int = 100_000) -> DataFrame:
+    """Distinct (text, token) where the text holds the token: each text of a column, each token of another.
 
-    ``right`` is a small dimension and is broadcast only within Spark's size limit.
+    Up to ``most`` tokens (counted first) make one Aho-Corasick automaton per worker, which reads each distinct text once. More of them meet the texts by equality of
+    what they begin with: every stretch of a text that is as long as the shortest token is a key, and what meets is then compared. Null and empty texts and tokens
+    hold nothing.
     """
-    hits = left.join(right, F.contains(F.col(text), F.col(token))).select(key, value).distinct()
-    return hits.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias(value)).filter("n = 1").drop("n")
+    left = texts.select(F.col(text).alias("text")).filter("text <> ''").distinct()
+    right = tokens.select(F.col(token).alias("token")).filter("token <> ''").distinct()
+    some = right.limit(most + 1).collect()
+    if len(some) > most:
+        least = right.agg(F.min(F.length("token"))).first()[0]
+        keyed = left.withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (least - 1), F.lit(1))), lambda i: F.substring("text", i, F.lit(least))))))
+        met = keyed.join(right.withColumn("key", F.left("token", F.lit(least))), "key")
+        return met.filter(F.contains("text", "token")).select("text", "token").distinct()
+    words = texts.sparkSession.sparkContext.broadcast(tuple(r.token for r in some))
+
+    def read(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in words.value:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for p in pdfs:
+            hits = [(t, w) for t in p["text"] for w in ({w for _, w in automaton.iter(t)} if words.value else ())]
+            yield pd.DataFrame(hits, columns=["text", "token"])
+
+    return left.mapInPandas(read, "text string, token string")
+
+
+def named_areas(places: DataFrame, key: str, fine: str, coarse: str, areas: DataFrame, area: str, name: str, tokens: str) -> DataFrame:
+    """Which area a place belongs to by names: key, area, method, n (areas that were candidates).
+
+    Areas with a token that the place's ``fine`` text holds come first; without any, those whose name holds its ``coarse`` stem. One candidate assigns the area; several
+    leave it null as "ambiguous_...", none as "none". Places repeat as they are given; null texts name nothing.
+    """
+    def one(hits: DataFrame, key: str, prefix: str) -> DataFrame:
+        return hits.distinct().groupBy(key).agg(F.count("*").alias(f"{prefix}_n"), F.min(area).alias(f"{prefix}_area"))
+
+    each = areas.select(area, name, F.explode_outer(tokens).alias("token"))
+    by_fine = one(containing(places, fine, each, "token").join(each.select("token", area), "token").select(F.col("text").alias(fine), area), fine, "fine")
+    by_coarse = one(containing(areas, name, places, coarse).join(areas.select(F.col(name).alias("text"), area), "text").select(F.col("token").alias(coarse), area), coarse, "coarse")
+    out = places.join(by_fine, fine, "left").join(by_coarse, coarse, "left")
+    took_fine, n = F.coalesce("fine_n", F.lit(0)) > 0, F.coalesce("fine_n", "coarse_n", F.lit(0)).cast("long")
+    named = F.when(took_fine, "municipality_named").otherwise("prefecture_named")
+    method = F.when(n == 0, "none").when(n == 1, named).otherwise(F.concat(F.lit("ambiguous_"), named))
+    return out.select(key, F.when(n == 1, F.coalesce("fine_area", "coarse_area")).alias(area), method.alias("method"), n.alias("n"))
+
+
+def single_candidate(left: DataFrame, right: DataFrame, key: str, text: str, token: str, value: str) -> DataFrame:
+    """key and value where exactly one value has a token that the text contains (see ``containing``)."""
+    hits = containing(left, text, right, token).join(right.select(F.col(token).alias("token"), value), "token").select(F.col("text").alias("__text"), value).distinct()
+    found = left.join(hits, F.col(text) == F.col("__text")).select(key, value).distinct()
+    return found.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias(value)).filter("n = 1").drop("n")
 
 
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

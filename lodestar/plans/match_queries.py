@@ -115,7 +115,7 @@ def token_candidates(spark: SparkSession, sf: str) -> DataFrame:
 PLACE_TOKENS = r"""WITH RECURSIVE e AS (SELECT ['s', 'ing', 'er', 'ed', 'th'] AS e), t AS (SELECT item_id, string_split_regex(text, '[ ,]') AS ts FROM benchmark), p AS (SELECT item_id, unnest(range(len(ts))) AS pos, unnest(ts) AS t FROM t),
 s AS (SELECT item_id, pos, t, 1 AS i, false AS moved FROM p UNION ALL
  SELECT item_id, pos, CASE WHEN hit THEN left(t, length(t) - length(w)) ELSE t END, CASE WHEN i = 5 THEN CASE WHEN moved OR hit THEN 1 ELSE 6 END ELSE i + 1 END, CASE WHEN i = 5 THEN false ELSE moved OR hit END
- FROM (SELECT s.*, e.e[i] AS w, ends_with(t, e.e[i]) AND length(t) > length(e.e[i]) AS hit FROM s, e WHERE i <= 5)),
+ FROM (SELECT s.*, e.e[i] AS w, ends_with(t, e.e[i]) AS hit FROM s, e WHERE i <= 5)),
 d AS (SELECT * FROM s WHERE i = 6 AND length(t) >= 2)
 SELECT b.item_id, count(d.t) AS n_tokens, coalesce(string_agg(d.t, '|' ORDER BY pos), '') AS tokens FROM benchmark b LEFT JOIN d ON b.item_id = d.item_id GROUP BY 1"""
 
@@ -128,6 +128,26 @@ def place_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("item_id", strip(F.col("text")).alias("tokens")).select("item_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
 
 
+NAMED = """a AS (SELECT n_nationkey AS area_no, n_name || '沿岸' || (CASE WHEN n_nationkey % 2 = 0 THEN '西部' ELSE '' END) AS area_name, n_name AS token FROM nation WHERE length(n_name) >= 2),
+p AS (SELECT c_custkey AS id, CASE CAST(c_custkey % 5 AS INTEGER) WHEN 0 THEN n_name || '市' WHEN 1 THEN '旧' || n_name || '・NATION_' || CAST((c_nationkey + 11) % 25 AS VARCHAR) || '町' WHEN 2 THEN '' WHEN 3 THEN c_mktsegment ELSE NULL END AS muni,
+  CASE WHEN c_custkey % 7 = 0 THEN '不明' ELSE left(n_name, 8 - CAST(c_custkey % 2 AS INTEGER)) END AS stem FROM customer JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT id, count(DISTINCT area_no) AS n, min(area_no) AS area_no FROM p JOIN a ON contains(muni, token) GROUP BY 1), c AS (SELECT id, count(DISTINCT area_no) AS n, min(area_no) AS area_no FROM p JOIN a ON contains(area_name, stem) GROUP BY 1)
+SELECT p.id, CASE WHEN coalesce(f.n, c.n) = 1 THEN coalesce(f.area_no, c.area_no) END AS area_no, CASE WHEN coalesce(f.n, c.n, 0) = 0 THEN 'none' WHEN f.n = 1 THEN 'municipality_named' WHEN f.n > 1 THEN 'ambiguous_municipality_named' WHEN c.n = 1 THEN 'prefecture_named' ELSE 'ambiguous_prefecture_named' END AS method, CAST(coalesce(f.n, c.n, 0) AS BIGINT) AS n
+FROM p LEFT JOIN f ON f.id = p.id LEFT JOIN c ON c.id = p.id"""
+
+
+@query("named_areas", f"WITH {NAMED}")
+def named_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """The sea area that a place's municipality names, else its prefecture; none and ambiguous ones with their reason."""
+    nation = table(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    areas = nation.select(k.alias("area_no"), F.concat("n_name", F.lit("沿岸"), F.when(k % 2 == 0, "西部").otherwise("")).alias("area_name")).withColumn("tokens", M.place_tokens(["西部", "沿岸"])(F.col("area_name")))
+    c = F.col("c_custkey")
+    muni = F.when(c % 5 == 0, F.concat("n_name", F.lit("市"))).when(c % 5 == 1, F.concat(F.lit("旧"), "n_name", F.lit("・NATION_"), ((F.col("c_nationkey") + 11) % 25).cast("string"), F.lit("町"))).when(c % 5 == 2, "").when(c % 5 == 3, F.col("c_mktsegment"))
+    places = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == k).select(c.alias("id"), muni.alias("muni"), F.when(c % 7 == 0, "不明").otherwise(F.left("n_name", (8 - c % 2).cast("int"))).alias("stem"))
+    return M.named_areas(places, "id", "muni", "stem", areas, "area_no", "area_name", "tokens")
+
+
 # Labels ---------------------------------------------------------------------------------------------------------------
 
 #: Spellings of one interval, by the remainder of the part's key.
@@ -167,8 +187,7 @@ def label_order(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("canonical", F.dense_rank().over(Window.orderBy("low", "high")).cast("long").alias("rank"))
 
 
-@query("all_nested_labels", NESTED := f"WITH {RAW}, {PARSED}, u AS (SELECT DISTINCT canonical, low, high FROM named) SELECT o.canonical AS outer_label, i.canonical AS inner_label FROM u o JOIN u i ON o.low < i.low AND i.high < o.high")
-@query("nested_labels", NESTED)
+@query("nested_labels", f"WITH {RAW}, {PARSED}, u AS (SELECT DISTINCT canonical, low, high FROM named) SELECT o.canonical AS outer_label, i.canonical AS inner_label FROM u o JOIN u i ON o.low < i.low AND i.high < o.high")
 def nested_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Strictly nested pairs of the label vocabulary: a self-join over distinct labels, whose number the sizes bound at every scale. It has a second name from when the first read a prefix of the parts."""
     return nested_pairs(parsed_labels(spark, sf))

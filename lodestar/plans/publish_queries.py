@@ -193,31 +193,41 @@ def glyphs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(page.alias("page"), (F.col("l_extendedprice") / 100).alias("y"), (F.col("l_quantity") * 10).alias("x"), F.col("l_returnflag").alias("t"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
 
 
-# These have a second name from when the first read a prefix of the orders.
-
-
-@query("all_text_lines", TEXT_LINES := f"WITH {GLYPHS}, {LINES} SELECT page, line, round(avg(y) + 1e-6, 4) AS y, count(*) AS n FROM lines GROUP BY 1, 2")
-@query("text_lines", TEXT_LINES)
+@query("text_lines", f"WITH {GLYPHS}, {LINES} SELECT page, line, round(avg(y) + 1e-6, 4) AS y, count(*) AS n FROM lines GROUP BY 1, 2")
 def text_lines(spark: SparkSession, sf: str) -> DataFrame:
     return L.line_means(glyphs(spark, sf), ["page"], "y", 3.0).select("page", "line", F.round(F.col("y") + 1e-6, 4).alias("y"), "n")
 
 
-@query("all_row_bands", ROW_BANDS := f"WITH {GLYPHS}, {LINES}, a AS (SELECT page, line, avg(y) AS y FROM lines GROUP BY 1, 2) SELECT page, line, round((y + lag(y) OVER w) / 2 + 1e-6, 4) AS lo, round((y + lead(y) OVER w) / 2 + 1e-6, 4) AS hi FROM a WINDOW w AS (PARTITION BY page ORDER BY y)")
-@query("row_bands", ROW_BANDS)
+@query("row_bands", f"WITH {GLYPHS}, {LINES}, a AS (SELECT page, line, avg(y) AS y FROM lines GROUP BY 1, 2) SELECT page, line, round((y + lag(y) OVER w) / 2 + 1e-6, 4) AS lo, round((y + lead(y) OVER w) / 2 + 1e-6, 4) AS hi FROM a WINDOW w AS (PARTITION BY page ORDER BY y)")
 def row_bands(spark: SparkSession, sf: str) -> DataFrame:
     b = L.row_bands(L.line_means(glyphs(spark, sf), ["page"], "y", 3.0), ["page"], "y")
     shown = lambda c: F.when(F.abs(c) == C.INF, F.lit(None).cast("double")).otherwise(F.round(F.col(c) + 1e-6, 4)).alias(c)
     return b.select("page", "line", shown("lo"), shown("hi"))
 
 
-@query("all_cell_texts", CELL_TEXTS := f"WITH {GLYPHS}, c AS (SELECT page, CAST(floor(x / 100) AS INTEGER) AS col, round(y) AS ry, x, t FROM glyphs) SELECT page, col, string_agg(t, '' ORDER BY ry, x, t) AS cell FROM c GROUP BY 1, 2")
-@query("cell_texts", CELL_TEXTS)
+@query("cell_texts", f"WITH {GLYPHS}, c AS (SELECT page, CAST(floor(x / 100) AS INTEGER) AS col, round(y) AS ry, x, t FROM glyphs) SELECT page, col, string_agg(t, '' ORDER BY ry, x, t) AS cell FROM c GROUP BY 1, 2")
 def cell_texts(spark: SparkSession, sf: str) -> DataFrame:
     edges = F.array(*[F.lit(100.0 * i) for i in range(7)])
     g = glyphs(spark, sf).withColumn("col", L.column_of(F.col("x"), edges))
     return L.cell_texts(g, ["page", "col"], "y", "x", "t")
 
 
+PAGE_CELLS = f"""WITH {GLYPHS}, edges AS (SELECT page, unnest([0.0, 100.0 + 10 * (page % 4), 250.0, 400.0, 510.0]) AS edge FROM (SELECT DISTINCT page FROM glyphs)),
+e AS (SELECT page, edge, CAST(row_number() OVER (PARTITION BY page ORDER BY edge) - 1 AS INTEGER) AS col FROM edges), g AS (SELECT glyphs.*, e.col FROM glyphs ASOF JOIN e ON glyphs.page = e.page AND glyphs.x >= e.edge),
+m AS (SELECT page, y, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y) <= 3.0 THEN 0 ELSE 1 END AS s FROM g WHERE col = 0), l AS (SELECT page, y, sum(s) OVER (PARTITION BY page ORDER BY y) AS line FROM m), a AS (SELECT page, line, avg(y) AS y FROM l GROUP BY 1, 2),
+b AS (SELECT page, CAST(line - 1 AS INTEGER) AS row, coalesce((y + lag(y) OVER (PARTITION BY page ORDER BY y)) / 2, CAST('-Infinity' AS DOUBLE)) AS lo FROM a)
+SELECT g.page, row, col, string_agg(t, '' ORDER BY round(y), x, t) AS cell FROM g ASOF JOIN b ON g.page = b.page AND g.y >= b.lo GROUP BY 1, 2, 3"""
+
+
+@query("page_cells", PAGE_CELLS)
+def page_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells by row and column: rows from the lines of the first column, columns from each page's own edges."""
+    g = glyphs(spark, sf)
+    page = F.col("page")
+    edges = g.select("page").distinct().select("page", F.explode(F.array(F.lit(0.0), (100.0 + 10 * (page % 4)).cast("double"), F.lit(250.0), F.lit(400.0), F.lit(510.0))).alias("edge"))
+    return L.page_cells(g, "page", "y", "x", "t", edges, 3.0)
+
+
 @query("kept_edges", f"""WITH RECURSIVE {GLYPHS}, ys AS MATERIALIZED (SELECT DISTINCT page, y FROM glyphs), k AS (SELECT page, min(y) AS y FROM ys GROUP BY 1 UNION ALL SELECT k.page, min(ys.y) AS y FROM k JOIN ys ON ys.page = k.page AND ys.y - k.y > 20 GROUP BY k.page, k.y)
 SELECT page, n, kept, round(last, 4) AS last FROM (SELECT page, count(*) AS n FROM ys GROUP BY 1) JOIN (SELECT page, count(*) AS kept, max(y) AS last FROM k GROUP BY 1) USING (page)""")
 def kept_edges(spark: SparkSession, sf: str) -> DataFrame:

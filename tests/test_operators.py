@@ -138,6 +138,35 @@ def test_cascade_guards_by_cardinality(spark):
 def test_place_tokens(spark):
     strip = matching.place_tokens(["港", "漁"])
     assert values(spark, ["小樽漁港・余市、港", None], strip) == [["小樽", "余市"], []]
+    whole = matching.place_tokens(["沿岸", "の東", "南部", "列島"])
+    assert values(spark, ["沿岸・南部", "五島列島沿岸南部", "種子島・ 屋久島 沿岸", "日向灘南部・列島の東沿岸", ""], whole) == [[], ["五島"], ["種子島", "屋久島"], ["日向灘"], []]
+
+
+def test_containing_by_automaton_and_by_keys(spark):
+    texts = spark.createDataFrame([("abcde",), ("bcd",), ("xyz",), ("",), (None,), ("abcde",)], "t string")
+    tokens = spark.createDataFrame([("bc",), ("abc",), ("cd",), ("de",), ("q",), ("",), (None,), ("bc",), ("abcdef",)], "w string")
+    expected = {(t, w) for t in ("abcde", "bcd", "xyz") for w in ("bc", "abc", "cd", "de", "q", "abcdef") if w in t}
+    for most in (100, 2):
+        assert {tuple(r) for r in matching.containing(texts, "t", tokens, "w", most).collect()} == expected
+    assert matching.containing(texts, "t", tokens.limit(0), "w").count() == 0
+
+
+def test_named_areas(spark):
+    areas = spark.createDataFrame([(1, "五島列島沿岸", ["五島"]), (2, "長崎県北西部", []), (3, "長崎県南部", None), (4, "鹿児島県沿岸", ["鹿児島"])], "no int, name string, tokens array<string>")
+    places = spark.createDataFrame([(1, "五島市", "長崎"), (2, "佐世保市", "長崎"), (3, None, "鹿児島"), (4, "鹿児島五島町", "長崎"), (5, "", "秋田"), (6, None, None)], "id int, muni string, stem string")
+    got = {r.id: (r.no, r.method, r.n) for r in matching.named_areas(places, "id", "muni", "stem", areas, "no", "name", "tokens").collect()}
+    assert got == {1: (1, "municipality_named", 1), 2: (None, "ambiguous_prefecture_named", 2), 3: (4, "prefecture_named", 1), 4: (None, "ambiguous_municipality_named", 2), 5: (None, "none", 0), 6: (None, "none", 0)}
+
+
+def test_page_cells(spark):
+    """A cell of two lines belongs to the row whose number stands between them; what overflows belongs to the last row."""
+    g = spark.createDataFrame([("p", 10.0, 5.0, "1"), ("p", 30.0, 5.0, "2"), ("p", 9.0, 15.0, "a"), ("p", 26.0, 15.0, "b"), ("p", 34.0, 16.0, "c"), ("p", 20.0, 15.0, "d"), ("p", 99.0, 12.0, "z"), ("p", 1.0, 25.0, "t"), ("q", 1.0, 15.0, "n")], "page string, y double, x double, t string")
+    edges = spark.createDataFrame([(p, e) for p in "pq" for e in (0.0, 10.0, 20.0, 30.0)], "page string, edge double")
+    got = {(r.page, r.row, r.col): r.cell for r in layout.page_cells(g, "page", "y", "x", "t", edges, 3.0).collect()}
+    assert got == {("p", 0, 0): "1", ("p", 1, 0): "2", ("p", 0, 1): "a", ("p", 1, 1): "dbcz", ("p", 0, 2): "t", ("q", None, 1): "n"}
+    for x in (30.0, -1.0):
+        with pytest.raises(Exception, match="no column holds"):
+            layout.page_cells(spark.createDataFrame([("p", 1.0, x, "a")], g.schema), "page", "y", "x", "t", edges, 3.0).collect()
 
 
 def test_corrections(spark):
