@@ -12,6 +12,8 @@ from pyspark.sql.types import DoubleType
 from lodestar.functions.columns import day_of_cycle
 
 from .numbering import numbered
+from .quantiles import quantiles, selected
+from .stages import kept
 
 
 def daily(df: DataFrame, key: Column, at: Column, value: Column, how=F.avg, provisional: Column | None = None) -> DataFrame:
@@ -75,13 +77,14 @@ def t_p_value(t: pd.Series, nu: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or math.isnan(x) else t_tail(abs(x), n) for x, n in zip(t, nu, strict=True)], dtype="float64")
 
 
-def trends(points: DataFrame, key: str, x: str, y: str, min_points: int = 10, with_p: bool = True) -> DataFrame:
-    """Least squares per key: n, slope, intercept, sse, se, t, p (two-sided), r2; keys with too few points go.
+def trends(points: DataFrame, key: str, x: str, y: str, min_points: int = 10, with_p: bool = True, strict: bool = False) -> DataFrame:
+    """Least squares per key: n, slope, intercept, sse, se, t, p (two-sided), r2; keys with too few points go, or with ``strict`` raise.
 
     se is infinite-safe: t is infinite where the fit is exact, r2 null where y is constant.
     """
     fit = points.groupBy(key).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("sst"))
-    fit = fit.filter(F.col("n") >= min_points)
+    enough = F.col("n") >= min_points
+    fit = fit.filter(F.when(enough, True).otherwise(F.raise_error(F.concat(F.col(key).cast("string"), F.lit(" has "), F.col("n").cast("string"), F.lit(" points"))))) if strict else fit.filter(enough)
     res = F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")
     sse = points.join(fit, key).groupBy(key).agg(F.sum(res * res).alias("sse"))
     out = fit.join(sse, key).withColumn("se", F.sqrt(F.col("sse") / (F.col("n") - 2) / F.col("sxx")))
@@ -90,15 +93,20 @@ def trends(points: DataFrame, key: str, x: str, y: str, min_points: int = 10, wi
     return out.withColumn("p", t_p_value("t", (F.col("n") - 2).cast("double"))) if with_p else out
 
 
-def climatology(days: DataFrame, first_year: int, last_year: int, window: int = 5, q: float = 0.9, cycle: int = 365) -> DataFrame:
+def climatology(days: DataFrame, first_year: int, last_year: int, window: int = 5, q: float = 0.9, cycle: int = 365, most: int = 100_000) -> DataFrame:
     """key, doy, mean, threshold over the days of the base years within ``window`` days of the year, which is a circle.
 
-    Each day is dealt to the 2 * window + 1 days of the year that it counts for: an equi-aggregation instead of a range that can't wrap.
+    Each day is dealt to the 2 * window + 1 days of the year that it counts for: an equi-aggregation instead of a range that can't wrap. Keys whose days
+    of the year may hold many values get their quantiles with bounded state (see quantiles).
     """
     base = days.filter(F.year("d").between(first_year, last_year))
     fan = base.select("key", "value", F.explode(F.sequence(F.lit(-window), F.lit(window))).alias("k"), "d")
     fan = fan.select("key", "value", F.pmod(day_of_cycle(F.col("d")) + F.col("k"), F.lit(cycle)).cast("long").alias("doy"))
-    return fan.groupBy("key", "doy").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(q)).alias("threshold"))
+    # No day of the year holds more than its key's base rows; where that is few, the builtin does it in the same pass.
+    if base.groupBy("key").count().filter(F.col("count") > most).isEmpty():
+        return fan.groupBy("key", "doy").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(q)).alias("threshold"))
+    means = fan.groupBy("key", "doy").agg(F.avg("value").alias("mean"))
+    return means.join(quantiles(fan, ["key", "doy"], "value", [q], most).withColumnRenamed("q0", "threshold"), ["key", "doy"])
 
 
 def with_climatology(days: DataFrame, clim: DataFrame) -> DataFrame:
@@ -165,8 +173,10 @@ def percentile_error(days: DataFrame, windows: tuple[int, ...], years: tuple[int
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    e = F.array_sort(F.collect_list("e"))
-    return both.groupBy("window").agg(F.median("e").alias("median"), F.element_at(e, (F.floor(F.count("*") * 0.95) + 1).cast("int")).alias("p95"), F.max("e").alias("most"))
+    both = kept(both)
+    sizes = both.groupBy("window").agg(F.count("*").alias("n"), F.max("e").alias("most"))
+    p95 = selected(both, ["window"], "e", sizes.select("window", F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1).alias("rank"))).select("window", F.col("value").alias("p95"))
+    return quantiles(both, ["window"], "e", [0.5]).withColumnRenamed("q0", "median").join(p95, "window").join(sizes.drop("n"), "window")
 
 
 def sparkline(points: DataFrame, key: str, x: str, y: str, width: float, height: float, pad: float) -> DataFrame:
