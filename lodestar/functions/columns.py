@@ -219,6 +219,11 @@ def p_text(c: Column) -> Column:
     return F.when(c < 1e-6, "< 0.000001").when(c < 0.001, F.regexp_replace(F.format_string("%.1e", c), "e-0", "e-")).otherwise(F.format_string("%.3f", c))
 
 
+def known_items(c: Column, known: tuple[str, ...], separator: str = ",") -> Column:
+    """The items of a list in a text that are known ones, in order."""
+    return F.filter(F.split(c, separator), lambda x: x.isin(*known))
+
+
 def valued(c: Column) -> Column:
     """struct(value, status): empty and null have no value, 0 is one."""
     empty = c.isNull() | (c.cast("string") == "")

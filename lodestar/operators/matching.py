@@ -157,7 +157,3 @@ def single_candidate(left: DataFrame, right: DataFrame, key: str, text: str, tok
     hits = containing(left, text, right, token).join(right.select(F.col(token).alias("token"), value), "token").select(F.col("text").alias("__text"), value).distinct()
     found = left.join(hits, F.col(text) == F.col("__text")).select(key, value).distinct()
     return found.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias(value)).filter("n = 1").drop("n")
-
-
-def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.sources.text import numbered_lines
@@ -160,14 +160,79 @@ def run_evidence(c: Column) -> Column:
     return F.when(t.rlike(r"no tests ran|collected 0 items|no test files"), "none").when(t.rlike(r"\b[1-9]\d* (failed|errors?)\b"), "failed").when(t.rlike(r"\b[1-9]\d* passed\b|tests? passed"), "passed").otherwise("unknown")
 
 
-def key_value(c: Column) -> Column:
-    """struct(key, value, is_json) of a ``k=v`` text; text without a name and a sign is null."""
+def key_value(c: Column, strings: Collection[str] = (), strict: bool = False) -> Column:
+    """struct(key, value, is_json) of a ``k=v`` text; text without a name and a sign is null, or raises if ``strict``. Values of the keys ``strings`` are never JSON."""
     at = F.instr(c, "=")
-    value = F.substring(c, at + 1, F.char_length(c))
-    return F.when(at > 1, F.struct(F.substring(c, F.lit(1), at - 1).alias("key"), value.alias("value"), F.try_parse_json(value).isNotNull().alias("is_json")))
+    key, value = F.substring(c, F.lit(1), at - 1), F.substring(c, at + 1, F.char_length(c))
+    parsed = F.try_parse_json(value).isNotNull() & ~key.isin(*strings) if strings else F.try_parse_json(value).isNotNull()
+    pair = F.when(at > 1, F.struct(key.alias("key"), value.alias("value"), parsed.alias("is_json")))
+    return pair.when(c.isNotNull(), F.raise_error(F.concat(F.lit("not key=value: "), c))) if strict else pair
+
+
+# Ranges of characters that don't belong into a text.
+CYRILLIC = r"[\x{0400}-\x{052F}]"
+HANGUL = r"[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}]"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+
+
+def hygiene_lines(texts: DataFrame, key: str, text: str, allowed: str) -> DataFrame:
+    """key, line (from 1), kinds of each line with characters that don't belong there; a line that holds the mark ``allowed`` says nothing."""
+    lines = texts.select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).filter(~F.contains("line", F.lit(allowed)))
+    kinds = F.filter(F.array(*[F.when(F.col("line").rlike(p), name) for name, p in (("cyrillic", CYRILLIC), ("hangul", HANGUL), ("control", CONTROL))]), lambda k: k.isNotNull())
+    return lines.select(key, (F.col("pos") + 1).cast("long").alias("line"), F.array_join(kinds, ",").alias("kinds")).filter("kinds <> ''")
+
+
+# What added lines must not hold, and what they should not.
+BLOCKED = {
+    "private key": r"-----BEGIN (RSA |EC |OPENSSH |PGP )?PRIVATE KEY-----",
+    "access key": r"AKIA[0-9A-Z]{16}",
+    "credential": r"""(?i)\b(api[_-]?key|secret|token|password|passwd)\b\s*[=:]\s*['"][^'"]{8,}['"]""",
+}
+WARNED = {"eval": r"\beval\s*\(", "statement": r"""(?i)(execute|cursor\.execute)\s*\(\s*["'].*%s.*["']\s*%"""}
+
+
+def added_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, file, line, added of the lines that diffs without context add: files begin with +++ b/, hunks name their first line after a plus."""
+    rows = diffs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "row"))
+    w = Window.partitionBy(key).orderBy("pos")
+    plus = (F.col("row").startswith("+") & ~F.col("row").startswith("+++")).cast("long")
+    hunk = F.when(F.col("row").startswith("@@"), F.regexp_extract("row", r"\+(\d+)", 1).cast("long"))
+    rows = rows.withColumn("n", F.sum(plus).over(w)).withColumn("file", F.last(F.when(F.col("row").startswith("+++ "), F.regexp_replace("row", r"^\+\+\+ (b/)?", "")), ignorenulls=True).over(w))
+    rows = rows.withColumn("first", F.last(F.when(hunk.isNotNull(), hunk - F.col("n")), ignorenulls=True).over(w))
+    return rows.filter(plus == 1).select(key, "file", (F.col("first") + F.col("n") - 1).alias("line"), F.substring("row", 2, 1_000_000_000).alias("added"))
+
+
+def findings(lines: DataFrame, added: str, exempt: str | None = None) -> DataFrame:
+    """lines with label and blocks for each pattern that an added line holds, but for files that match ``exempt``."""
+    kept = lines if exempt is None else lines.filter(~F.col("file").rlike(exempt))
+    hits = F.array(*[F.when(F.col(added).rlike(p), F.struct(F.lit(name).alias("label"), F.lit(blocks).alias("blocks"))) for blocks, some in ((True, BLOCKED), (False, WARNED)) for name, p in some.items()])
+    return kept.withColumn("__h", F.explode(F.filter(hits, lambda h: h.isNotNull()))).select("*", "__h.label", "__h.blocks").drop("__h", added)
+
+
+def largest(changes: DataFrame, path: str, added: str, deleted: str, exempt: str, k: int = 5) -> DataFrame:
+    """path, lines of the ``k`` largest changes that aren't exempt, ties by path."""
+    return changes.filter(~F.col(path).rlike(exempt)).select(path, (F.col(added) + F.col(deleted)).alias("lines")).orderBy(F.desc("lines"), path).limit(k)
+
+
+# What an output says when nothing could be started, when nothing ran, and what shows that something did.
+NOT_STARTED = ("command not found", "not recognized as an internal", "no such file or directory", "cannot find module", "this is not the tsc command")
+NOTHING_RAN = ("no tests ran", "no tests were found", "no test files found", "no tests found", "missing script", "no test specified")
+RAN = (r"\b\d+ (passed|failed|errors?|skipped)\b", r"\btests?\s+\d+", r"test result:\s*(ok|failed)", r"\b\d+\s+(tests?|examples?),\s*\d+\s+(failures?|assertions?)")
+
+
+def run_outcome(output: Column, code: Column, command: Column) -> Column:
+    """struct(ran, reason): whether tests ran at all. An exit code isn't believed alone: 5 of pytest and 127 say that nothing ran, 0 needs evidence in the output."""
+    t = F.lower(without_ansi(F.coalesce(output, F.lit(""))))
+    holds = lambda some: reduce(lambda a, b: a | b, [F.contains(t, F.lit(x)) for x in some])
+    evidence = reduce(lambda a, b: a | b, [t.rlike(p) for p in RAN])
+    reason = (
+        F.when(holds(NOT_STARTED), "not started").when(holds(NOTHING_RAN), "nothing ran").when((code == 5) & F.contains(command, F.lit("pytest")), "nothing collected")
+        .when(code == 127, "not found").when((code == 0) & ~evidence, "no evidence").otherwise("")
+    )
+    return F.struct((reason == "").alias("ran"), reason.alias("reason"))
 
 
 def hygiene(c: Column) -> Column:
     """struct(cyrillic, hangul, control, lone_cr): counts of code points that text shouldn't have."""
     n = lambda p: F.regexp_count(c, F.lit(p)).cast("long")
-    return F.struct(n(r"[\x{0400}-\x{04FF}]").alias("cyrillic"), n(r"[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}]").alias("hangul"), n(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]").alias("control"), n(r"\r(?!\n)").alias("lone_cr"))
+    return F.struct(n(CYRILLIC).alias("cyrillic"), n(HANGUL).alias("hangul"), n(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]").alias("control"), n(r"\r(?!\n)").alias("lone_cr"))

@@ -101,6 +101,17 @@ def size_differs(files: DataFrame, said: str, found: str, share: float = 0.03) -
     return files.filter(F.abs(F.col(found) - F.col(said)) > share * F.col(said))
 
 
+def to_fetch(plan: DataFrame, there: DataFrame, file: str, size: str) -> DataFrame:
+    """Rows of the plan that aren't there yet with the same name and size: a file of another size is fetched again."""
+    return plan.join(there.select(file, size).distinct(), [file, size], "left_anti")
+
+
+def sizes_checked(files: DataFrame, said: str, found: str, share: float = 0.03) -> DataFrame:
+    """The files; one whose size is further off than ``share`` stops the job."""
+    off = F.abs(F.col(found) - F.col(said)) > share * F.col(said)
+    return files.filter(F.when(F.coalesce(off, F.lit(False)), F.raise_error(F.concat(F.lit("size "), F.col(found).cast("string"), F.lit(" instead of "), F.col(said).cast("string")))).otherwise(True))
+
+
 def forbidden(df: DataFrame, names: list[str]) -> list[str]:
     """Columns that must not be there."""
     return sorted(set(df.columns) & set(names))
@@ -165,6 +176,24 @@ def resumed(wanted: DataFrame, path: str, key: str, build: Callable[[DataFrame],
     return spark.read.parquet(path).withColumn(key, F.col(key).cast(kind)), spark.createDataFrame([(k,) for k in keys], wanted.select(key).schema)
 
 
+def replaced(fresh: DataFrame, path: str, key: str, only: bool = False) -> DataFrame:
+    """A partitioned table after the parts of ``fresh`` took the place of those that were there; other parts stay as they are.
+
+    ``only`` marks a trial with some of the parts: it raises unless the table holds others that it would leave, so that a whole table is never made by a trial.
+    """
+    spark = fresh.sparkSession
+    if only:
+        try:
+            others = spark.read.parquet(path).select(key).distinct().join(fresh.select(key).distinct(), key, "left_anti")
+            safe = not others.isEmpty()
+        except AnalysisException:
+            safe = False
+        if not safe:
+            raise ValueError("a trial must not make the whole table")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    return spark.read.parquet(path).withColumn(key, F.col(key).cast(fresh.schema[key].dataType))
+
+
 def optional_section(df: DataFrame, product: DataFrame | None, key: str, value: str) -> DataFrame:
     """``estimated_section``, or every row with the status missing_source where the product doesn't exist."""
     if product is None:
@@ -172,10 +201,6 @@ def optional_section(df: DataFrame, product: DataFrame | None, key: str, value:
     return estimated_section(df, product, key, value)
 
 
-def too_large(files: DataFrame, most: int) -> DataFrame:
-    return files.filter(F.col("bytes") > most)
-
-
 def missing_parts(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Parts of a resumable build that are still to do."""
     return wanted.select(key).distinct().join(done.select(key).distinct(), key, "left_anti")
@@ -201,28 +226,14 @@ def union_columns(records: DataFrame, data: str, *order: str) -> list[str]:
     return [r["key"] for r in at.groupBy("key").agg(F.min(F.struct(*order, "__i")).alias("f")).orderBy("f").collect()]
 
 
-def csv_with_union(records: DataFrame, fixed: list[str], data: str, order: list[str], folder: str, name: str) -> DataFrame:
-    """Writes one CSV file with a byte-order mark: ``fixed`` columns, then the union of the maps' keys as they first come: key, path, bytes.
+def csv_with_union(records: DataFrame, fixed: list[str], data: str, order: list[str], folder: str) -> list[str]:
+    """Writes CSV with a byte-order mark: ``fixed`` columns, then the union of the maps' keys as they first come; the columns.
 
-    Rows are formatted by Spark and put in order; the report is one file, so it is for logs, not data.
+    Rows are put in order by ranges, a file for each, so a log of any length passes no single task; each file has the header.
     """
     more = union_columns(records, data, *order)
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fixed] + [F.coalesce(F.try_element_at(data, F.lit(k)), F.lit("")) for k in more]
-    quoted = [F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in text]
-    lines = records.select(*order, F.concat_ws(",", *quoted).alias("__line"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, "__line"))), lambda r: r["__line"])
-    body = F.concat(F.lit("\ufeff"), F.array_join(F.concat(F.array(F.lit(",".join([*fixed, *more]))), rows), "\n"), F.lit("\n"))
-    return files_by_key(lines.agg(F.lit(name).alias("key"), F.encode(body, "UTF-8").alias("body")), folder, ".csv")
-
-
-def with_bom_csv(df: DataFrame, columns: list[str]) -> str:
-    """A small table as CSV text with a byte-order mark and its columns in the given order; for reports, not data."""
-    import csv
-    import io
-
-    out = io.StringIO()
-    w = csv.writer(out, lineterminator="\n")
-    w.writerow(columns)
-    for r in df.select(*columns).toLocalIterator():
-        w.writerow(["" if v is None else v for v in r])
-    return "﻿" + out.getvalue()
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fixed] + [F.coalesce(F.try_element_at(data, F.lit(k)), F.lit("")).alias(k) for k in more]
+    rows = records.repartitionByRange(*order).sortWithinPartitions(*order).select(*text)
+    first = rows.columns[0]
+    rows.withColumnRenamed(first, f"\ufeff{first}").write.csv(folder, header=True, quote='"', escape='"', emptyValue="", encoding="UTF-8")
+    return rows.columns

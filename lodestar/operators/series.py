@@ -138,6 +138,32 @@ def events(days: DataFrame, min_days: int = 5, max_gap: int = 2) -> DataFrame:
     return found.withColumn("duration", (F.date_diff("end", "start") + 1).cast("long"))
 
 
+def normal_gate(clim: DataFrame, normals: DataFrame, usual: float, most: float) -> DataFrame:
+    """One row: median and largest distance of the climatology's means from published normals (key, doy, normal), as shares of these, and whether both are within bounds."""
+    off = clim.join(normals, ["key", "doy"]).select(F.lit(1).alias("one"), (F.abs(F.col("mean") - F.col("normal")) / F.abs("normal")).alias("e"))
+    return quantiles(off, ["one"], "e", [0.5, 1.0]).select(F.col("q0").alias("median"), F.col("q1").alias("most"), ((F.col("q0") <= usual) & (F.col("q1") <= most)).alias("passed"))
+
+
+def complete_years(summary: DataFrame, least: int, some_go: bool = False) -> DataFrame:
+    """Rows of an annual summary with at least so many valid days. Raises if none is left, and with ``some_go`` if none went, when a running year must be among them."""
+    n = summary.agg(F.count("*").alias("n"), F.count_if(F.col("valid_days") >= least).alias("kept")).first()
+    if not n.kept:
+        raise ValueError(f"no year has {least} days")
+    if some_go and n.kept == n.n:
+        raise ValueError(f"all years have {least} days")
+    return summary.filter(F.col("valid_days") >= least)
+
+
+def heat_expectations(days: DataFrame, found: DataFrame, groups: dict[str, tuple[str, ...]], span: tuple[str, str], least_days: int, least_keys: int, split: Column, share_name: str) -> DataFrame:
+    """name, observed, held of predictions about events: for each group of keys how many have ``least_days`` event days within ``span``, which holds from ``least_keys`` on; and for
+    ``share_name`` how many keys have a larger share of event days after the split than before, which holds for more than half of them."""
+    inside = covered_days(found).filter(F.col("d").between(F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date"))).groupBy("key").agg(F.count("*").alias("n"))
+    member = days.sparkSession.createDataFrame([(g, k) for g, ks in groups.items() for k in ks], "name string, key string")
+    met = member.join(inside, "key", "left").groupBy("name").agg(F.count_if(F.coalesce("n", F.lit(0)) >= least_days).alias("observed"))
+    share = period_share(days, found, split).agg(F.lit(share_name).alias("name"), F.count_if(F.col("after") > F.col("before")).alias("observed"), (F.count_if(F.col("after") > F.col("before")) * 2 > F.count("*")).alias("held"))
+    return met.withColumn("held", F.col("observed") >= least_keys).unionByName(share)
+
+
 def covered_days(found: DataFrame) -> DataFrame:
     """key, d of all days of events."""
     return found.select("key", F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias("d"))

@@ -178,10 +178,10 @@ def secret_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.rlike("text", F.lit("(?i)password|secret|api_?key|token")).alias("named"), F.regexp_count("text", F.lit("token")).cast("long").alias("tokens"))
 
 
-@query("set_overlap", "SELECT (SELECT count(*) FROM (SELECT DISTINCT s_nationkey FROM supplier INTERSECT SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey % 5 = 0)) AS shared, (SELECT count(*) FROM (SELECT DISTINCT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)) AS missing")
+@query("set_overlap", "SELECT (SELECT count(*) FROM (SELECT DISTINCT s_nationkey FROM supplier INTERSECT SELECT DISTINCT c_nationkey + CASE WHEN c_nationkey % 4 = 1 THEN 50 ELSE 0 END FROM customer)) AS shared, (SELECT count(*) FROM (SELECT DISTINCT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)) AS missing")
 def set_overlap(spark: SparkSession, sf: str) -> DataFrame:
     s, c = table(spark, sf, "supplier").select("s_nationkey"), table(spark, sf, "customer")
-    shared = s.intersect(c.filter("c_custkey % 5 = 0").select("c_nationkey")).agg(F.count("*").alias("shared"))
+    shared = s.intersect(c.select(F.col("c_nationkey") + F.when(F.col("c_nationkey") % 4 == 1, 50).otherwise(0))).agg(F.count("*").alias("shared"))
     return shared.crossJoin(s.subtract(c.select("c_nationkey")).agg(F.count("*").alias("missing")))
 
 

@@ -14,8 +14,8 @@ from .registry import query
 from .tables import table
 
 # The same derived tables on both sides: codes repeat and names repeat, so that cardinality guards decide.
-GAZETTEER = """gaz AS (SELECT CAST(c_custkey % 90 AS BIGINT) AS code, c_nationkey AS area, 'N' || CAST(c_custkey % 37 AS VARCHAR) AS name, c_custkey AS gid,
-  CAST(20 + (c_custkey * 7919 % 2600) / 100.0 AS DOUBLE) AS lat, CAST(122 + (c_custkey * 104729 % 3200) / 100.0 AS DOUBLE) AS lon FROM customer WHERE c_custkey % 3 <> 1)"""
+GAZETTEER = """gaz AS (SELECT CASE WHEN c_custkey % 3 <> 1 THEN CAST(c_custkey % 90 AS BIGINT) END AS code, c_nationkey AS area, 'N' || CAST(c_custkey % 37 AS VARCHAR) AS name, c_custkey AS gid,
+  CAST(20 + (c_custkey * 7919 % 2600) / 100.0 AS DOUBLE) AS lat, CAST(122 + (c_custkey * 104729 % 3200) / 100.0 AS DOUBLE) AS lon FROM customer)"""
 MASTER = "master AS (SELECT s_suppkey AS id, s_suppkey AS code, s_nationkey AS area, 'N' || CAST(s_suppkey % 37 AS VARCHAR) AS name FROM supplier)"
 STAGES = """one AS (SELECT code, area, name, count(*) AS n, any_value(gid) AS gid, any_value(lat) AS lat, any_value(lon) AS lon FROM gaz GROUP BY 1, 2, 3 HAVING count(*) = 1),
 two AS (SELECT code, area, any_value(gid) AS gid, any_value(lat) AS lat, any_value(lon) AS lon FROM gaz GROUP BY 1, 2 HAVING count(*) = 1),
@@ -27,8 +27,8 @@ matched AS (SELECT m.id, m.code, m.area, m.name, coalesce(CASE WHEN a.gid IS NOT
 
 def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf, "customer").filter(k % 3 != 1).select(
-        (k % 90).alias("code"), F.col("c_nationkey").alias("area"), F.concat(F.lit("N"), k % 37).alias("name"), k.alias("gid"),
+    return table(spark, sf, "customer").select(
+        F.when(k % 3 != 1, k % 90).alias("code"), F.col("c_nationkey").alias("area"), F.concat(F.lit("N"), k % 37).alias("name"), k.alias("gid"),
         (F.lit(20.0) + (k * 7919 % 2600) / 100.0).alias("lat"), (F.lit(122.0) + (k * 104729 % 3200) / 100.0).alias("lon"),
     )
 
@@ -85,10 +85,10 @@ def attribute_join(spark: SparkSession, sf: str) -> DataFrame:
     return matched(spark, sf).join(g, "gid").filter("outer_m > 0 and mooring_m > 0").select("id", "method", "outer_m", "mooring_m")
 
 
-@query("set_differences", "WITH a AS (SELECT DISTINCT s_nationkey AS k FROM supplier), b AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 97 > 40 AND c_nationkey <> 3) SELECT k, 'missing' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'unexpected' FROM b WHERE k NOT IN (SELECT k FROM a)")
+@query("set_differences", "WITH a AS (SELECT DISTINCT s_nationkey AS k FROM supplier), b AS (SELECT DISTINCT CASE WHEN c_nationkey % 5 = 3 THEN c_nationkey + 100 ELSE c_nationkey END AS k FROM customer) SELECT k, 'missing' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'unexpected' FROM b WHERE k NOT IN (SELECT k FROM a)")
 def set_differences(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
-    b = table(spark, sf, "customer").filter("c_custkey % 97 > 40 and c_nationkey <> 3").select(F.col("c_nationkey").alias("k")).distinct()
+    b = table(spark, sf, "customer").select(F.when(F.col("c_nationkey") % 5 == 3, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey")).alias("k")).distinct()
     return M.differences(a, b)
 
 
@@ -208,9 +208,9 @@ def label_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return f.withColumn("before", F.lag("high").over(w)).withColumn("prev", F.lag("canonical").over(w)).filter("low < before").select("file", "prev", "canonical")
 
 
-@query("label_vocabularies", f"WITH {RAW}, {PARSED}, v AS (SELECT id % 20 AS file, string_agg(DISTINCT canonical, '|' ORDER BY canonical) AS words FROM named WHERE low < 3 GROUP BY 1) SELECT md5(words) AS vocabulary, count(*) AS files, min(file) AS first FROM v GROUP BY 1")
+@query("label_vocabularies", f"WITH {RAW}, {PARSED}, v AS (SELECT id % 20 AS file, string_agg(DISTINCT canonical, '|' ORDER BY canonical) AS words FROM named GROUP BY 1) SELECT md5(words) AS vocabulary, count(*) AS files, min(file) AS first FROM v GROUP BY 1")
 def label_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
-    v = parsed_labels(spark, sf).filter("low < 3").groupBy((F.col("id") % 20).alias("file")).agg(F.array_join(F.array_sort(F.collect_set("canonical")), "|").alias("words"))
+    v = parsed_labels(spark, sf).groupBy((F.col("id") % 20).alias("file")).agg(F.array_join(F.array_sort(F.collect_set("canonical")), "|").alias("words"))
     return v.groupBy(F.md5("words").alias("vocabulary")).agg(F.count("*").alias("files"), F.min("file").alias("first"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +22,18 @@ def counter(spark: SparkSession, sf: str) -> DataFrame:
     return P.counter(table(spark, sf, "customer"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_mktsegment")))
 
 
-@query("zero_filled_counts", "SELECT n_nationkey AS key, count(s_suppkey) AS n FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 4 = 0) ON s_nationkey = n_nationkey GROUP BY 1")
+@query("zero_filled_counts", "SELECT n_nationkey AS key, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey END = n_nationkey GROUP BY 1")
 def zero_filled_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("key"))
+    rows = table(spark, sf, "supplier").select(F.when(F.col("s_suppkey") % 4 == 0, F.col("s_nationkey")).alias("key"))
     return P.zero_filled(rows, "key", table(spark, sf, "nation").select(F.col("n_nationkey").alias("key")))
 
 
 @query("filtered_parts", "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_type IN ('ECONOMY', 'SMALL') AND p_size <> 7 AND contains(replace(lower(p_name || ' ' || p_brand), ' ', ''), 'boltbrand#1')")
 def filtered_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Search across the border of two fields; the derived text is ASCII, so the Unicode step isn't needed for it."""
-    key = C.search_key(F.col("p_name"), F.col("p_brand"), unicode_form=False)
-    found = P.filtered(table(spark, sf, "part"), key, "bolt BRAND#1", ("ECONOMY", "SMALL"), "p_type", F.col("p_size") != 7, unicode_form=False)
+    """Search across the border of two fields; names are written in full-width letters and the words searched for half so, which the Unicode step makes alike."""
+    wide = F.translate("p_name", string.ascii_letters, "".join(chr(ord(c) + 0xFEE0) for c in string.ascii_letters))
+    key = C.search_key(wide, F.col("p_brand"))
+    found = P.filtered(table(spark, sf, "part"), key, "ｂｏｌｔ　BRAND＃1", ("ECONOMY", "SMALL"), "p_type", F.col("p_size") != 7)
     return found.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
 
 
@@ -116,7 +119,7 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("QUERY"), F.lit("page")).alias("page"))
 
 
-@query("text_hygiene", r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\x{0400}-\x{04FF}]')) AS BIGINT) AS cyrillic, CAST(len(regexp_extract_all(text, '[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}]')) AS BIGINT) AS hangul, CAST(len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) AS BIGINT) AS control, CAST(len(regexp_extract_all(text, '\r([^\n]|$)')) AS BIGINT) AS lone_cr FROM documents""")
+@query("text_hygiene", r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\x{0400}-\x{052F}]')) AS BIGINT) AS cyrillic, CAST(len(regexp_extract_all(text, '[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}]')) AS BIGINT) AS hangul, CAST(len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) AS BIGINT) AS control, CAST(len(regexp_extract_all(text, '\r([^\n]|$)')) AS BIGINT) AS lone_cr FROM documents""")
 def text_hygiene(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", O.hygiene(F.col("text")).alias("h")).select("doc_id", "h.*")
 

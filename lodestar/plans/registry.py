@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import detail_queries, geo_queries, match_queries, overlay_queries, publish_queries, series_queries, source_queries, vector_queries  # noqa: F401
+    from . import detail_queries, gate_queries, geo_queries, match_queries, overlay_queries, publish_queries, series_queries, source_queries, vector_queries  # noqa: F401

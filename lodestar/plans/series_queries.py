@@ -22,11 +22,13 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DAILY = """daily AS (SELECT o_orderpriority AS key, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS value, bool_or(o_orderstatus = 'P') AS provisional FROM orders GROUP BY 1, 2)"""
-NORMAL = """normals AS (SELECT key, month(d) AS month, day(d) AS day, round(avg(value), 6) AS normal FROM daily WHERE year(d) <= 1997 AND day(d) <> 31 GROUP BY ALL)"""
+NORMAL = """normals AS (SELECT key, month(d) AS month, day(d) AS day, CASE WHEN day(d) <> 31 THEN round(avg(value), 6) END AS normal FROM daily WHERE year(d) <= 1997 GROUP BY key, month(d), day(d))"""
 
 
 def _normals(days: DataFrame) -> DataFrame:
-    return days.filter((F.year("d") <= 1997) & (F.day("d") != 31)).groupBy("key", F.month("d").alias("month"), F.day("d").alias("day")).agg(r6(F.avg("value"), "normal"))
+    """Normals of the years up to 1997; the last day of long months has none, as files leave some out."""
+    means = days.filter(F.year("d") <= 1997).groupBy("key", F.month("d").alias("month"), F.day("d").alias("day")).agg(r6(F.avg("value"), "normal"))
+    return means.withColumn("normal", F.when(F.col("day") != 31, F.col("normal")))
 
 
 @query(
@@ -211,7 +213,7 @@ def sparkline_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("complete_years", f"WITH {DAILY} SELECT key, CAST(year(d) AS BIGINT) AS year, count(*) AS valid_days FROM daily GROUP BY 1, 2 HAVING count(*) >= 40")
 def complete_years(spark: SparkSession, sf: str) -> DataFrame:
-    return S.annual_summary(_orders(spark, sf)).filter("valid_days >= 40").select("key", "year", "valid_days")
+    return S.complete_years(S.annual_summary(_orders(spark, sf)), 40).select("key", "year", "valid_days")
 
 
 @query("event_type_days", "WITH daily AS (SELECT event_type AS key, CAST(ts AS DATE) AS d, avg(value) AS value, false AS provisional FROM events GROUP BY 1, 2), days AS (SELECT a.*, b.mean, b.threshold FROM daily a JOIN (SELECT key, avg(value) AS mean, quantile_cont(value, 0.5) AS threshold FROM daily GROUP BY 1) b ON a.key = b.key), " + EVENTS.format(min_days=2, gap=1) + f" SELECT {_OUT} FROM events_")

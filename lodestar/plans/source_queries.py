@@ -45,7 +45,7 @@ def paired_codes(spark: SparkSession, sf: str) -> DataFrame:
     cell = lambda link: F.concat(F.lit("<td class=c>"), number, F.lit("</td>\n <td>"), "n_name", F.lit('</td><td><a href="area'), link, F.lit('.html">x</a></td>'))
     rows = n.select("page", "n_nationkey", F.concat(cell(number), cell(F.concat(number, F.lit("9")))).alias("cells"))
     pages = rows.groupBy("page").agg(joined("n_nationkey", "cells").alias("html"))
-    return T.paired_codes(pages, "page", "html")
+    return T.paired_codes(pages, "page", "html", 20)
 
 
 @query("archive_listing", "SELECT CAST(s_suppkey % 7 AS BIGINT) AS page, 'Area ' || s_nationkey || ' & co' AS prefecture, CAST(2012 + s_suppkey % 9 AS INTEGER) AS year, 'A40-' || CAST(12 + s_suppkey % 9 AS VARCHAR) || '_' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '_GML.zip' AS file, CAST(round((1 + s_suppkey % 900) * CASE s_suppkey % 3 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 ELSE 1073741824 END) AS BIGINT) AS bytes FROM supplier WHERE s_suppkey % 5 <> 0")
@@ -73,14 +73,15 @@ def fetch_plan(spark: SparkSession, sf: str) -> DataFrame:
 # Text files -----------------------------------------------------------------------------------------------------------
 
 
-@query("fixed_numbers", "SELECT 'Area ' || translate(CAST(n_nationkey AS VARCHAR), '0123456789', 'abcdefghij') AS name, CAST(n_nationkey * 1234 AS BIGINT) AS total, CAST(CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE n_nationkey END AS BIGINT) AS first, CAST(n_regionkey AS BIGINT) AS last FROM nation")
+@query("fixed_numbers", "SELECT 'Area ' || translate(CAST(n_nationkey AS VARCHAR), '0123456789', 'abcdefghij') AS name, CAST(n_nationkey * 1234 AS BIGINT) AS total, CAST(CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE n_nationkey END AS BIGINT) AS first, CAST(n_regionkey AS BIGINT) AS last FROM nation UNION ALL SELECT NULL, CAST(sum(n_nationkey * 1234) AS BIGINT), CAST(sum(CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE n_nationkey END) AS BIGINT), CAST(sum(n_regionkey) AS BIGINT) FROM nation")
 def fixed_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of a name and fifteen numbers, with thousands separators and dashes for nothing; titles and sums have another shape."""
+    """Lines of a name and fifteen numbers, with thousands separators and dashes for nothing; the line of sums has no name, titles have another shape."""
     k = F.col("n_nationkey")
     name = F.concat(F.lit("Area "), F.translate(k.cast("string"), "0123456789", "abcdefghij"))
     numbers = [F.format_number(k * 1234, 0), F.lit("1"), F.lit("2"), F.when(k % 4 == 0, "－").otherwise(k.cast("string")), *[F.lit("-")] * 10, F.col("n_regionkey").cast("string")]
     lines = table(spark, sf, "nation").select(F.concat_ws("  ", name, *numbers).alias("line"))
-    others = spark.createDataFrame([("Title of the table",), ("  ".join(["7"] * 15),), ("Area z 1 2 3",)], "line string")
+    sums = table(spark, sf, "nation").agg(F.format_number(F.sum(k * 1234), 0).alias("a"), F.sum(F.when(k % 4 == 0, 0).otherwise(k)).cast("string").alias("b"), F.sum("n_regionkey").cast("string").alias("c"))
+    others = spark.createDataFrame([("Title of the table",), ("Area z 1 2 3",)], "line string").unionByName(sums.select(F.concat_ws("  ", "a", F.lit("1"), F.lit("2"), "b", *[F.lit("-")] * 10, "c").alias("line")))
     return T.fixed_numbers(lines.unionByName(others), "line", 15, {"total": 0, "first": 3, "last": 14})
 
 
@@ -96,7 +97,7 @@ def footnote_names(spark: SparkSession, sf: str) -> DataFrame:
     return T.footnote_names(note.unionByName(spark.createDataFrame([("another line",)], "line string")), "line", "特定第３種漁港")
 
 
-@query("official_sums", "SELECT 'classes add up' AS gate, true AS passed UNION ALL SELECT 'the list is complete', true UNION ALL SELECT 'control: a class is missing', false")
+@query("official_sums", "WITH c AS (SELECT o_orderstatus AS class, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT n_name FROM nation WHERE n_regionkey = 1) SELECT 'classes add up' AS gate, (SELECT sum(n) FROM c) = (SELECT count(*) FROM orders) AS passed UNION ALL SELECT 'the list is complete', (SELECT count(DISTINCT n_name) FROM f) = (SELECT count(*) FROM f) UNION ALL SELECT 'control: a class is missing', (SELECT sum(n) FROM c WHERE class <> 'F') = (SELECT count(*) FROM orders)")
 def official_sums(spark: SparkSession, sf: str) -> DataFrame:
     """Printed tables agree with themselves: classes add up to the total, a footnote's list is as long as its count; the control must fail."""
     from lodestar.operators.checks import Check, report
@@ -327,13 +328,13 @@ def dataset_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return P.manifest_rows({"nations": n, "regions": table(spark, sf, "region"), "none": n.limit(0), "absent": None})
 
 
-@query("log_csv", "SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN event_type || ', \"x\"' ELSE '' END AS a, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS b FROM events WHERE event_type <> 'view'")
+@query("log_csv", "SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN event_type || ', \"x\"' ELSE '' END AS a, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS b FROM events ")
 def log_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Logs as one CSV file with the union of their keys, read back."""
-    e = table(spark, sf, "events").filter("event_type <> 'view'")
+    e = table(spark, sf, "events")
     data = F.map_filter(F.create_map(F.lit("b"), F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")), F.lit("a"), F.when(F.col("event_id") % 2 == 0, F.concat("event_type", F.lit(', "x"')))), lambda k, v: v.isNotNull())
     at = folder(spark, "csv")
-    P.csv_with_union(e.select(F.col("event_id").alias("id"), data.alias("data")), ["id"], "data", ["id"], at, "log").agg(F.sum("bytes")).collect()
+    P.csv_with_union(e.select(F.col("event_id").alias("id"), data.alias("data")), ["id"], "data", ["id"], at)
     got = spark.read.csv(at, header=True, quote='"', escape='"', encoding="UTF-8")
     first = got.columns[0]  # a byte-order mark may stand before it
     return got.select(F.col(f"`{first}`").alias("id"), F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"))

@@ -33,11 +33,19 @@ def archive_listing(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, F.col("cells")[0].alias("prefecture"), (F.regexp_extract(F.col("cells")[4], name, 1).cast("int") + 2000).alias("year"), F.col("cells")[4].alias("file"), size_bytes(F.col("cells")[3]).alias("bytes"))
 
 
-def paired_codes(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """number, name, page of areas whose number stands twice (a back reference); the first page that names one counts."""
+def paired_codes(pages: DataFrame, key: str, html: str, least: int = 0) -> DataFrame:
+    """number, name, page of areas whose number stands twice (a back reference); the first page that names one counts.
+
+    With ``least`` it raises if there are fewer areas, or if one number has two names.
+    """
     pattern = r'<td[^>]*>(\d+)</td>\s*<td[^>]*>([^<]+)</td>\s*<td[^>]*><a href="area\1\.html">'
     found = pages.select(key, F.explode(F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("number"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("name"))).alias("a"))
-    return found.groupBy(F.col("a.number").cast("int").alias("number")).agg(F.min_by("a.name", key).alias("name"), F.min(key).alias("page"))
+    out = found.groupBy(F.col("a.number").cast("int").alias("number")).agg(F.min_by("a.name", key).alias("name"), F.min(key).alias("page"), F.count_distinct("a.name").alias("names"))
+    if least:
+        n = out.agg(F.count("*").alias("n"), F.coalesce(F.max("names"), F.lit(0)).alias("names")).first()
+        if n.n < least or n.names > 1:
+            raise ValueError(f"{n.n} areas, at least {least} were expected" if n.n < least else "a number has two names")
+    return out.drop("names")
 
 
 DAILY_COLUMNS = "area string, d date, flag string, temp double"
@@ -73,11 +81,11 @@ def normal_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fixed_numbers(lines: DataFrame, column: str, n: int, picks: dict[str, int]) -> DataFrame:
-    """name and picked numbers of lines that are a name and ``n`` numbers (dashes are 0, commas go); other lines go."""
+    """name and picked numbers of lines that are a name and ``n`` numbers (dashes are 0, commas go), or numbers alone, which are sums and have no name; other lines go."""
     number = r"(?:[\d,]+|[-－―])"
-    pattern = rf"^(\D+?)\s+({number}(?:\s+{number}){{{n - 1}}})\s*$"
+    pattern = rf"^\s*(?:(\D+?)\s+)?({number}(?:\s+{number}){{{n - 1}}})\s*$"
     parts = F.split(F.regexp_extract(column, pattern, 2), r"\s+")
-    return lines.filter(F.col(column).rlike(pattern)).select(F.trim(F.regexp_extract(column, pattern, 1)).alias("name"), *[dashed_number(parts[i]).alias(k) for k, i in picks.items()])
+    return lines.filter(F.col(column).rlike(pattern)).select(F.nullif(F.trim(F.regexp_extract(column, pattern, 1)), F.lit("")).alias("name"), *[dashed_number(parts[i]).alias(k) for k, i in picks.items()])
 
 
 @F.pandas_udf(StringType())

@@ -283,7 +283,10 @@ def test_publication(spark, tmp_path):
     files = publish.one_file_per_key(df, "id", f"file://{tmp_path}/out").collect()
     assert sorted(r.key for r in files) == ["1", "2"] and (tmp_path / "out/1.json").read_text() == '{"id":1,"name":"é","v":null}'
     assert all(r.bytes == len((tmp_path / f"out/{r.key}.json").read_bytes()) for r in files)
-    assert publish.with_bom_csv(df.orderBy("id"), ["name", "v"]) == "﻿name,v\né,\nb,0\n"
+    records = df.select("id", F.map_from_arrays(F.array("name"), F.array(F.lit('x, "y"'))).alias("data"))
+    assert publish.csv_with_union(records, ["id"], "data", ["id"], f"file://{tmp_path}/csv") == ["id", "é", "b"]
+    parts = [f.read_bytes().decode() for f in sorted((tmp_path / "csv").glob("part-*.csv"))]
+    assert "".join(x.removeprefix("\ufeffid,é,b\n") for x in parts) == '1,"x, ""y""",\n2,,"x, ""y"""\n'
     assert publish.manifest({"a": df, "b": None}) == '{"a": {"rows": 2}}'
     assert publish.forbidden(df, ["v", "w"]) == ["v"]
     assert [r.id for r in publish.missing_parts(df, df.filter("id = 1"), "id").collect()] == [2]
