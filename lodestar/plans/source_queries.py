@@ -12,6 +12,7 @@ from lodestar.functions import columns as C
 from lodestar.operators import oplog as O
 from lodestar.operators import publish as P
 from lodestar.operators import spatial as G
+from lodestar.sources import shape_source as R
 from lodestar.sources import shapes as S
 from lodestar.sources import text as T
 
@@ -48,7 +49,7 @@ def paired_codes(spark: SparkSession, sf: str) -> DataFrame:
     return T.paired_codes(pages, "page", "html", 20)
 
 
-@query("archive_listing", "SELECT CAST(s_suppkey % 7 AS BIGINT) AS page, 'Area ' || s_nationkey || ' & co' AS prefecture, CAST(2012 + s_suppkey % 9 AS INTEGER) AS year, 'A40-' || CAST(12 + s_suppkey % 9 AS VARCHAR) || '_' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '_GML.zip' AS file, CAST(round((1 + s_suppkey % 900) * CASE s_suppkey % 3 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 ELSE 1073741824 END) AS BIGINT) AS bytes FROM supplier WHERE s_suppkey % 5 <> 0")
+@query("archive_listing", "SELECT CAST(s_suppkey // 20 AS BIGINT) AS page, 'Area ' || s_nationkey || ' & co' AS prefecture, CAST(2012 + s_suppkey % 9 AS INTEGER) AS year, 'A40-' || CAST(12 + s_suppkey % 9 AS VARCHAR) || '_' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '_GML.zip' AS file, CAST(round((1 + s_suppkey % 900) * CASE s_suppkey % 3 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 ELSE 1073741824 END) AS BIGINT) AS bytes FROM supplier WHERE s_suppkey % 5 <> 0")
 def archive_listing(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a page's table that name an archive: entities, tags within cells and sizes in three units; other rows are left out."""
     k = F.col("s_suppkey")
@@ -56,7 +57,7 @@ def archive_listing(spark: SparkSession, sf: str) -> DataFrame:
     name = F.when(k % 5 == 0, F.concat(F.lit("A40-"), k, F.lit(".pdf"))).otherwise(F.concat(F.lit("A40-"), 12 + k % 9, F.lit("_"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"), F.lit("_GML.zip")))
     cells = [F.concat(F.lit("<b>Area "), "s_nationkey", F.lit("</b> &amp;\n co")), F.lit("-"), F.lit("2024"), F.concat((1 + k % 900).cast("string"), unit), name]
     row = F.concat(F.lit("<tr class=r>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
-    pages = table(spark, sf, "supplier").select((k % 7).alias("page"), k.alias("k"), row.alias("row")).groupBy("page").agg(joined("k", "row").alias("html"))
+    pages = table(spark, sf, "supplier").select(F.floor(k / 20).alias("page"), k.alias("k"), row.alias("row")).groupBy("page").agg(joined("k", "row").alias("html"))
     return T.archive_listing(pages, "page", "html")
 
 
@@ -109,13 +110,13 @@ def official_sums(spark: SparkSession, sf: str) -> DataFrame:
     return report([Check("classes add up", off(classes)), Check("the list is complete", listed.filter("n <> said")), Check("control: a class is missing", off(classes.filter("o_orderstatus <> 'F'")))])
 
 
-DAILY = """o AS (SELECT o_custkey % 6 AS area, CAST(o_orderdate AS DATE) AS d, min(o_totalprice) % 30 AS temp, min(o_orderkey) AS k FROM orders GROUP BY 1, 2),
+DAILY = """o AS (SELECT o_custkey // 250 AS area, CAST(o_orderdate AS DATE) AS d, min(o_totalprice) % 30 AS temp, min(o_orderkey) AS k FROM orders GROUP BY 1, 2),
 r AS (SELECT *, CASE WHEN k % 50 = 1 THEN 'columns' WHEN k % 50 = 2 THEN 'area' WHEN k % 50 = 3 THEN 'date' WHEN k % 50 = 4 THEN 'flag' WHEN k % 50 = 5 THEN 'value' WHEN k % 50 = 6 THEN 'range' WHEN k % 50 = 7 THEN 'duplicate' WHEN k % 50 = 8 THEN 'missing' END AS reason FROM o)"""
 
 
 def _daily(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Daily files of six areas in which every fiftieth line or so has each of the known faults."""
-    o = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 6).alias("area"), F.col("o_orderdate").cast("date").alias("d")).agg((F.min("o_totalprice") % 30).alias("temp"), F.min("o_orderkey").alias("k"))
+    """Daily files, one for each 250 customers, in which every fiftieth line or so has each of the known faults."""
+    o = table(spark, sf, "orders").groupBy(F.floor(F.col("o_custkey") / 250).alias("area"), F.col("o_orderdate").cast("date").alias("d")).agg((F.min("o_totalprice") % 30).alias("temp"), F.min("o_orderkey").alias("k"))
     k = F.col("k") % 50
     area = F.when(k == 2, F.lit("77")).otherwise(F.col("area").cast("string"))
     temp = F.when(k == 5, F.lit("warm")).when(k == 6, F.lit("99.5")).when(k == 8, F.lit("-9999")).otherwise(F.round("temp", 2).cast("string"))
@@ -180,15 +181,15 @@ def declared_encodings(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"x(\d+)\.xml$", 1).cast("int").alias("id"), F.regexp_extract("text", "<note>([^<]*なお、)", 1).alias("note"), F.regexp_extract("text", 'encoding="([^"]+)"', 1).alias("encoding"))
 
 
-JSONL = "SELECT 'log' || CAST(user_id % 3 AS VARCHAR) AS file, CAST(row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS BIGINT) AS line, event_id, event_type FROM events"
+JSONL = "SELECT 'log' || CAST(event_id // 400 AS VARCHAR) AS file, CAST(row_number() OVER (PARTITION BY event_id // 400 ORDER BY event_id) AS BIGINT) AS line, event_id, event_type FROM events"
 
 
 def _logs(spark: SparkSession, sf: str) -> str:
-    """JSON lines of events in three files; every seventh is broken, every eleventh has a blank line before it."""
+    """JSON lines of events in files of four hundred; every seventh is broken, every eleventh has a blank line before it."""
     e = table(spark, sf, "events")
     record = F.to_json(F.struct(F.lit("1").alias("v"), F.col("event_id").cast("string").alias("loop_id"), F.col("event_type").alias("event")))
     line = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), "event_id")).otherwise(record)
-    lines = e.select(F.concat(F.lit("log"), F.col("user_id") % 3).alias("key"), "event_id", line.alias("line"))
+    lines = e.select(F.concat(F.lit("log"), F.floor(F.col("event_id") / 400)).alias("key"), "event_id", line.alias("line"))
     return placed(spark, lines.groupBy("key").agg(joined("event_id", "line").alias("body")), "jsonl", ".jsonl")
 
 
@@ -196,7 +197,7 @@ def _logs(spark: SparkSession, sf: str) -> str:
 def jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Records with their line numbers; lines that are no JSON have none."""
     got = O.read_jsonl(spark, _logs(spark, sf))
-    return got.select(F.regexp_extract("file", r"(log\d)\.jsonl$", 1).alias("file"), "line", F.col("record.loop_id").cast("long").alias("id"), F.col("record.event").alias("event"))
+    return got.select(F.regexp_extract("file", r"(log\d+)\.jsonl$", 1).alias("file"), "line", F.col("record.loop_id").cast("long").alias("id"), F.col("record.event").alias("event"))
 
 
 @query("json_documents", "SELECT n_nationkey AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation")
@@ -211,32 +212,39 @@ def json_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _archives(spark: SparkSession, sf: str, kind: int) -> str:
-    """A zipped shapefile for each version of the boxes, with names in one of two encodings."""
+    """A zipped shapefile for each version of each two hundred boxes, with names in one of two encodings."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ring = lambda r: [[[r["x0"], r["y0"]], [r["x1"], r["y0"]], [r["x1"], r["y1"]], [r["x0"], r["y1"]], [r["x0"], r["y0"]]]]
-                data = S.archive(f"v{key}", [(r["box_id"], f"約{r['rank']}m", ring(r)) for r in rows], ["ID", "LABEL"], "utf-8" if key % 2 else "cp932", kind)
-                yield pa.RecordBatch.from_arrays([pa.array([str(key)]), pa.array([data], pa.binary())], ["key", "body"])
+                data = S.archive(f"v{key}", [(r["box_id"], f"約{r['rank']}m", ring(r)) for r in rows], ["ID", "LABEL"], "utf-8" if int(key[-1]) % 2 else "cp932", kind)
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([data], pa.binary())], ["key", "body"])
 
     b = geo_queries.boxes(spark, sf)
-    groups = b.groupBy("version").agg(F.array_sort(F.collect_list(F.struct("box_id", "rank", "x0", "y0", "x1", "y1"))).alias("rows"))
+    groups = b.groupBy(F.concat_ws("-", F.floor(F.col("box_id") / 200), "version").alias("key")).agg(F.array_sort(F.collect_list(F.struct("box_id", "rank", "x0", "y0", "x1", "y1"))).alias("rows"))
     return placed(spark, groups.mapInArrow(pack, "key string, body binary"), "shapes", ".zip")
 
 
-@query("archive_shapes", f"WITH {geo_queries.BOXES} SELECT version, CAST(row_number() OVER (PARTITION BY version ORDER BY box_id) - 1 AS BIGINT) AS record, box_id, '約' || rank || 'm' AS label, x0, y0, x1, y1, CAST(5 AS BIGINT) AS points FROM boxes")
+@query("archive_shapes", f"WITH {geo_queries.BOXES} SELECT version, CAST(row_number() OVER (PARTITION BY version, box_id // 200 ORDER BY box_id) - 1 AS BIGINT) AS record, box_id, '約' || rank || 'm' AS label, x0, y0, x1, y1, CAST(5 AS BIGINT) AS points FROM boxes")
 def archive_shapes(spark: SparkSession, sf: str) -> DataFrame:
     """Polygons with their attributes from zipped shapefiles; the text's encoding is told by its content."""
     s = S.read_archives(spark, _archives(spark, sf, 5))
-    return s.select(F.regexp_extract("path", r"(\d+)\.zip$", 1).cast("int").alias("version"), "record", F.col("attributes")["ID"].cast("long").alias("box_id"), F.col("attributes")["LABEL"].alias("label"), "x0", "y0", "x1", "y1", F.size(F.element_at("rings", 1)).cast("long").alias("points"))
+    return s.select(F.regexp_extract("path", r"-(\d+)\.zip$", 1).cast("int").alias("version"), "record", F.col("attributes")["ID"].cast("long").alias("box_id"), F.col("attributes")["LABEL"].alias("label"), "x0", "y0", "x1", "y1", F.size(F.element_at("rings", 1)).cast("long").alias("points"))
 
 
-@query("header_boxes", f"WITH {geo_queries.BOXES} SELECT version, CAST(row_number() OVER (PARTITION BY version ORDER BY box_id) - 1 AS BIGINT) AS record, x0, y0, x1, y1 FROM boxes")
+@query("header_boxes", f"WITH {geo_queries.BOXES} SELECT version, CAST(row_number() OVER (PARTITION BY version, box_id // 200 ORDER BY box_id) - 1 AS BIGINT) AS record, x0, y0, x1, y1 FROM boxes")
 def header_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes alone, from record headers."""
     s = S.read_boxes(spark, _archives(spark, sf, 5))
-    return s.select(F.regexp_extract("path", r"(\d+)\.zip$", 1).cast("int").alias("version"), "record", "x0", "y0", "x1", "y1")
+    return s.select(F.regexp_extract("path", r"-(\d+)\.zip$", 1).cast("int").alias("version"), "record", "x0", "y0", "x1", "y1")
+
+
+@query("shapes_in_box", f"WITH {geo_queries.BOXES} SELECT version, CAST(row_number() OVER (PARTITION BY version, box_id // 200 ORDER BY box_id) - 1 AS BIGINT) AS record, box_id, '約' || rank || 'm' AS label, CAST(5 AS BIGINT) AS points, x0, y0, x1, y1 FROM boxes QUALIFY x1 >= 137.01 AND x0 <= 137.02 AND y1 >= 35.01 AND y0 <= 35.02")
+def shapes_in_box(spark: SparkSession, sf: str) -> DataFrame:
+    """Polygons whose boxes touch a window: the filter reaches the source, which reads only their bodies and attributes."""
+    s = R.scan(spark, _archives(spark, sf, 5), columns=["ID", "LABEL"]).filter("x1 >= 137.01 and x0 <= 137.02 and y1 >= 35.01 and y0 <= 35.02")
+    return s.select(F.regexp_extract("path", r"-(\d+)\.zip$", 1).cast("int").alias("version"), "record", F.col("attributes")["ID"].cast("long").alias("box_id"), F.col("attributes")["LABEL"].alias("label"), F.size(F.element_at("rings", 1)).cast("long").alias("points"), "x0", "y0", "x1", "y1")
 
 
 @query("boundary_means", f"WITH {geo_queries.BOXES} SELECT rank AS code, round(avg((3 * x0 + 2 * x1) / 5), 6) AS lon, round(avg((3 * y0 + 2 * y1) / 5), 6) AS lat, count(*) AS lines FROM boxes GROUP BY 1")
