@@ -57,5 +57,5 @@ def test_protocols_are_whole(spark):
 
     assert {r.seed for r in QUERIES["seed_robustness"](spark, SF).select("seed").collect()} == {1, 2, 3, 4, 20260914}
     assert [signature(f).parameters[a].default for f in (metrics.cross_validated, metrics.seed_spread) for a in ("folds", "repeats")] == [5, 5, 5, 5]
-    assert [signature(metrics.boosted).parameters[a].default for a in ("rounds", "rate")] == [300, 0.05]
+    assert [signature(metrics.boosted).parameters[a].default for a in ("rounds", "rate", "bins")] == [300, 0.05, 255]
     assert sum(r.model.startswith("logistic") for r in QUERIES["cross_validation"](spark, SF).select("model").collect()) == 3
