@@ -319,6 +319,15 @@ def square(x0: float, y0: float, x1: float, y1: float) -> Polygon:
     return [np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], np.float64)]
 
 
+def _box(region: list[Polygon]) -> np.ndarray:
+    points = np.concatenate([np.zeros((0, 2)), *[r for p in region for r in p]])
+    return np.concatenate([points.min(axis=0), points.max(axis=0)]) if len(points) else np.array([np.inf, np.inf, -np.inf, -np.inf])
+
+
+def _within(inner: np.ndarray, outer: tuple[float, float, float, float]) -> bool:
+    return bool(inner[0] >= outer[0] and inner[1] >= outer[1] and inner[2] <= outer[2] and inner[3] <= outer[3])
+
+
 def tiles(rings: Column, size: float) -> Column:
     """The tiles (structs tx, ty) of a grid that a polygon's box touches."""
     xs, ys = F.transform(F.flatten(rings), lambda p: p[0]), F.transform(F.flatten(rings), lambda p: p[1])
@@ -331,6 +340,12 @@ def _fields(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in as many partitions as shuffles have, or as there are cores: a polygon is few bytes but much work, so small partitions must not be put together."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def dissolved(parts: DataFrame, keys: list[str], tile: float) -> DataFrame:
     """The union of polygons per group of keys, tile by tile: keys, tx, ty, part, rings, area, perimeter (on a tile's first part: what the tile holds of the
     union's border, without the tile's own).
@@ -348,13 +363,13 @@ def dissolved(parts: DataFrame, keys: list[str], tile: float) -> DataFrame:
         whole = overlay(as_region(pdf["rings"]), [], "union")
         edge = length_within(whole, *box)
         rows = []
-        for k, p in enumerate(overlay(whole, [square(*box)], "intersection")):
+        for k, p in enumerate(whole if _within(_box(whole), box) else overlay(whole, [square(*box)], "intersection")):
             rows.append({**{c: pdf[c].iloc[0] for c in [*keys, "tx", "ty"]}, "part": k, "rings": as_rings(p), "area": region_area([p]), "perimeter": 0.0 if k else edge})
         if edge and not rows:
             rows.append({**{c: pdf[c].iloc[0] for c in [*keys, "tx", "ty"]}, "part": 0, "rings": [], "area": 0.0, "perimeter": edge})
         return pd.DataFrame(rows, columns=[*keys, "tx", "ty", "part", "rings", "area", "perimeter"])
 
-    return dealt.groupBy(*keys, "tx", "ty").applyInPandas(union, f"{_fields(dealt, [*keys, 'tx', 'ty'])}, part int, rings {RINGS}, area double, perimeter double")
+    return _dealt(dealt, *keys, "tx", "ty").groupBy(*keys, "tx", "ty").applyInPandas(union, f"{_fields(dealt, [*keys, 'tx', 'ty'])}, part int, rings {RINGS}, area double, perimeter double")
 
 
 def newest_first(parts: DataFrame, keys: list[str], object_id: str, version: str, tile: float) -> DataFrame:
@@ -368,15 +383,23 @@ def newest_first(parts: DataFrame, keys: list[str], object_id: str, version: str
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
-        window = [square(tx * tile, ty * tile, (tx + 1) * tile, (ty + 1) * tile)]
-        newer: list[Polygon] = []
+        box = (tx * tile, ty * tile, (tx + 1) * tile, (ty + 1) * tile)
+        newer, boxes = [], np.zeros((0, 4))
         rows = []
         for _, g in sorted(pdf.groupby(version), key=lambda x: x[0], reverse=True):
-            cut = [overlay([p], window, "intersection") for p in as_region(g["rings"])]
-            for row, region in zip(g.itertuples(index=False), cut, strict=True):
-                for k, p in enumerate(overlay(region, newer, "difference") if newer else region):
-                    rows.append({**{c: getattr(row, c) for c in [*names, "tx", "ty"]}, "part": k, "rings": as_rings(p), "area": region_area([p])})
-            newer = overlay(newer, [p for region in cut for p in region], "union")
+            fresh = []
+            for row, p in zip(g.itertuples(index=False), as_region(g["rings"]), strict=True):
+                mine = _box([p])
+                # Only polygons whose boxes meet can clip; they may overlap each other.
+                met = np.flatnonzero((boxes[:, 0] <= mine[2]) & (mine[0] <= boxes[:, 2]) & (boxes[:, 1] <= mine[3]) & (mine[1] <= boxes[:, 3]))
+                left = overlay([p], [newer[i] for i in met], "difference")
+                if not _within(mine, box):
+                    left = overlay(left, [square(*box)], "intersection")
+                for k, part in enumerate(left):
+                    rows.append({**{c: getattr(row, c) for c in [*names, "tx", "ty"]}, "part": k, "rings": as_rings(part), "area": region_area([part])})
+                fresh.append((p, mine))
+            newer += [p for p, _ in fresh]
+            boxes = np.vstack([boxes, *[b for _, b in fresh]])
         return pd.DataFrame(rows, columns=[*names, "tx", "ty", "part", "rings", "area"])
 
-    return dealt.groupBy(*keys, "tx", "ty").applyInPandas(fold, f"{_fields(dealt, [*names, 'tx', 'ty'])}, part int, rings {RINGS}, area double")
+    return _dealt(dealt, *keys, "tx", "ty").groupBy(*keys, "tx", "ty").applyInPandas(fold, f"{_fields(dealt, [*names, 'tx', 'ty'])}, part int, rings {RINGS}, area double")
