@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import numbered
+from .stages import kept
 
 
 def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,42 +31,191 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
-def nearest(vectors: DataFrame, k: int, lattice: float = 1e-9, block: int = 2048, columns: slice | None = None) -> DataFrame:
-    """src, rank, dst, distance: all rows against all rows, in blocks; ties within ``lattice`` go to the smaller id.
+def nearest(vectors: DataFrame, k: int, lattice: float = 1e-9, block: int = 1024, columns: slice | None = None) -> DataFrame:
+    """src, rank, dst, distance: of all rows the k nearest others, exactly; ties within ``lattice`` go to the smaller id. ``vectors`` has id and vec.
 
-    ``vectors`` has id and vec. Rows are dealt to blocks, each pair of blocks is one group of bounded size that keeps
-    k rows per source, and the k best of those are merged. Distances are sums of squared differences, so equal rows have 0.
+    Rows are stored by their nearest pivot (a cell) and by their distance to it (rings of a cell). What a row's own cell says of its kth distance closes most rings by the
+    triangle inequality; only rows and rings that remain meet, in groups of bounded size, so a row is copied once per ring that it can't rule out: n / ``block`` times where
+    vectors have no structure, far fewer where they have. Pivots (1024 at most) and rings (32 a cell) are all that is broadcast.
+    Equal vectors are searched once and known by their k + 1 smallest ids, as no other copy can be among k neighbours; each row then leaves itself out.
+
+    Vectors are of one length; those that are null, or hold a null or a number that isn't finite, take no part. An empty table gives no rows, fewer than k others give all.
     """
-    n = vectors.count()
-    parts = max(1, -(-n // block))
-    dealt = vectors.select(F.col("id").cast("long"), "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    a = dealt.select("id", "vec", F.col("b").alias("i"), every.alias("j"), F.lit(True).alias("src"))
-    b = dealt.select("id", "vec", every.alias("i"), F.col("b").alias("j"), F.lit(False).alias("src"))
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        src, dst = pdf[pdf["src"]], pdf[~pdf["src"]]
-        if src.empty or dst.empty:
-            return pd.DataFrame({"src": [], "dst": [], "distance": []})
-        x, y = (np.array(p["vec"].tolist(), dtype=np.float64)[:, columns or slice(None)] for p in (src, dst))
-        si, di = src["id"].to_numpy(), dst["id"].to_numpy()
+    vec = F.col("vec") if columns is None else F.slice("vec", (columns.start or 0) + 1, columns.stop - (columns.start or 0))
+    fine = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = vectors.filter(F.col("vec").isNotNull()).filter(fine).select(F.col("id").cast("long"), vec.alias("vec"))
+    first = Window.partitionBy("vec").orderBy("id")
+    copies = rows.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    found = best_of(kept(copies.select(F.col("ids")[0].alias("key"), "vec", "ids")), k + 1, lattice, block)
+    # At most k + 1 entries each; rows of a vector that many share are split by Spark's handling of skewed joins.
+    lists = found.groupBy("key", "vec").agg(F.array_sort(F.collect_list(F.struct("far", "dst", "distance"))).alias("best"))
+    others = F.slice(F.filter("best", lambda e: e["dst"] != F.col("id")), 1, k)
+    return rows.join(lists, "vec").select(F.col("id").alias("src"), F.posexplode(others).alias("i", "e")).select("src", (F.col("i") + 1).cast("long").alias("rank"), "e.dst", "e.distance")
+
+
+def _arrays(pdf: pd.DataFrame) -> np.ndarray:
+    return np.array(pdf["vec"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+
+
+def _best_entries(d: np.ndarray, ids: list[np.ndarray], k: int, lattice: float, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, lattice point, id and distance of each row's k best of the columns' ids, none beyond ``most``."""
+    far = np.floor(d / lattice + 0.5)
+    at = min(k, far.shape[1]) - 1
+    row, col = np.nonzero(far <= np.minimum(np.partition(far, at, axis=1)[:, at], most)[:, None])
+    n = np.array([len(i) for i in ids])
+    every = np.concatenate(ids)
+    start = np.cumsum(n) - n
+    again = np.repeat(np.arange(len(row)), n[col])
+    dst = every[start[col][again] + np.arange(len(again)) - np.repeat(np.cumsum(n[col]) - n[col], n[col])]
+    row, col = row[again], col[again]
+    order = np.lexsort((dst, far[row, col], row))
+    row, col, dst = row[order], col[order], dst[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, col, dst = row[keep], col[keep], dst[keep]
+    return row, far[row, col], dst, d[row, col]
+
+
+class Rings:
+    """What a search must know of all rows: pivots, and of each ring its cell, its least and largest distance to the pivot and its number of rows."""
+
+    def __init__(self, pivots: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray, rows: np.ndarray) -> None:
+        self.pivots, self.cell, self.low, self.high, self.rows = pivots, cell, low, high, rows
+        self.apart = distances(pivots, pivots)
+
+    def left(self, x: np.ndarray, own: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which rings (columns) may hold something within ``most`` of each row: by the annulus, and by the plane halfway between the row's own pivot and the ring's."""
+        to = distances(x, self.pivots)
+        mine = to[np.arange(len(x)), own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (to**2 - mine[:, None] ** 2) / (2 * self.apart[own])
+        plane = np.where(self.apart[own] > 0, plane, 0.0)
+        d = to[:, self.cell]
+        least = np.maximum.reduce([plane[:, self.cell], d - self.high, self.low - d])
+        # Bounds and distances are rounded; what is within that is looked at.
+        return least <= most[:, None] + 1e-9 * (1 + most[:, None] + d)
+
+
+def best_of(copies: DataFrame, k: int, lattice: float, block: int, count: Callable[[str, int], None] | None = None) -> DataFrame:
+    """key, vec, far (lattice point), dst, distance: the k best ids for each of the different vectors (key, vec, ids), its own among them.
+
+    ``copies`` must be a table that was written, as it is read several times. ``count`` is told the pairs that were compared, for measurements.
+    """
+    spark = copies.sparkSession
+    n = copies.count()
+    many = max(1, min(1024, -(-n // block)))
+    pivots = np.array([r.vec for r in copies.orderBy(F.xxhash64("key"), "key").select("vec").limit(many).collect()], dtype=np.float64)
+    schema = "key long, vec array<double>, ids array<long>, cell int, r double"
+    if not n:
+        return spark.createDataFrame([], "key long, vec array<double>, far double, dst long, distance double")
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def placed(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in pdfs:
+            if len(p):
+                x = _arrays(p)
+                d = np.concatenate([distances(x[at : at + 512], sent.value) for at in range(0, len(x), 512)])
+                yield p.assign(cell=d.argmin(axis=1), r=d.min(axis=1))
+
+    stored = kept(copies.mapInPandas(placed, schema))
+    steps = 32
+    cells = stored.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("r", [i / steps for i in range(steps + 1)], 1000).alias("q"), F.max("r").alias("top")).collect()
+    ends = {}
+    for c in cells:
+        rings = min(steps, -(-c.n // block))
+        ends[c.cell] = [*sorted({c.q[i * steps // rings] for i in range(1, rings)} - {c.top}), c.top]
+    edges = spark.createDataFrame(sorted(ends.items()), "cell int, ends array<double>")
+    # A ring's number within its cell is how many ends are below the distance.
+    ringed = stored.join(F.broadcast(edges), "cell").withColumn("ring", F.size(F.filter("ends", lambda e: e < F.col("r")))).drop("ends")
+    sizes = sorted((r.cell, r.ring, r.low, r.high, r.n) for r in ringed.groupBy("cell", "ring").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).collect())
+    index = Rings(pivots, *(np.array(v) for v in zip(*((c, lo, hi, m) for c, _, lo, hi, m in sizes), strict=True)))
+    held = spark.sparkContext.broadcast(index)
+    cell_parts = spark.createDataFrame(sorted((c.cell, -(-c.n // block)) for c in cells), "cell int, parts int")
+
+    def seed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The lattice point that k ids of a row's own part of its cell are within."""
+        x, copies_of = _arrays(pdf), pdf["ids"].map(len).to_numpy()
+        most = np.full(len(x), np.inf)
+        if copies_of.sum() >= k:
+            square = (x**2).sum(axis=1)
+            for at in range(0, len(x), 256):
+                # Products are fast but rounded: what that may hide is added, as this is only a bound.
+                size = square[at : at + 256, None] + square
+                far = np.sqrt(np.maximum(size - 2 * x[at : at + 256] @ x.T, 0) + 1e-12 * size)
+                near = np.argpartition(far, min(k, len(x)) - 1, axis=1)[:, :k]
+                near = np.take_along_axis(near, np.take_along_axis(far, near, axis=1).argsort(axis=1), axis=1)
+                enough = (copies_of[near].cumsum(axis=1) >= k).argmax(axis=1)
+                most[at : at + 256] = np.floor(far[np.arange(len(far)), near[np.arange(len(far)), enough]] / lattice + 1.5)
+        return pdf[["key", "vec", "ids", "cell", "r"]].assign(most=most)
+
+    seeded = kept(stored.join(F.broadcast(cell_parts), "cell").groupBy("cell", F.pmod(F.xxhash64("key"), F.col("parts"))).applyInPandas(seed, f"{schema}, most double"))
+
+    def open_rings(p: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Rows from a place on, the rings that are left to each, and what bounds them."""
+        rings = held.value
+        cell_rows = np.bincount(rings.cell, rings.rows, len(rings.pivots))
+        cell_high = np.zeros(len(rings.pivots))
+        np.maximum.at(cell_high, rings.cell, rings.high)
+        x, own, most = _arrays(p), p["cell"].to_numpy(), p["most"].to_numpy().copy()
+        for at in range(0, len(x), 128):
+            some = slice(at, at + 128)
+            bound = (most[some] + 1) * lattice
+            poor = np.flatnonzero(np.isinf(bound))
+            if len(poor):
+                # Cells near enough to hold k rows for certain bound the kth distance of a row whose cell has too few.
+                reach = distances(x[some][poor], rings.pivots) + cell_high
+                order = reach.argsort(axis=1)
+                enough = cell_rows[order].cumsum(axis=1) >= k
+                at_least = reach[np.arange(len(poor)), order[np.arange(len(poor)), enough.argmax(axis=1)]]
+                bound[poor] = np.where(enough.any(axis=1), at_least + lattice, np.inf)
+                most[some][poor] = np.floor(bound[poor] / lattice + 1.5)
+            yield at, rings.left(x[some], own[some], bound), most[some]
+
+    def visits(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(held.value.cell), np.int64)
+        for p in pdfs:
+            if len(p):
+                for _, left, _ in open_rings(p):
+                    total += left.sum(axis=0)
+        yield pd.DataFrame({"g": np.flatnonzero(total), "n": total[total > 0]})
+
+    visited = {r.g: r.n for r in seeded.mapInPandas(visits, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    if count is not None:
+        count("pairs", sum(m * sizes[g][4] for g, m in visited.items()))
+        count("rows", n)
+    cuts = [(c, ring, g, -(-m // block), -(-visited.get(g, 0) // (4 * block))) for g, (c, ring, _, _, m) in enumerate(sizes)]
+    groups = spark.createDataFrame(cuts, "cell int, ring int, g int, dparts int, qparts int")
+    shares = spark.sparkContext.broadcast(np.array(cuts)[:, 3:])
+
+    def routed(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in pdfs:
+            if not len(p):
+                continue
+            for at, left, most in open_rings(p):
+                row, g = np.nonzero(left)
+                some = p.iloc[at + row]
+                yield pd.DataFrame({"key": some["key"].to_numpy(), "vec": some["vec"].to_numpy(), "g": g, "most": most[row], "dparts": shares.value[g, 0], "qparts": shares.value[g, 1]})
+
+    queries = seeded.mapInPandas(routed, "key long, vec array<double>, g int, most double, dparts int, qparts int")
+    part = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = queries.select("g", part("qparts").alias("qp"), each("dparts").alias("dp"), "key", "vec", F.lit(None).cast("array<long>").alias("ids"), "most")
+    b = ringed.join(F.broadcast(groups), ["cell", "ring"]).filter("qparts > 0").select("g", part("dparts").alias("dp"), each("qparts").alias("qp"), "key", "vec", "ids", F.lit(None).cast("double").alias("most"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask = pdf["ids"].isna()
+        q, y = pdf[ask], pdf[~ask]
         out = []
-        for at in range(0, len(x), 256):
-            d = distances(x[at : at + 256], y)
-            d[si[at : at + 256, None] == di[None, :]] = np.inf
-            far = np.floor(d / lattice + 0.5)
-            # Those within the kth best, ties too; only they are sorted.
-            row, col = np.nonzero((far <= np.partition(far, min(k, len(di)) - 1, axis=1)[:, min(k, len(di)) - 1 : min(k, len(di))]) & np.isfinite(d))
-            order = np.lexsort((di[col], far[row, col], row))
-            row, col = row[order], col[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[place < k], col[place < k]
-            out.append(pd.DataFrame({"src": si[at + row], "dst": di[col], "distance": d[row, col]}))
-        return pd.concat(out)
-
-    found = a.unionByName(b).groupBy("i", "j").applyInPandas(pair, "src long, dst long, distance double")
-    w = Window.partitionBy("src").orderBy(F.floor(F.col("distance") / lattice + 0.5), "dst")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("src", "rank", "dst", "distance")
+        if len(q) and len(y):
+            x, z, most = _arrays(q), _arrays(y), q["most"].to_numpy()
+            ids = [np.asarray(i, np.int64) for i in y["ids"]]
+            for at in range(0, len(x), 256):
+                row, far, dst, d = _best_entries(distances(x[at : at + 256], z), ids, k, lattice, most[at : at + 256])
+                out.append(pd.DataFrame({"key": q["key"].to_numpy()[at + row], "vec": q["vec"].to_numpy()[at + row], "far": far, "dst": dst, "distance": d}))
+        return pd.concat(out) if out else pd.DataFrame({"key": [], "vec": [], "far": [], "dst": [], "distance": []})
+
+    met = a.unionByName(b).groupBy("g", "qp", "dp").applyInPandas(meet, "key long, vec array<double>, far double, dst long, distance double")
+    best = Window.partitionBy("key").orderBy("far", "dst")
+    return met.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= k).drop("i")
 
 
 def agreement(pairs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
