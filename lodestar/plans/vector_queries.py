@@ -185,6 +185,14 @@ def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(_MEASURED[known], schema)
 
 
+@query("models_over_partitions")
+def models_over_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """model, class, recall over five folds of models whose rows stay in their partitions: logistic regression, and a perceptron of 100 rounds. Tested against the same in one process."""
+    p = _dims(spark, sf).withColumn("label", (F.col("label") % 5).cast("int"))
+    oof = X.out_of_fold(p, "id", "label", _DIMS, [0, 1, 2, 3, 4], 5, 1, ("logistic", "perceptron"), spread=("logistic", "perceptron"), rounds=100)
+    return oof.groupBy("model", F.col("truth").alias("class")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("truth") == F.col("pred")).cast("double")), 6).alias("recall"))
+
+
 @query("model_gate")
 def model_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the best model beats the constant one by the margin agreed on beforehand."""
