@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -93,6 +94,25 @@ def trends(points: DataFrame, key: str, x: str, y: str, min_points: int = 10, wi
     return out.withColumn("p", t_p_value("t", (F.col("n") - 2).cast("double"))) if with_p else out
 
 
+def trends_by_moments(points: DataFrame, key: str, x: str, y: str, min_points: int = 10) -> DataFrame:
+    """key, n, slope, intercept, se a second way: sums of products around each key's means, residuals from them instead of from the rows. Keys with too few points go."""
+    both = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    means = both.groupBy(key).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    a, b = F.col(x) - F.col("mx"), F.col(y) - F.col("my")
+    m = both.join(means, key).groupBy(key, "mx", "my").agg(F.count("*").alias("n"), F.sum(a * a).alias("aa"), F.sum(a * b).alias("ab"), F.sum(b * b).alias("bb")).filter((F.col("n") >= min_points) & (F.col("aa") > 0))
+    slope = F.col("ab") / F.col("aa")
+    left = F.greatest(F.lit(0.0), F.col("bb") - slope * F.col("ab"))
+    return m.select(key, "n", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), F.sqrt(left / (F.col("n") - 2) / F.col("aa")).alias("se"))
+
+
+def agreeing(a: DataFrame, b: DataFrame, key: str, columns: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """One row: n keys of either, how many of them are in both with every column within ``tolerance`` of its size (of 1, if that is larger), whether all are."""
+    near = lambda c: F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= tolerance * F.greatest(F.lit(1.0), F.abs(F.col(f"a.{c}")))
+    both = a.alias("a").join(b.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"), "full")
+    ok = reduce(lambda p, q: p & q, [F.coalesce(near(c), F.lit(False)) for c in columns])
+    return both.agg(F.count("*").alias("n"), F.count_if(ok).alias("agree")).withColumn("passed", F.col("n") == F.col("agree"))
+
+
 def climatology(days: DataFrame, first_year: int, last_year: int, window: int = 5, q: float = 0.9, cycle: int = 365, most: int = 100_000) -> DataFrame:
     """key, doy, mean, threshold over the days of the base years within ``window`` days of the year, which is a circle.
 

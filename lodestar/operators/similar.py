@@ -245,6 +245,18 @@ def boundary_ties(pairs: DataFrame, k: int, lattice: float) -> DataFrame:
     return at.agg(F.count_if((F.col("rank") == k) & (F.floor(F.col("distance") / lattice + 0.5) == F.floor(F.col("next") / lattice + 0.5))).alias("ties"), F.count_if((F.col("rank") == 1) & (F.col("distance") == 0)).alias("zero"))
 
 
+def audited(pairs: DataFrame, vectors: DataFrame, lattice: float = 1e-9) -> DataFrame:
+    """One row on a search's pairs, measured a second way as columns: n, how many distances are off by more than ``lattice``, and how many stand before a nearer one (ties: a smaller id)."""
+    a, b = vectors.select(F.col("id").alias("src"), F.col("vec").alias("x")), vectors.select(F.col("id").alias("dst"), F.col("vec").alias("y"))
+    again = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    far = lambda c: F.floor(F.col(c) / lattice + 0.5)
+    measured = pairs.join(a, "src").join(b, "dst").select("src", "rank", "dst", "distance", again.alias("again"))
+    w = Window.partitionBy("src").orderBy("rank")
+    seen = measured.withColumns({"next": F.lead("distance").over(w), "next_dst": F.lead("dst").over(w)})
+    wrong = (far("next") < far("distance")) | ((far("next") == far("distance")) & (F.col("next_dst") < F.col("dst")))
+    return seen.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("distance") - F.col("again")) > lattice).alias("off"), F.count_if(wrong).alias("disordered"))
+
+
 def silhouettes(points: DataFrame, dims: list[str], clusterings: list[str], block: int = 2048) -> DataFrame:
     """id, clustering, cluster, silhouette by exact mean Euclidean distances, for several columns of clusters at once.
 

@@ -13,7 +13,7 @@ from lodestar.operators import similar as N
 
 from . import vector_queries
 from .registry import query
-from .series_queries import COVER, DAILY, DOY, EVENTS, LINES, _clim, _lines, _orders, r6
+from .series_queries import COVER, DAILY, DOY, EVENTS, LINES, YEARLY, _clim, _lines, _orders, _yearly, r6
 from .tables import folder, table
 
 # Heatwaves ------------------------------------------------------------------------------------------------------------
@@ -67,6 +67,34 @@ def flag_mismatches(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.agg(F.count_if(F.col("a") != F.col("b")).alias("any_differs"), F.count("*").alias("n"))
 
 
+@query("overlap_gate", f"WITH {vector_queries.V}, {vector_queries.FULL}, {vector_queries.HEAD}, s AS (SELECT k.src, count(h.dst) / 10 AS share FROM knn k LEFT JOIN head h ON k.src = h.src AND k.dst = h.dst GROUP BY 1) SELECT round(avg(share), 6) AS overlap, avg(share) < 0.5 AS notice FROM s")
+def overlap_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether neighbours hang on the choice of columns: a mean overlap under a half must be told to readers."""
+    v = vector_queries._vectors(spark, sf)
+    shares = N.overlap(N.nearest(v, 10), N.nearest(v, 10, columns=slice(0, 4)), 10)
+    return shares.agg(r6(F.avg("share"), "overlap"), (F.avg("share") < 0.5).alias("notice"))
+
+
+@query("search_agreement", f"WITH {vector_queries.V}, {vector_queries.FULL}, m AS (SELECT distance, list_distance(a.vec, b.vec) AS again, lead(distance) OVER (PARTITION BY src ORDER BY rank) AS nxt FROM knn JOIN v a ON src = a.id JOIN v b ON dst = b.id) SELECT count(*) AS n, CAST(count(*) FILTER (abs(distance - again) > 1e-9) AS BIGINT) AS off, CAST(count(*) FILTER (nxt < distance - 1e-9) AS BIGINT) AS disordered FROM m")
+def search_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """The distances of the search against a second implementation."""
+    v = vector_queries._vectors(spark, sf)
+    return N.audited(N.nearest(v, 10), v.select("id", "vec"))
+
+
+@query(
+    "trend_agreement",
+    f"""WITH {YEARLY}, a AS (SELECT key, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM yearly GROUP BY 1 HAVING count(*) >= 4),
+    b AS (SELECT key, covar_pop(y, x) / var_pop(x) AS slope, avg(y) - covar_pop(y, x) / var_pop(x) * avg(x) AS intercept FROM yearly GROUP BY 1 HAVING count(*) >= 4),
+    c AS (SELECT abs(a.slope - b.slope) <= 1e-9 * greatest(1, abs(a.slope)) AND abs(a.intercept - b.intercept) <= 1e-9 * greatest(1, abs(a.intercept)) AS ok FROM a JOIN b USING (key))
+    SELECT count(*) AS n, CAST(count(*) FILTER (ok) AS BIGINT) AS agree, count(*) = count(*) FILTER (ok) AS passed FROM c""",
+)
+def trend_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Trends from the builtin regression against those from moments: slopes, intercepts and errors."""
+    y = _yearly(spark, sf).drop("n")
+    return S.agreeing(S.trends(y, "key", "x", "y", min_points=4, with_p=False), S.trends_by_moments(y, "key", "x", "y", 4), "key", ["slope", "intercept", "se"])
+
+
 # Texts and changes ----------------------------------------------------------------------------------------------------
 
 

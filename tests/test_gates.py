@@ -1,5 +1,6 @@
 """Gates and findings: what must raise does, and controls fail."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,23 @@ def test_sources_that_insist(spark, tmp_path):
     assert sorted((r.k, r.v) for r in P.replaced(parts.filter("k = 2").withColumn("v", F.lit("b")), at, "k", only=True).collect()) == [(1, "a"), (2, "b")]
     with pytest.raises(ValueError, match="trial"):
         P.replaced(parts, at, "k", only=True)
+
+
+def test_second_implementations_notice_differences(spark):
+    """Trends and neighbours measured twice: equal as they are, unequal once one number is changed."""
+    from lodestar.operators import series as S
+    from lodestar.operators import similar as N
+
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(k, float(i), float(k * i + rng.normal())) for k in range(4) for i in range(12)] + [(9, 1.0, 2.0), (1, None, 3.0)], "key int, x double, y double")
+    a, b = S.trends(points, "key", "x", "y", with_p=False), S.trends_by_moments(points, "key", "x", "y")
+    columns = ["slope", "intercept", "se"]
+    assert tuple(S.agreeing(a, b, "key", columns).first()) == (4, 4, True)
+    bent = F.when(F.col("key") == 2, F.col("slope") + 1e-6).otherwise(F.col("slope"))
+    assert tuple(S.agreeing(a.withColumn("slope", bent), b, "key", columns).first()) == (4, 3, False)
+    assert tuple(S.agreeing(a, b.filter("key > 0"), "key", columns).first()) == (4, 3, False)
+    v = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(rng.standard_normal((40, 3)))], "id long, vec array<double>")
+    pairs = N.nearest(v, 3, block=8)
+    assert tuple(N.audited(pairs, v).first()) == (120, 0, 0)
+    assert tuple(N.audited(pairs.withColumn("distance", F.when(F.col("src") == 7, F.col("distance") + 1e-6).otherwise(F.col("distance"))), v).first()) == (120, 3, 0)
+    assert tuple(N.audited(pairs.withColumn("rank", F.when(F.col("src") == 7, -F.col("rank")).otherwise(F.col("rank"))), v).first()) == (120, 0, 2)
