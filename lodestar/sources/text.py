@@ -55,14 +55,14 @@ def daily_files(spark: SparkSession, path: str, low: float = -5.0, high: float =
     """Days (area, d, flag, temp) and the lines set aside with a reason, from ``yyyy,mm,dd,area,flag,temp`` text.
 
     Blank lines and headers are skipped. A line needs six columns, its file's area, a valid date, a known flag, a value in range
-    and no second line of its day; missing values are dropped after that test.
+    and no second line of its day in its file; missing values are dropped after that test.
     """
     raw = spark.read.text(path).select(F.col("value"), F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).alias("file_area"))
     raw = raw.filter((F.trim("value") != "") & ~F.col("value").startswith("yyyy"))
     p = F.split("value", ",")
     part = lambda i: F.trim(F.try_element_at(p, F.lit(i + 1)))
     row = raw.select("value", "file_area", F.size(p).alias("n"), part(3).alias("area"), part(4).alias("flag"), F.try_to_date(F.concat_ws("-", part(0), F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0"))).alias("d"), part(5).try_cast("double").alias("temp"))
-    twice = F.count("*").over(Window.partitionBy("area", "d", F.col("temp") != missing))
+    twice = F.count("*").over(Window.partitionBy("file_area", "area", "d", F.col("temp") != missing))
     reason = (
         F.when(F.col("n") != 6, "columns").when(F.col("area") != F.col("file_area"), "area").when(F.col("d").isNull(), "date").when(~F.col("flag").isin("P", "R"), "flag")
         .when(F.col("temp").isNull(), "value").when((F.col("temp") != missing) & ~F.col("temp").between(low, high), "range").when((twice > 1) & (F.col("temp") != missing), "duplicate")
