@@ -1,9 +1,12 @@
 """What shows only on larger tables: keys that meet by chance, ties in the last bits."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.operators import spatial as G
 from lodestar.plans import source_queries
 from lodestar.plans.registry import ORACLE_SQL
 from lodestar.sources import text
@@ -28,3 +31,12 @@ def test_every_areas_faults_are_found(spark, tmp_path, name):
     c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert c.sql("SELECT count(*) FROM orders WHERE o_custkey // 250 = 77 AND o_orderkey % 50 = 2").fetchall()[0][0] > 0
     assert differences(getattr(source_queries, name)(spark, str(tmp_path)), ORACLE_SQL[name], c) == []
+
+
+def test_nearest_polygons_within_a_micrometre_tie(spark):
+    ring = lambda x0, x1: [[[x0, 35.0], [x1, 35.0], [x1, 35.001], [x0, 35.001]]]
+    metre = 1 / (111320 * math.cos(math.radians(35.0005)))
+    rows = [(k, x, 35.0, x + 0.001, 35.001, ring(x, x + 0.001), a) for k, x, a in ((1, 137.001, "a"), (2, math.nextafter(137.001, 137), "a"), (3, 137 + 50.0000003 * metre, "b"), (4, 137 + 49.9999998 * metre, "b"))]
+    polygons = spark.createDataFrame(rows, "box_id long, x0 double, y0 double, x1 double, y1 double, rings array<array<array<double>>>, area string")
+    points = spark.createDataFrame([(1, 35.0005, 137.0, "a"), (2, 35.0005, 137.0, "b")], "id long, lat double, lon double, area string")
+    assert {r.id: r.box_id for r in G.nearest_polygons(points, polygons, 50.0, 0.001, ["area"]).collect()} == {1: 1, 2: 3}
