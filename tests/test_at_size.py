@@ -3,11 +3,13 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.operators import overlay as O
 from lodestar.operators import spatial as G
-from lodestar.plans import source_queries
+from lodestar.plans import geo_queries, source_queries
 from lodestar.plans.registry import ORACLE_SQL
 from lodestar.sources import text
 
@@ -40,3 +42,46 @@ def test_nearest_polygons_within_a_micrometre_tie(spark):
     polygons = spark.createDataFrame(rows, "box_id long, x0 double, y0 double, x1 double, y1 double, rings array<array<array<double>>>, area string")
     points = spark.createDataFrame([(1, 35.0005, 137.0, "a"), (2, 35.0005, 137.0, "b")], "id long, lat double, lon double, area string")
     assert {r.id: r.box_id for r in G.nearest_polygons(points, polygons, 50.0, 0.001, ["area"]).collect()} == {1: 1, 2: 3}
+
+
+def _boxes(rng, n, reach, size):
+    low = rng.integers(-reach, reach, (n, 2)) * 1.0
+    high = low + rng.integers(1, size, (n, 2))
+    return np.stack([low, np.stack([high[:, 0], low[:, 1]], axis=1), high, np.stack([low[:, 0], high[:, 1]], axis=1)], axis=1)
+
+
+def test_rings_are_clipped_at_once_as_one_by_one():
+    window, rings = G.disc(50.0), _boxes(np.random.default_rng(1), 300, 60, 40)
+    out, count = G.clip_all(rings, window)
+    for ring, got, n, size in zip(rings, out, count, G.areas(out, count), strict=True):
+        one = G.clip(ring, window)
+        assert len(one) == n and (one == got[:n]).all() and size == pytest.approx(G.area(one), abs=1e-9)
+
+
+def test_unions_and_shares_by_one_sweep():
+    rng = np.random.default_rng(2)
+    regions = [[[r] for r in _boxes(rng, n, reach, 9)] for n, reach in ((1, 5), (12, 40), (25, 12), (6, 300))]
+    for region, one, area in zip(regions, O.united(regions), O.union_areas(regions), strict=True):
+        cells = {(x, y) for (r,) in region for x in range(int(r[0][0]), int(r[2][0])) for y in range(int(r[0][1]), int(r[2][1]))}
+        assert area == len(cells) == pytest.approx(O.region_area(one)) == pytest.approx(O.overlay_area(region, [], "union"))
+    # A lone polygon that isn't convex, or whose ring crosses itself, is swept.
+    bow = [np.array([[0.0, 0.0], [4.0, 4.0], [4.0, 0.0], [0.0, 4.0]])]
+    star = [np.array([[math.cos(a * 4 * math.pi / 5), math.sin(a * 4 * math.pi / 5)] for a in range(5)])]
+    assert O.union_areas([[bow], [O.square(9, 9, 10, 10)[::-1]]]) == [8.0, 1.0] and O.union_areas([[star]])[0] < O.ring_area(star[0])
+    generation = rng.integers(0, 4, 25).tolist()
+    for k, (area, n) in enumerate(O.shares_of_first(regions[2], generation)):
+        left = O.overlay([regions[2][k]], [p for p, g in zip(regions[2], generation, strict=True) if g < generation[k]], "difference")
+        assert area == pytest.approx(O.region_area(left)) and n == len(left)
+
+
+def test_few_bytes_of_pairs_are_dealt_to_all_cores(spark):
+    pairs = geo_queries.pairs(spark, "/root/testdata/sf0.001", 500.0)
+    tasks = G.clipped(pairs, 500.0).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+
+
+def test_points_of_one_place(spark):
+    points = spark.createDataFrame([(5, 35.0, 137.0, 1), (3, 35.0, 137.0, 1), (4, 35.0, 137.0, 2)], "id long, lat double, lon double, pref int")
+    once, members = G.places(points, ["pref"])
+    assert sorted((r.id, r.pref, r.copies) for r in once.collect()) == [(3, 1, 2), (4, 2, 1)]
+    assert sorted(tuple(r) for r in G.of_points(spark.createDataFrame([(3, "x")], "id long, v string"), members).collect()) == [(3, "x"), (5, "x")]
