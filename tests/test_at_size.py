@@ -101,3 +101,16 @@ def test_rows_are_sent_once_to_many_rings(spark):
     d = N.distances(x, x)
     assert all([dst for _, dst in sorted(got[i])] == d[i].argsort(kind="stable")[:4].tolist() for i in range(2000))
     assert 2000 <= seen["copies"] <= 9 * 2000 and seen["pairs"] > 0.3 * 2000**2 and "vec" not in best.columns
+
+
+@pytest.mark.parametrize("name", ["polygon_join", "radius_join"])
+def test_pairs_are_found_by_all_cores(spark, name):
+    """Few bytes of boxes meet in many pairs: not in one task."""
+    df = {"polygon_join": source_queries.polygon_join, "radius_join": geo_queries.radius_join}[name](spark, "/root/testdata/sf0.01")
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_newest_version_sends_counts(spark):
+    """What is shuffled for the newest version is counts, not pairs: the window stands above an aggregation."""
+    plan = geo_queries.newest_version(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Window") :].split("Join")[0]
