@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import overlay as O
 from lodestar.operators import similar as N
 from lodestar.operators import spatial as G
+from lodestar.operators import trainers as T
 from lodestar.operators.stages import kept
 from lodestar.plans import geo_queries, source_queries
 from lodestar.plans.registry import ORACLE_SQL
@@ -114,3 +115,15 @@ def test_newest_version_sends_counts(spark):
     """What is shuffled for the newest version is counts, not pairs: the window stands above an aggregation."""
     plan = geo_queries.newest_version(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Window") :].split("Join")[0]
+
+
+def test_a_perceptron_reads_some_rows_at_a_time(monkeypatch):
+    rng, seen, sums = np.random.default_rng(4), [], T.Net.sums
+    x, y = rng.standard_normal((5000, 3)), rng.integers(0, 3, 5000)
+    monkeypatch.setattr(T.Net, "sums", lambda net, x, y, w: seen.append(len(x)) or sums(net, x, y, w))
+    net, whole = T.perceptron_local(x, y, np.ones(5000), 3, rounds=20), T.Net([3, 32, 16, 3], 5)
+    for _ in range(20):
+        whole.step(sums(whole, x, y, np.ones(5000)), 1e-3, 0.01)
+    assert max(seen) <= 2048 and sum(seen) == 20 * 5000 and np.allclose(net.numbers, whole.numbers, atol=1e-9)
+    z = rng.standard_normal((7, 4))
+    assert np.allclose(T.softmax(z), np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)) and T.softmax(z[:0]).shape == (0, 4)
